@@ -152,7 +152,7 @@ class TableProfile:
 
     def cardinality(self) -> DataFrame:
         """``(position, distinct)`` for the non-numeric columns."""
-        return self.freq_text.groupBy("position").agg(F.count(F.lit(1)).alias("distinct"))
+        return self.freq_text.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_n"))
 
     def top_values(self, k: int = TOP_K) -> DataFrame:
         """Top ``k`` values per non-numeric column by count, ties by value.
@@ -242,6 +242,39 @@ class TableProfile:
                 .agg(F.sum(F.when((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")),
                                   F.col("k")).otherwise(F.lit(0))).cast("long").alias("outliers")))
 
+    def top_values_named(self, k: int = TOP_K) -> DataFrame:
+        """Top values with column name and share of populated cells, for the
+        non-numeric columns (the report's category distribution)."""
+        st = self.stats().select("position", "column_name", "populated")
+        return (self.top_values(k).join(F.broadcast(st), "position")
+                .withColumn("share", F.col("k") / F.col("populated")))
+
+    def fences(self, name: str) -> tuple[float, float] | None:
+        """IQR fences of one numeric column (two numbers, on the driver)."""
+        pos = self._position(name)
+        if pos not in self.numeric_positions:
+            return None
+        q = self.order_stats().where(F.col("position") == pos).collect()
+        if not q:
+            return None
+        q1, q3 = q[0]["q1"], q[0]["q3"]
+        return q1 - IQR_FENCE * (q3 - q1), q3 + IQR_FENCE * (q3 - q1)
+
+    def outlier_rows(self, name: str) -> DataFrame:
+        """The input rows whose value in ``name`` lies outside its fences."""
+        f = self.fences(name)
+        if f is None:
+            return self.df.limit(0)
+        spec = self.specs[self._position(name)]
+        v = cells.as_number(F.col(f"`{spec.name}`"), spec.dtype)
+        return self.df.where((v < F.lit(f[0])) | (v > F.lit(f[1])))
+
+    def _position(self, name: str) -> int:
+        for s in self.specs:
+            if s.name == name:
+                return s.position
+        raise KeyError(name)
+
     # -- whole-row measures ---------------------------------------------------
     def duplicate_count(self) -> DataFrame:
         """``(rows, distinct_rows, duplicates)``: rows minus distinct rows,
@@ -301,7 +334,7 @@ def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
     is_num = c("position").isin(list(numeric)) if numeric else F.lit(False)
     kind = (F.when(c("populated") == 0, F.lit("empty"))
             .when(is_num, F.lit("numeric"))
-            .when((c("distinct") < CATEGORICAL_SHARE * c("populated")) & (c("distinct") > 1),
+            .when((c("distinct_n") < CATEGORICAL_SHARE * c("populated")) & (c("distinct_n") > 1),
                   F.lit("categorical"))
             .otherwise(F.lit("text")))
     df = df.withColumn("kind", kind)
@@ -335,12 +368,12 @@ def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
                        .when(c("mean") < c("median"), F.lit("lower"))
                        .otherwise(F.lit("similar")))
     text = c("kind").isin("categorical", "text")
-    df = df.withColumn("distinct", F.when(text, c("distinct")))
-    df = df.withColumn("cardinality_ratio", F.when(text, c("distinct") / c("populated")))
+    df = df.withColumn("distinct_n", F.when(text, c("distinct_n")))
+    df = df.withColumn("cardinality_ratio", F.when(text, c("distinct_n") / c("populated")))
     df = df.withColumn("cardinality", F.when(~text, F.lit(None))
-                       .when(c("distinct") == c("populated"), F.lit("identifier"))
-                       .when(c("distinct") > CARD_HIGH * c("populated"), F.lit("high"))
-                       .when(c("distinct") < CARD_LOW, F.lit("low"))
+                       .when(c("distinct_n") == c("populated"), F.lit("identifier"))
+                       .when(c("distinct_n") > CARD_HIGH * c("populated"), F.lit("high"))
+                       .when(c("distinct_n") < CARD_LOW, F.lit("low"))
                        .otherwise(F.lit("moderate")))
     share = c("top_k") / c("populated")
     df = df.withColumn("top_share", F.when(text, share))
