@@ -9,11 +9,11 @@ Plan shape (three scans of the input, each with map-side combining):
    non-numeric columns only, by partial then final aggregation. A value that
    holds a third of all rows is combined inside each task before the shuffle.
 3. ``numeric_freq``: ``(position, v, k)`` for the numeric columns, range
-   partitioned on ``(position, v)`` and checkpointed to the shared folder.
-   Order statistics are then picked by rank: the per-partition counts (at most
-   partitions + columns rows) give each partition's first rank, and only the
-   few partitions that hold a wanted rank are sorted. No column is ever sorted
-   in one task, whatever its cardinality.
+   partitioned on ``(position, v)`` and written once as a table in the shared
+   folder. Order statistics are then picked by rank: the per-partition counts
+   (at most partitions + columns rows) give each partition's first rank, and
+   only the few partitions that hold a wanted rank are sorted. No column is
+   ever sorted in one task, whatever its cardinality.
 
 Column kinds are decided on the driver from the per-column stats (one row
 per column, so its size is bounded by the schema, not the data).
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import cells
 from quarry.functions.numbers import fixed_value
-from quarry.session import checkpoint_root
+from quarry.session import scratch_path
 
 # --- fixed values: the reference's thresholds ------------------------------
 TOP_K = 5
@@ -77,36 +77,33 @@ class TableProfile:
         self.spark: SparkSession = df.sparkSession
         self.specs = [ColumnSpec(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
         self._range_partitions = range_partitions
+        self._columns: DataFrame | None = None
 
     # -- pass 1: one wide aggregate -----------------------------------------
     def stats_frame(self) -> DataFrame:
-        """Per-column counts and moments, one row per column (lazy)."""
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        for s in self.specs:
-            c = F.col(f"`{s.name}`")
-            num = cells.as_number(c, s.dtype)
-            i = s.position
-            aggs += [
-                F.count(F.when(cells.populated(c, s.dtype), F.lit(1))).alias(f"p{i}"),
-                F.count(num).alias(f"n{i}"),
-                F.sum(num).alias(f"s{i}"),
-                F.min(num).alias(f"lo{i}"),
-                F.max(num).alias(f"hi{i}"),
-                F.var_pop(num).alias(f"v{i}"),
-            ]
-        wide = self.df.agg(*aggs)
-        per_col = [
-            F.struct(
-                F.lit(s.position).alias("position"), F.lit(s.name).alias("column_name"),
-                F.col("rows").cast("long").alias("rows"),
-                F.col(f"p{s.position}").cast("long").alias("populated"),
-                F.col(f"n{s.position}").cast("long").alias("numeric_n"),
-                F.col(f"s{s.position}").cast("double").alias("sum"),
-                F.col(f"lo{s.position}").alias("min"), F.col(f"hi{s.position}").alias("max"),
-                F.col(f"v{s.position}").alias("var_pop"))
-            for s in self.specs
-        ]
-        return wide.select(F.inline(F.array(*per_col)))
+        """Per-column counts and moments, one row per column (lazy).
+
+        Cells are unpivoted to ``(position, populated, number)`` and grouped
+        by position: six aggregates whatever the table width, so the plan
+        stays in whole-stage codegen, and each task's hash map holds one
+        entry per column before the (tiny) shuffle."""
+        if not self.specs:
+            return self.spark.createDataFrame([], STATS_SCHEMA)
+        cellsets = F.array(*[
+            F.struct(F.lit(s.position).alias("position"),
+                     cells.populated(F.col(f"`{s.name}`"), s.dtype).alias("pop"),
+                     cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("num"))
+            for s in self.specs])
+        names = F.element_at(F.array(*[F.lit(s.name) for s in self.specs]), F.col("position") + 1)
+        return (self.df.select(F.inline(cellsets))
+                .groupBy("position")
+                .agg(F.count(F.lit(1)).alias("rows"),
+                     F.count(F.when(F.col("pop"), F.lit(1))).alias("populated"),
+                     F.count("num").alias("numeric_n"), F.sum("num").alias("sum"),
+                     F.min("num").alias("min"), F.max("num").alias("max"),
+                     F.var_pop("num").alias("var_pop"))
+                .select("position", names.alias("column_name"),
+                        *[F.col(f.name).cast(f.dataType) for f in STATS_SCHEMA.fields[2:]]))
 
     @cached_property
     def stats_rows(self) -> list[Row]:
@@ -167,7 +164,8 @@ class TableProfile:
     def numeric_freq(self) -> DataFrame:
         """``(position, v, k, pid)`` range partitioned on ``(position, v)``;
         ``pid`` is the range partition, so ``(pid, v)`` orders each column.
-        Checkpointed: the partition ids must not change between readers."""
+        Written once to the shared folder, so every reader sees the same
+        partition ids (and a lost executor cannot change them)."""
         specs = [self.specs[p] for p in self.numeric_positions]
         pairs = F.array(*[
             F.struct(F.lit(s.position).alias("position"),
@@ -177,8 +175,9 @@ class TableProfile:
                 .groupBy("position", "v").agg(F.count(F.lit(1)).alias("k")))
         ranged = (freq.repartitionByRange(self.range_partitions, "position", "v")
                   .withColumn("pid", F.spark_partition_id()))
-        checkpoint_root(self.spark)
-        return ranged.checkpoint(eager=True)
+        path = scratch_path(self.spark, "numeric-freq")
+        ranged.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def range_partitions(self) -> int:
@@ -290,7 +289,14 @@ class TableProfile:
 
     # -- the per-column profile ----------------------------------------------
     def columns(self) -> DataFrame:
-        """One row per column with every per-column measure and label."""
+        """One row per column with every per-column measure and label.
+        Computed once (one plan) and kept as a small local frame."""
+        if self._columns is None:
+            frame = self._columns_plan()
+            self._columns = self.spark.createDataFrame(frame.collect(), frame.schema)
+        return self._columns
+
+    def _columns_plan(self) -> DataFrame:
         st = self.stats()
         quart = self.order_stats()
         outl = self.outlier_counts(quart)
