@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.catalog import profile_queries
+from quarry.catalog import profile_queries, query_queries
 from quarry.catalog.inputs import lineitem_skewed
 from quarry.operators.profile import TableProfile
 
@@ -21,10 +21,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     q = {}
     q.update(profile_queries.QUERIES)
+    q.update(query_queries.QUERIES)
     return q
 
 
 def oracle_sql():
     o = {}
     o.update(profile_queries.sql())
+    o.update(query_queries.sql())
     return {k: v for k, v in o.items() if k in queries()}
