@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.catalog import document_queries, profile_queries, query_queries
+from quarry.catalog import document_queries, profile_queries, query_queries, source_queries
 from quarry.catalog.inputs import lineitem_skewed
 from quarry.operators.profile import TableProfile
 
@@ -23,6 +23,7 @@ def queries():
     q.update(profile_queries.QUERIES)
     q.update(query_queries.QUERIES)
     q.update(document_queries.QUERIES)
+    q.update(source_queries.QUERIES)
     return q
 
 
@@ -31,4 +32,5 @@ def oracle_sql():
     o.update(profile_queries.sql())
     o.update(query_queries.sql())
     o.update(document_queries.sql())
+    o.update(source_queries.sql())
     return {k: v for k, v in o.items() if k in queries()}
