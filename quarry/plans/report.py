@@ -174,6 +174,9 @@ def render(p) -> list[tuple[str, str]]:
     tops = {}
     for r in p.top_values_named().orderBy("position", "rank").collect():
         tops.setdefault(r["position"], []).append((r["value"], r["k"]))
-    fact = facts(p).collect()[0].asDict()
-    return report_text.render_lines(p.row_count, [s.name for s in p.specs], cols, tops, fact,
+    fact_df = facts(p)
+    fact = fact_df.collect()[0].asDict()
+    fired = {g: [r["rule_id"] for r in fired_rules(p, g, fact_df).orderBy("rule_no").collect()]
+             for g in RULES}
+    return report_text.render_lines(p.row_count, [s.name for s in p.specs], cols, tops, fact, fired,
                                     locale=locale, to_fixed=to_fixed)
