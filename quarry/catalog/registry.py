@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.catalog import document_queries, profile_queries, query_queries, source_queries
+from quarry.catalog import (
+    document_queries, profile_queries, query_queries, source_queries, stream_queries,
+)
 from quarry.catalog.inputs import lineitem_skewed
 from quarry.operators.profile import TableProfile
 
@@ -24,6 +26,7 @@ def queries():
     q.update(query_queries.QUERIES)
     q.update(document_queries.QUERIES)
     q.update(source_queries.QUERIES)
+    q.update(stream_queries.QUERIES)
     return q
 
 
@@ -33,4 +36,5 @@ def oracle_sql():
     o.update(query_queries.sql())
     o.update(document_queries.sql())
     o.update(source_queries.sql())
+    o.update(stream_queries.sql())
     return {k: v for k, v in o.items() if k in queries()}

@@ -134,18 +134,29 @@ class TableProfile:
         """``(position, value, k)``: non-blank trimmed values of the
         non-numeric columns and their counts. Persisted: top values and
         cardinality both read it."""
-        specs = [self.specs[p] for p in self.text_positions]
-        if not specs:
+        if not self.text_positions:
             schema = "position INT, value STRING, k BIGINT"
             return self.spark.createDataFrame([], schema)
+        return self.text_counts(self.text_positions).persist()
+
+    def text_counts(self, positions: list[int]) -> DataFrame:
+        """``(position, value, k)`` counted from the rows."""
         pairs = F.array(*[
             F.struct(F.lit(s.position).alias("position"),
                      cells.as_cell(F.col(f"`{s.name}`"), s.dtype).alias("value"))
-            for s in specs])
-        freq = (self.df.select(F.inline(pairs))
+            for s in (self.specs[p] for p in positions)])
+        return (self.df.select(F.inline(pairs))
                 .where(F.col("value") != "")
                 .groupBy("position", "value").agg(F.count(F.lit(1)).alias("k")))
-        return freq.persist()
+
+    def numeric_counts(self, positions: list[int]) -> DataFrame:
+        """``(position, v, k)`` counted from the rows."""
+        pairs = F.array(*[
+            F.struct(F.lit(s.position).alias("position"),
+                     cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
+            for s in (self.specs[p] for p in positions)])
+        return (self.df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+                .groupBy("position", "v").agg(F.count(F.lit(1)).alias("k")))
 
     def cardinality(self) -> DataFrame:
         """``(position, distinct)`` for the non-numeric columns."""
@@ -166,13 +177,7 @@ class TableProfile:
         ``pid`` is the range partition, so ``(pid, v)`` orders each column.
         Written once to the shared folder, so every reader sees the same
         partition ids (and a lost executor cannot change them)."""
-        specs = [self.specs[p] for p in self.numeric_positions]
-        pairs = F.array(*[
-            F.struct(F.lit(s.position).alias("position"),
-                     cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
-            for s in specs])
-        freq = (self.df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-                .groupBy("position", "v").agg(F.count(F.lit(1)).alias("k")))
+        freq = self.numeric_counts(self.numeric_positions)
         ranged = (freq.repartitionByRange(self.range_partitions, "position", "v")
                   .withColumn("pid", F.spark_partition_id()))
         path = scratch_path(self.spark, "numeric-freq")
