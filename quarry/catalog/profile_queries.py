@@ -19,7 +19,15 @@ def _r(c):
 
 
 def _profiles(spark: SparkSession, sf_dir: str, names: list[str]) -> list[tuple[str, TableProfile]]:
-    return [(n, TableProfile(PROFILED[n][0](spark, sf_dir))) for n in names]
+    """Profiles of several tables, computed concurrently: their jobs are
+    independent, so submitting them from threads lets them share the
+    cluster instead of queueing one table after another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    profs = [(n, TableProfile(PROFILED[n][0](spark, sf_dir))) for n in names]
+    with ThreadPoolExecutor(max_workers=min(4, len(profs))) as pool:
+        list(pool.map(lambda np: np[1].columns(), profs))
+    return profs
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

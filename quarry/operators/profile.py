@@ -47,6 +47,8 @@ QUALITY = ((95, "excellent"), (80, "good"), (60, "moderate"))
 DIM_LOW, DIM_MODERATE = 0.01, 0.1
 MISSING_NOTE_PCT = 5
 # ---------------------------------------------------------------------------
+SMALL_COLUMN_CELLS = 5_000_000   # rank one column in one task up to this many numbers
+SMALL_TOTAL_CELLS = 20_000_000   # and persist the frequency table up to this many in all
 
 STATS_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -72,8 +74,11 @@ class TableProfile:
     """Profile of one DataFrame. Methods return lazy DataFrames, except that
     the per-column stats are collected once (one row per column)."""
 
-    def __init__(self, df: DataFrame, range_partitions: int | None = None):
+    def __init__(self, df: DataFrame, range_partitions: int | None = None,
+                 rank_path: str = "auto"):
+        """``rank_path``: ``auto`` (size checked), ``local`` or ``range``."""
         self.df = df
+        self._rank_path = rank_path
         self.spark: SparkSession = df.sparkSession
         self.specs = [ColumnSpec(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
         self._range_partitions = range_partitions
@@ -178,12 +183,27 @@ class TableProfile:
         Written once to the shared folder, so every reader sees the same
         partition ids (and a lost executor cannot change them)."""
         freq = self.numeric_counts(self.numeric_positions)
+        if self.small_numeric:
+            # bounded input: one rank partition per column, kept by persist
+            return freq.withColumn("pid", F.lit(0)).persist()
         ranged = (freq.repartitionByRange(self.range_partitions, "position", "v")
                   .withColumn("pid", F.spark_partition_id()))
         path = scratch_path(self.spark, "numeric-freq")
         ranged.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def small_numeric(self) -> bool:
+        """Size check for the rank pick: when every numeric column has at
+        most ``SMALL_COLUMN_CELLS`` numbers (an upper bound on its distinct
+        values) and all together at most ``SMALL_TOTAL_CELLS``, each column
+        is ranked in one task over a persisted frequency table; beyond that
+        the range-partitioned table is written to the shared folder."""
+        if self._rank_path != "auto":
+            return self._rank_path == "local"
+        ns = [r["numeric_n"] for r in self.stats_rows if r["position"] in set(self.numeric_positions)]
+        return bool(ns) and max(ns) <= SMALL_COLUMN_CELLS and sum(ns) <= SMALL_TOTAL_CELLS
+
     @cached_property
     def range_partitions(self) -> int:
         if self._range_partitions:
