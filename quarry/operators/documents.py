@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.cells import WS_CHARS, WS_CLASS
+from quarry.session import spread_small
 
 # --- fixed values: the reference's text rules -----------------------------------
 LINE_BREAK = "\n"
@@ -87,6 +88,7 @@ def _row(line: Column) -> Column:
 
 def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Long form ``(doc_id, table_no, row_no, row_text)``, numbered from 1."""
+    docs = spread_small(docs)
     t = docs.select(F.col(id_col).alias("doc_id"), tables_in_text(text_col).alias("tables"))
     t = t.select("doc_id", F.posexplode("tables").alias("ti", "rows"))
     return t.select("doc_id", (F.col("ti") + 1).cast("int").alias("table_no"),
@@ -129,6 +131,7 @@ def chunks_of(text, max_chars: int = DEFAULT_CHUNK) -> Column:
 def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_CHUNK, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """``(doc_id, chunk_no, chunk)``, numbered from 1."""
+    docs = spread_small(docs)
     c = docs.select(F.col(id_col).alias("doc_id"), chunks_of(text_col, max_chars).alias("chunks"))
     return c.select("doc_id", F.posexplode("chunks").alias("i", "chunk")).select(
         "doc_id", (F.col("i") + 1).cast("int").alias("chunk_no"), "chunk")
@@ -171,6 +174,7 @@ def sentence_hits(text, query: str) -> Column:
 def sentence_search(docs: DataFrame, query: str, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(doc_id, hit_no, context)``."""
+    docs = spread_small(docs)
     h = docs.select(F.col(id_col).alias("doc_id"), sentence_hits(text_col, query).alias("hits"))
     return h.select("doc_id", F.posexplode("hits").alias("i", "context")).select(
         "doc_id", (F.col("i") + 1).cast("int").alias("hit_no"), "context")
@@ -180,6 +184,7 @@ def keyword_hits(docs: DataFrame, query: str, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``(doc_id, keywords_found)`` for documents whose lower-cased text
     contains at least one keyword of the query."""
+    docs = spread_small(docs)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     found = sum((F.when(low.contains(F.lit(w)), F.lit(1)).otherwise(F.lit(0))
                  for w in keywords(query)), F.lit(0))
@@ -191,6 +196,7 @@ def keyword_hits(docs: DataFrame, query: str, id_col: str = "doc_id",
 def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               pages_col: str | None = None) -> DataFrame:
     """``(doc_id, pages, text_length, tables_found)``."""
+    docs = spread_small(docs)
     pages = F.col(pages_col).cast("int") if pages_col else F.lit(None).cast("int")
     return docs.select(F.col(id_col).alias("doc_id"), pages.alias("pages"),
                        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("text_length"),
@@ -202,6 +208,7 @@ def qa_context(docs: DataFrame, question: str, max_chars: int = QA_CHUNK, id_col
     """``(doc_id, context)``: the question prompt of one document: counts,
     the question, every chunk numbered ``i/n``, the first five tables and
     the closing instructions."""
+    docs = spread_small(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     pages = (F.coalesce(F.col(pages_col).cast("string"), F.lit("unknown")) if pages_col
              else F.lit("unknown"))

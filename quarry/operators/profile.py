@@ -1,19 +1,23 @@
 """Exact data profile of any DataFrame.
 
-Plan shape (three scans of the input, each with map-side combining):
-
-1. ``column_stats``: one wide aggregate, for every column at once, of
-   populated cells, numeric cells, sum, min, max and population variance.
-   One output row per column; the shuffle carries one row per task.
-2. ``freq_text``: value frequencies ``(position, value, k)`` for the
-   non-numeric columns only, by partial then final aggregation. A value that
-   holds a third of all rows is combined inside each task before the shuffle.
-3. ``numeric_freq``: ``(position, v, k)`` for the numeric columns, range
-   partitioned on ``(position, v)`` and written once as a table in the shared
-   folder. Order statistics are then picked by rank: the per-partition counts
-   (at most partitions + columns rows) give each partition's first rank, and
-   only the few partitions that hold a wanted rank are sorted. No column is
-   ever sorted in one task, whatever its cardinality.
+Plan shape: one scan of the input builds the cell-frequency table
+``(position, value, v, k)`` for every column with map-side combining (a
+value holding a third of all rows is collapsed inside each task before the
+shuffle). Everything is derived from it:
+
+* per-column counts and moments (``stats_frame``): one row per column;
+* text frequencies (``freq_text``): distinct counts and top values, where a
+  ``row_number() <= 5`` filter becomes a partial per-task group limit;
+* numeric frequencies ``(position, v, k)``, range partitioned on
+  ``(position, v)`` and written once as a table in the shared folder. Order
+  statistics are picked by rank: per-partition counts (at most partitions +
+  columns rows) give each partition's first rank, and only the few
+  partitions holding a wanted rank are sorted, so no column is ever sorted
+  in one task, whatever its cardinality. A size check takes a one-task-per-
+  column window instead when every column is small.
+
+Only duplicate rows need a second scan of the input. The table is mergeable
+by addition, which is what the streaming profile keeps as its state.
 
 Column kinds are decided on the driver from the per-column stats (one row
 per column, so its size is bounded by the schema, not the data).
@@ -84,31 +88,57 @@ class TableProfile:
         self._range_partitions = range_partitions
         self._columns: DataFrame | None = None
 
-    # -- pass 1: one wide aggregate -----------------------------------------
-    def stats_frame(self) -> DataFrame:
-        """Per-column counts and moments, one row per column (lazy).
-
-        Cells are unpivoted to ``(position, populated, number)`` and grouped
-        by position: six aggregates whatever the table width, so the plan
-        stays in whole-stage codegen, and each task's hash map holds one
-        entry per column before the (tiny) shuffle."""
+    # -- the one scan: cell frequencies ---------------------------------------
+    @cached_property
+    def cell_freq(self) -> DataFrame:
+        """``(position, value, v, k)``: how often each cell occurs, for every
+        column, from one scan of the input.
+
+        ``value`` is the trimmed text of a text-like cell ('' when missing;
+        null for typed numbers), ``v`` its number (numeric prefix of text,
+        the value of a typed number, null when none). Partial aggregation
+        collapses repeated cells inside each task, so a value holding a third
+        of all rows costs one row per task in the shuffle. Everything else in
+        the profile (counts, moments, kinds, top values, cardinality, numeric
+        frequencies) is derived from this table, which is kept (persisted,
+        recomputable from its lineage) because several jobs read it."""
         if not self.specs:
-            return self.spark.createDataFrame([], STATS_SCHEMA)
+            return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
         cellsets = F.array(*[
             F.struct(F.lit(s.position).alias("position"),
-                     cells.populated(F.col(f"`{s.name}`"), s.dtype).alias("pop"),
-                     cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("num"))
+                     (F.lit(None).cast("string") if cells.is_numeric_type(s.dtype)
+                      else cells.as_cell(F.col(f"`{s.name}`"), s.dtype)).alias("value"),
+                     cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
             for s in self.specs])
-        names = F.element_at(F.array(*[F.lit(s.name) for s in self.specs]), F.col("position") + 1)
         return (self.df.select(F.inline(cellsets))
-                .groupBy("position")
-                .agg(F.count(F.lit(1)).alias("rows"),
-                     F.count(F.when(F.col("pop"), F.lit(1))).alias("populated"),
-                     F.count("num").alias("numeric_n"), F.sum("num").alias("sum"),
-                     F.min("num").alias("min"), F.max("num").alias("max"),
-                     F.var_pop("num").alias("var_pop"))
+                .groupBy("position", "value", "v").agg(F.count(F.lit(1)).alias("k"))
+                .persist())
+
+    def stats_frame(self) -> DataFrame:
+        """Per-column counts and moments from the cell frequencies, one row
+        per column. The variance is taken about the exact mean in a second
+        aggregate (the means are one row per column, broadcast)."""
+        if not self.specs:
+            return self.spark.createDataFrame([], STATS_SCHEMA)
+        f = self.cell_freq
+        pop = (F.col("value").isNotNull() & (F.col("value") != "")) | (
+            F.col("value").isNull() & F.col("v").isNotNull())
+        base = f.groupBy("position").agg(
+            F.sum("k").cast("long").alias("rows"),
+            F.sum(F.when(pop, F.col("k")).otherwise(F.lit(0))).cast("long").alias("populated"),
+            F.sum(F.when(F.col("v").isNotNull(), F.col("k")).otherwise(F.lit(0))).cast("long")
+            .alias("numeric_n"),
+            F.sum(F.col("k") * F.col("v")).alias("sum"), F.min("v").alias("min"),
+            F.max("v").alias("max"))
+        mean = base.where(F.col("numeric_n") > 0).select(
+            "position", (F.col("sum") / F.col("numeric_n")).alias("mean"))
+        var = (f.where(F.col("v").isNotNull()).join(F.broadcast(mean), "position")
+               .groupBy("position")
+               .agg((F.sum(F.col("k") * (F.col("v") - F.col("mean")) ** 2) / F.sum("k")).alias("var_pop")))
+        names = F.element_at(F.array(*[F.lit(s.name) for s in self.specs]), F.col("position") + 1)
+        return (base.join(var, "position", "left")
                 .select("position", names.alias("column_name"),
-                        *[F.col(f.name).cast(f.dataType) for f in STATS_SCHEMA.fields[2:]]))
+                        *[F.col(x.name).cast(x.dataType) for x in STATS_SCHEMA.fields[2:]]))
 
     @cached_property
     def stats_rows(self) -> list[Row]:
@@ -137,31 +167,21 @@ class TableProfile:
     @cached_property
     def freq_text(self) -> DataFrame:
         """``(position, value, k)``: non-blank trimmed values of the
-        non-numeric columns and their counts. Persisted: top values and
-        cardinality both read it."""
+        non-numeric columns and their counts."""
         if not self.text_positions:
-            schema = "position INT, value STRING, k BIGINT"
-            return self.spark.createDataFrame([], schema)
-        return self.text_counts(self.text_positions).persist()
+            return self.spark.createDataFrame([], "position INT, value STRING, k BIGINT")
+        return self.text_counts(self.text_positions)
 
     def text_counts(self, positions: list[int]) -> DataFrame:
-        """``(position, value, k)`` counted from the rows."""
-        pairs = F.array(*[
-            F.struct(F.lit(s.position).alias("position"),
-                     cells.as_cell(F.col(f"`{s.name}`"), s.dtype).alias("value"))
-            for s in (self.specs[p] for p in positions)])
-        return (self.df.select(F.inline(pairs))
-                .where(F.col("value") != "")
-                .groupBy("position", "value").agg(F.count(F.lit(1)).alias("k")))
+        """``(position, value, k)`` of text cells; a text determines its
+        number, so no regrouping (and no shuffle) is needed."""
+        return (self.cell_freq.where(F.col("position").isin(positions) & (F.col("value") != ""))
+                .select("position", "value", "k"))
 
     def numeric_counts(self, positions: list[int]) -> DataFrame:
-        """``(position, v, k)`` counted from the rows."""
-        pairs = F.array(*[
-            F.struct(F.lit(s.position).alias("position"),
-                     cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
-            for s in (self.specs[p] for p in positions)])
-        return (self.df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-                .groupBy("position", "v").agg(F.count(F.lit(1)).alias("k")))
+        """``(position, v, k)``: texts with the same number ('1', '1.0') merge."""
+        return (self.cell_freq.where(F.col("position").isin(positions) & F.col("v").isNotNull())
+                .groupBy("position", "v").agg(F.sum("k").cast("long").alias("k")))
 
     def cardinality(self) -> DataFrame:
         """``(position, distinct)`` for the non-numeric columns."""

@@ -58,3 +58,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared root for one written table."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/quarry-tables/{name}-{uuid.uuid4().hex}"
+
+
+def spread_small(df, persist: bool = False):
+    """Spread an input with fewer partitions than the session's parallelism
+    over all cores, so per-row work (text folds, unpivots) is not done by one
+    task. Such an input is small by construction (fewer splits than cores,
+    each at most ``spark.sql.files.maxPartitionBytes``), so the extra shuffle
+    and an optional persist are bounded; large inputs are returned as is."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if par <= 1 or df.rdd.getNumPartitions() >= par:
+        return df
+    out = df.repartition(par)
+    return out.persist() if persist else out

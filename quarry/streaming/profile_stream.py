@@ -1,22 +1,22 @@
 """Keep a data profile current while files land in a folder.
 
 Structured Streaming reads the landing folder; each micro-batch is reduced
-to mergeable counts (per-column row and populated counts, value frequencies
-of text cells, value frequencies of numbers) written under
-``state/<part>/batch_id=<id>`` with overwrite, so a replayed batch replaces
-its own output and the state stays exact. The current profile sums the
+to its cell-frequency table ``(position, value, v, k)`` (mergeable by
+addition), written under ``state/freq/batch_id=<id>`` with overwrite, so a
+replayed batch replaces its own output and the state stays exact. The current profile sums the
 counts over all batches and runs the ordinary profile logic on them, so it
 equals the profile of all files read at once.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.cells import is_numeric_type
-from quarry.operators.profile import STATS_SCHEMA, TableProfile
+from quarry.operators.profile import TableProfile
 
 
 class StreamingProfile:
@@ -36,63 +36,31 @@ class StreamingProfile:
         q.awaitTermination()
 
     def _merge(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        """Store the batch's cell frequencies; overwrite makes a replay exact."""
         p = TableProfile(batch)
-        texts = [s.position for s in p.specs if not is_numeric_type(s.dtype)]
-        nums = [s.position for s in p.specs if is_numeric_type(s.dtype) or isinstance(s.dtype, T.StringType)]
-        parts = {"stats": p.stats_frame().select("position", "rows", "populated")}
-        if texts:
-            parts["text"] = p.text_counts(texts)
-        if nums:
-            parts["numeric"] = p.numeric_counts(nums)
-        for name, frame in parts.items():
-            frame.write.mode("overwrite").parquet(f"{self.state}/{name}/batch_id={batch_id}")
-        batch.unpersist()
+        p.cell_freq.write.mode("overwrite").parquet(f"{self.state}/freq/batch_id={batch_id}")
+        p.cell_freq.unpersist()
 
     def profile(self) -> TableProfile:
         return MergedProfile(self.spark, self.schema, self.state)
 
 
 class MergedProfile(TableProfile):
-    """A profile whose counts are the sums of the stored micro-batch counts."""
+    """A profile whose cell frequencies are the sums over all stored
+    micro-batches; every measure is then derived exactly as for a batch."""
 
     def __init__(self, spark: SparkSession, schema: T.StructType, state: str):
         super().__init__(spark.createDataFrame([], schema))
         self.state = state
 
-    def _part(self, name: str, schema: str) -> DataFrame:
+    @cached_property
+    def cell_freq(self) -> DataFrame:
         try:
-            return self.spark.read.parquet(f"{self.state}/{name}").drop("batch_id")
-        except Exception:  # no batch wrote this part (no such columns)
-            return self.spark.createDataFrame([], schema)
-
-    def text_counts(self, positions):
-        t = self._part("text", "position INT, value STRING, k BIGINT")
-        return (t.where(F.col("position").isin(positions)).groupBy("position", "value")
-                .agg(F.sum("k").cast("long").alias("k")))
-
-    def numeric_counts(self, positions):
-        t = self._part("numeric", "position INT, v DOUBLE, k BIGINT")
-        return (t.where(F.col("position").isin(positions)).groupBy("position", "v")
-                .agg(F.sum("k").cast("long").alias("k")))
-
-    def stats_frame(self) -> DataFrame:
-        base = (self._part("stats", "position INT, rows BIGINT, populated BIGINT")
-                .groupBy("position").agg(F.sum("rows").cast("long").alias("rows"),
-                                         F.sum("populated").cast("long").alias("populated")))
-        num = self.numeric_counts([s.position for s in self.specs])
-        mom = num.groupBy("position").agg(
-            F.sum("k").cast("long").alias("numeric_n"), F.sum(F.col("k") * F.col("v")).alias("sum"),
-            F.min("v").alias("min"), F.max("v").alias("max"))
-        # second pass for the variance about the exact mean: one row per column joined back
-        mean = mom.select("position", (F.col("sum") / F.col("numeric_n")).alias("mean"))
-        var = (num.join(F.broadcast(mean), "position").groupBy("position")
-               .agg((F.sum(F.col("k") * (F.col("v") - F.col("mean")) ** 2) / F.sum("k")).alias("var_pop")))
-        names = F.element_at(F.array(*[F.lit(s.name) for s in self.specs]), F.col("position") + 1)
-        out = base.join(mom, "position", "left").join(var, "position", "left")
-        return out.select("position", names.alias("column_name"), "rows", "populated",
-                          F.coalesce("numeric_n", F.lit(0)).cast("long").alias("numeric_n"),
-                          *[F.col(f.name).cast(f.dataType) for f in STATS_SCHEMA.fields[5:]])
+            stored = self.spark.read.parquet(f"{self.state}/freq").drop("batch_id")
+        except Exception:  # nothing has landed yet
+            return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
+        return (stored.groupBy("position", "value", "v").agg(F.sum("k").cast("long").alias("k"))
+                .persist())
 
     def duplicate_count(self) -> DataFrame:
         raise NotImplementedError("duplicate rows are not kept in the streaming state")
