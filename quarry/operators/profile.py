@@ -262,10 +262,14 @@ class TableProfile:
                    .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
                    .select("position", "pid", "name",
                            (F.col("rank") - F.col("start")).alias("local")))
-        inside = Window.partitionBy("position", "pid", "name").orderBy("v").rowsBetween(
+        # sort only the partitions holding a wanted rank, each once; then
+        # match the (at most four per column) ranks against running counts
+        inside = Window.partitionBy("position", "pid").orderBy("v").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        picked = (rp.join(F.broadcast(located), ["position", "pid"])
+        parts = located.select("position", "pid").distinct()
+        picked = (rp.join(F.broadcast(parts), ["position", "pid"], "left_semi")
                   .withColumn("cum", F.sum("k").over(inside))
+                  .join(F.broadcast(located), ["position", "pid"])
                   .where((F.col("cum") - F.col("k") <= F.col("local"))
                          & (F.col("local") < F.col("cum"))))
         by_name = picked.groupBy("position").agg(
