@@ -47,6 +47,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _explode(df: DataFrame, arr: str, pos: str, out: str) -> DataFrame:
+    """posexplode that keeps the array expression evaluated once: the outer
+    form stops Catalyst from inferring a ``size(arr) > 0`` filter and pushing
+    it (with the whole text fold) below the projection; empty arrays are
+    dropped after the generator instead."""
+    keep = [c for c in df.columns if c != arr]
+    return (df.select(*keep, F.posexplode_outer(arr).alias(pos, out))
+            .where(F.col(pos).isNotNull()))
+
+
 # -- E2: tables in text ---------------------------------------------------------------
 def tables_in_text(text) -> Column:
     """``array<array<string>>``: the tables of a text, each a list of rows
@@ -90,9 +100,9 @@ def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Long form ``(doc_id, table_no, row_no, row_text)``, numbered from 1."""
     docs = spread_small(docs)
     t = docs.select(F.col(id_col).alias("doc_id"), tables_in_text(text_col).alias("tables"))
-    t = t.select("doc_id", F.posexplode("tables").alias("ti", "rows"))
-    return t.select("doc_id", (F.col("ti") + 1).cast("int").alias("table_no"),
-                    F.posexplode("rows").alias("ri", "row_text")).select(
+    t = _explode(t, "tables", "ti", "rows")
+    t = t.select("doc_id", (F.col("ti") + 1).cast("int").alias("table_no"), "rows")
+    return _explode(t, "rows", "ri", "row_text").select(
         "doc_id", "table_no", (F.col("ri") + 1).cast("int").alias("row_no"), "row_text")
 
 
@@ -133,7 +143,7 @@ def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_CHUNK, id_col: str = "d
     """``(doc_id, chunk_no, chunk)``, numbered from 1."""
     docs = spread_small(docs)
     c = docs.select(F.col(id_col).alias("doc_id"), chunks_of(text_col, max_chars).alias("chunks"))
-    return c.select("doc_id", F.posexplode("chunks").alias("i", "chunk")).select(
+    return _explode(c, "chunks", "i", "chunk").select(
         "doc_id", (F.col("i") + 1).cast("int").alias("chunk_no"), "chunk")
 
 
@@ -176,7 +186,7 @@ def sentence_search(docs: DataFrame, query: str, id_col: str = "doc_id",
     """``(doc_id, hit_no, context)``."""
     docs = spread_small(docs)
     h = docs.select(F.col(id_col).alias("doc_id"), sentence_hits(text_col, query).alias("hits"))
-    return h.select("doc_id", F.posexplode("hits").alias("i", "context")).select(
+    return _explode(h, "hits", "i", "context").select(
         "doc_id", (F.col("i") + 1).cast("int").alias("hit_no"), "context")
 
 

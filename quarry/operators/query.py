@@ -80,6 +80,14 @@ def filter_rows(df: DataFrame, column: str, value: str, operator: str = "equals"
             x = py_parse_number(value)
             if x is None:
                 return _none(df)
+            if is_numeric_type(f.dataType):
+                # plain comparison on the column reaches the Parquet scan;
+                # NaN (which compares above every number) is excluded apart
+                c = F.col(f"`{f.name}`")
+                cond = getattr(c, method)(F.lit(x))
+                if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                    cond = cond & ~F.isnan(c)
+                return df.where(cond)
             return df.where(F.coalesce(getattr(_num(f), method)(F.lit(x)), F.lit(False)))
     return df.where(text.contains(F.lit(v)))  # contains, and any unknown operator
 

@@ -68,7 +68,13 @@ def spread_small(df, persist: bool = False):
     and an optional persist are bounded; large inputs are returned as is."""
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
-    if par <= 1 or df.rdd.getNumPartitions() >= par:
+    if par <= 1:
+        return df
+    # an input that already comes out of a shuffle is spread by it; asking
+    # such a plan for its partition count would run its shuffle stages
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    if df.rdd.getNumPartitions() >= par:
         return df
     out = df.repartition(par)
     return out.persist() if persist else out
