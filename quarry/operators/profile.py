@@ -13,8 +13,8 @@ shuffle). Everything is derived from it:
   statistics are picked by rank: per-partition counts (at most partitions +
   columns rows) give each partition's first rank, and only the few
   partitions holding a wanted rank are sorted, so no column is ever sorted
-  in one task, whatever its cardinality. A size check takes a one-task-per-
-  column window instead when every column is small.
+  in one task, whatever its cardinality. A size check keeps the ranged
+  table cached when it is small instead of writing it.
 
 Only duplicate rows need a second scan of the input. The table is mergeable
 by addition, which is what the streaming profile keeps as its state.
@@ -51,8 +51,8 @@ QUALITY = ((95, "excellent"), (80, "good"), (60, "moderate"))
 DIM_LOW, DIM_MODERATE = 0.01, 0.1
 MISSING_NOTE_PCT = 5
 # ---------------------------------------------------------------------------
-SMALL_COLUMN_CELLS = 5_000_000   # rank one column in one task up to this many numbers
-SMALL_TOTAL_CELLS = 20_000_000   # and persist the frequency table up to this many in all
+SMALL_COLUMN_CELLS = 5_000_000   # cache the ranged frequencies up to this many numbers
+SMALL_TOTAL_CELLS = 20_000_000   # per column and in all; write them to the shared folder beyond
 
 STATS_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -80,7 +80,8 @@ class TableProfile:
 
     def __init__(self, df: DataFrame, range_partitions: int | None = None,
                  rank_path: str = "auto"):
-        """``rank_path``: ``auto`` (size checked), ``local`` or ``range``."""
+        """``rank_path``: where the ranged frequencies live: ``auto`` (size
+        checked), ``cache`` or ``write`` (shared folder)."""
         self.df = df
         self._rank_path = rank_path
         self.spark: SparkSession = df.sparkSession
@@ -203,24 +204,25 @@ class TableProfile:
         Written once to the shared folder, so every reader sees the same
         partition ids (and a lost executor cannot change them)."""
         freq = self.numeric_counts(self.numeric_positions)
-        if self.small_numeric:
-            # bounded input: one rank partition per column, kept by persist
-            return freq.withColumn("pid", F.lit(0)).persist()
         ranged = (freq.repartitionByRange(self.range_partitions, "position", "v")
                   .withColumn("pid", F.spark_partition_id()))
+        if self.small_numeric:
+            # bounded size: keep it cached; a lost block is recomputed from the
+            # same physical plan, hence with the same range bounds
+            return ranged.persist()
         path = scratch_path(self.spark, "numeric-freq")
         ranged.write.parquet(path)
         return self.spark.read.parquet(path)
 
     @cached_property
     def small_numeric(self) -> bool:
-        """Size check for the rank pick: when every numeric column has at
-        most ``SMALL_COLUMN_CELLS`` numbers (an upper bound on its distinct
-        values) and all together at most ``SMALL_TOTAL_CELLS``, each column
-        is ranked in one task over a persisted frequency table; beyond that
-        the range-partitioned table is written to the shared folder."""
+        """Size check for keeping the range-partitioned frequencies: when
+        every numeric column has at most ``SMALL_COLUMN_CELLS`` numbers (an
+        upper bound on its distinct values) and all together at most
+        ``SMALL_TOTAL_CELLS``, the table is cached; beyond that it is written
+        once to the shared folder."""
         if self._rank_path != "auto":
-            return self._rank_path == "local"
+            return self._rank_path == "cache"
         ns = [r["numeric_n"] for r in self.stats_rows if r["position"] in set(self.numeric_positions)]
         return bool(ns) and max(ns) <= SMALL_COLUMN_CELLS and sum(ns) <= SMALL_TOTAL_CELLS
 

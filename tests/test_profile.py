@@ -14,7 +14,7 @@ def model_quartiles(xs):
     return s[math.floor(n * 0.25)], med, s[math.floor(n * 0.75)]
 
 
-@pytest.mark.parametrize("path", ["local", "range"])
+@pytest.mark.parametrize("path", ["cache", "write"])
 def test_quartiles_small_n(spark, path):
     rnd = random.Random(3)
     rows, expect = [], {}
