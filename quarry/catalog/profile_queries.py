@@ -151,6 +151,16 @@ def report_lines(spark, sf_dir):
                       lambda p: report.report_frame(p))
 
 
+def report_sink(spark, sf_dir):
+    """The customer report written as a text file in the shared folder and
+    read back (one row per line)."""
+    from quarry.session import scratch_path
+
+    path = scratch_path(spark, "report")
+    report.write_report(TableProfile(PROFILED["customer_nulled"][0](spark, sf_dir)), path)
+    return spark.read.text(path).withColumnRenamed("value", "text")
+
+
 # --- DuckDB oracle ----------------------------------------------------------------
 def _sql_unpivot(tbl: str, cols: list[tuple[str, str]]) -> str:
     parts = []
@@ -319,4 +329,5 @@ QUERIES = {
     "algorithm_rules": algorithm_rules,
     "advice_rules": advice_rules,
     "report_lines": report_lines,
+    "report_sink": report_sink,
 }

@@ -27,5 +27,5 @@ def test_entry_and_registry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "kind" in df.columns
     qs, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(qs) and len(qs) >= 57
+    assert set(sql) <= set(qs) and len(qs) >= 58
     assert qs["filter_gt"](spark, "/root/testdata/sf0.001").where(F.col("l_quantity") <= 45).count() == 0
