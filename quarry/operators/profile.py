@@ -26,6 +26,7 @@ per column, so its size is bounded by the schema, not the data).
 from __future__ import annotations
 
 import math
+import weakref
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -111,9 +112,11 @@ class TableProfile:
                       else cells.as_cell(F.col(f"`{s.name}`"), s.dtype)).alias("value"),
                      cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
             for s in self.specs])
-        return (self.df.select(F.inline(cellsets))
+        freq = (self.df.select(F.inline(cellsets))
                 .groupBy("position", "value", "v").agg(F.count(F.lit(1)).alias("k"))
                 .persist())
+        weakref.finalize(self, _release, freq)
+        return freq
 
     def stats_frame(self) -> DataFrame:
         """Per-column counts and moments from the cell frequencies, one row
@@ -209,7 +212,9 @@ class TableProfile:
         if self.small_numeric:
             # bounded size: keep it cached; a lost block is recomputed from the
             # same physical plan, hence with the same range bounds
-            return ranged.persist()
+            ranged = ranged.persist()
+            weakref.finalize(self, _release, ranged)
+            return ranged
         path = scratch_path(self.spark, "numeric-freq")
         ranged.write.parquet(path)
         return self.spark.read.parquet(path)
@@ -385,6 +390,14 @@ class TableProfile:
             .otherwise(F.lit("high")))
 
 
+def _release(frame: DataFrame) -> None:
+    """Drop a cached table once its profile is gone (ignored at shutdown)."""
+    try:
+        frame.unpersist()
+    except Exception:  # noqa: BLE001 - the session may already be stopped
+        pass
+
+
 def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
     """Kinds, missing share, moments and every label, as column expressions."""
     c = F.col
