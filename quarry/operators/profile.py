@@ -140,9 +140,13 @@ class TableProfile:
                .groupBy("position")
                .agg((F.sum(F.col("k") * (F.col("v") - F.col("mean")) ** 2) / F.sum("k")).alias("var_pop")))
         names = F.element_at(F.array(*[F.lit(s.name) for s in self.specs]), F.col("position") + 1)
-        return (base.join(var, "position", "left")
+        # every column appears, also when the table has no rows
+        every = self.spark.range(len(self.specs)).select(F.col("id").cast("int").alias("position"))
+        zero = {"rows", "populated", "numeric_n"}
+        return (every.join(base, "position", "left").join(var, "position", "left")
                 .select("position", names.alias("column_name"),
-                        *[F.col(x.name).cast(x.dataType) for x in STATS_SCHEMA.fields[2:]]))
+                        *[(F.coalesce(F.col(x.name), F.lit(0)) if x.name in zero else F.col(x.name))
+                          .cast(x.dataType).alias(x.name) for x in STATS_SCHEMA.fields[2:]]))
 
     @cached_property
     def stats_rows(self) -> list[Row]:

@@ -86,3 +86,14 @@ def test_freq_sums_to_populated(spark):
     sums = {r["position"]: r["s"] for r in p.freq_text.groupBy("position").agg(F.sum("k").alias("s")).collect()}
     for pos, s in sums.items():
         assert s == pops[pos]
+
+
+def test_zero_rows_and_null_column(spark):
+    z = TableProfile(spark.createDataFrame([], "c1 STRING, n DOUBLE"))
+    kinds = {r["column_name"]: (r["kind"], r["rows"]) for r in z.columns().collect()}
+    assert kinds == {"c1": ("empty", 0), "n": ("empty", 0)}
+    ov = z.overview().collect()[0]
+    assert ov["completeness"] is None and ov["quality"] == "no data"
+    p = TableProfile(spark.createDataFrame([(1, None), (2, None)], "k INT, e DOUBLE"))
+    kinds = {r["column_name"]: r["kind"] for r in p.columns().collect()}
+    assert kinds == {"k": "numeric", "e": "empty"}
