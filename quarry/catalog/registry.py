@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.catalog import (
     document_queries, profile_queries, query_queries, source_queries, stream_queries,

@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.functions.cells import WS_CHARS
 from quarry.operators import documents as D
