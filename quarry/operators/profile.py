@@ -102,8 +102,8 @@ class TableProfile:
         collapses repeated cells inside each task, so a value holding a third
         of all rows costs one row per task in the shuffle. Everything else in
         the profile (counts, moments, kinds, top values, cardinality, numeric
-        frequencies) is derived from this table, which is kept (persisted,
-        recomputable from its lineage) because several jobs read it."""
+        frequencies) is derived from this table, which is cached once
+        (recomputable from its lineage) because several jobs read it."""
         if not self.specs:
             return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
         cellsets = F.array(*[
@@ -113,10 +113,8 @@ class TableProfile:
                      cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
             for s in self.specs])
         freq = (self.df.select(F.inline(cellsets))
-                .groupBy("position", "value", "v").agg(F.count(F.lit(1)).alias("k"))
-                .persist())
-        weakref.finalize(self, _release, freq)
-        return freq
+                .groupBy("position", "value", "v").agg(F.count(F.lit(1)).alias("k")))
+        return _materialize(self, freq)
 
     def stats_frame(self) -> DataFrame:
         """Per-column counts and moments from the cell frequencies, one row
@@ -216,9 +214,7 @@ class TableProfile:
         if self.small_numeric:
             # bounded size: keep it cached; a lost block is recomputed from the
             # same physical plan, hence with the same range bounds
-            ranged = ranged.persist()
-            weakref.finalize(self, _release, ranged)
-            return ranged
+            return _materialize(self, ranged)
         path = scratch_path(self.spark, "numeric-freq")
         ranged.write.parquet(path)
         return self.spark.read.parquet(path)
@@ -394,6 +390,16 @@ class TableProfile:
             .otherwise(F.lit("high")))
 
 
+def _materialize(owner, frame: DataFrame) -> DataFrame:
+    """Persist a table read by several branches of later plans and fill the
+    cache with one job: branches reading a cache that is not filled yet would
+    each compute the table. The cache is dropped when ``owner`` is."""
+    frame = frame.persist()
+    frame.count()
+    weakref.finalize(owner, _release, frame)
+    return frame
+
+
 def _release(frame: DataFrame) -> None:
     """Drop a cached table once its profile is gone (ignored at shutdown)."""
     try:

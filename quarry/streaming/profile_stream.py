@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.profile import TableProfile
+from quarry.operators.profile import TableProfile, _materialize
 
 
 class StreamingProfile:
@@ -59,8 +59,8 @@ class MergedProfile(TableProfile):
             stored = self.spark.read.parquet(f"{self.state}/freq").drop("batch_id")
         except Exception:  # nothing has landed yet
             return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
-        return (stored.groupBy("position", "value", "v").agg(F.sum("k").cast("long").alias("k"))
-                .persist())
+        return _materialize(self, stored.groupBy("position", "value", "v")
+                            .agg(F.sum("k").cast("long").alias("k")))
 
     def duplicate_count(self) -> DataFrame:
         raise NotImplementedError("duplicate rows are not kept in the streaming state")
