@@ -235,11 +235,13 @@ class TableProfile:
     def range_partitions(self) -> int:
         if self._range_partitions:
             return self._range_partitions
-        base = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         total = sum(r["numeric_n"] for r in self.stats_rows
                     if r["position"] in set(self.numeric_positions))
-        # about a million numeric cells per range partition, at most 20,000
-        return max(base, min(20000, math.ceil(total / 1_000_000)))
+        # follows the data, not the shuffle setting: about a million numeric
+        # cells per range partition (at most 20,000 partitions), and no more
+        # partitions than cores when the data is small
+        cores = self.spark.sparkContext.defaultParallelism
+        return max(1, min(20000, max(math.ceil(total / 1_000_000), min(cores, math.ceil(total / 50_000)))))
 
     def order_stats(self) -> DataFrame:
         """``(position, q1, median, q3)``, exact, for the numeric columns.
