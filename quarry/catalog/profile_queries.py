@@ -18,7 +18,8 @@ def _r(c):
     return F.round(F.col(c), R).alias(c)
 
 
-def _profiles(spark: SparkSession, sf_dir: str, names: list[str]) -> list[tuple[str, TableProfile]]:
+def _profiles(spark: SparkSession, sf_dir: str, names: list[str],
+              order_stats: bool = True) -> list[tuple[str, TableProfile]]:
     """Profiles of several tables, computed concurrently: their jobs are
     independent, so submitting them from threads lets them share the
     cluster instead of queueing one table after another."""
@@ -26,7 +27,7 @@ def _profiles(spark: SparkSession, sf_dir: str, names: list[str]) -> list[tuple[
 
     profs = [(n, TableProfile(PROFILED[n][0](spark, sf_dir))) for n in names]
     with ThreadPoolExecutor(max_workers=min(4, len(profs))) as pool:
-        list(pool.map(lambda np: np[1].columns(), profs))
+        list(pool.map(lambda np: np[1].columns(order_stats), profs))
     return profs
 
 
@@ -34,8 +35,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _per_table(spark, sf_dir, names, fn) -> DataFrame:
-    return _union([fn(p).select(F.lit(n).alias("table_name"), "*") for n, p in _profiles(spark, sf_dir, names)])
+def _per_table(spark, sf_dir, names, fn, order_stats: bool = True) -> DataFrame:
+    return _union([fn(p).select(F.lit(n).alias("table_name"), "*")
+                   for n, p in _profiles(spark, sf_dir, names, order_stats)])
 
 
 # --- Spark side -----------------------------------------------------------------
@@ -43,21 +45,21 @@ def profile_overview(spark, sf_dir):
     return _per_table(spark, sf_dir, ["customer_nulled", "lineitem_skewed"],
                       lambda p: p.overview().select(
                           "rows", "columns", "empty_cells", "total_cells", "populated_cells",
-                          _r("completeness"), "quality", "dimensionality"))
+                          _r("completeness"), "quality", "dimensionality"), order_stats=False)
 
 
 KIND_TABLES = ["customer_nulled", "part_text", "orders", "documents", "lineitem_skewed"]
 
 
 def column_kinds(spark, sf_dir):
-    return _per_table(spark, sf_dir, KIND_TABLES, lambda p: p.columns().select(
-        "position", "column_name", "populated", "numeric_n", "distinct_n", "kind"))
+    return _per_table(spark, sf_dir, KIND_TABLES, lambda p: p.columns(False).select(
+        "position", "column_name", "populated", "numeric_n", "distinct_n", "kind"), order_stats=False)
 
 
 def column_missing(spark, sf_dir):
-    return _per_table(spark, sf_dir, ["customer_nulled"], lambda p: p.columns().select(
+    return _per_table(spark, sf_dir, ["customer_nulled"], lambda p: p.columns(False).select(
         "position", "column_name", "missing", _r("missing_pct"), "missing_pct_1dp",
-        (F.col("missing_pct_1dp") > 5).alias("missing_over_5")))
+        (F.col("missing_pct_1dp") > 5).alias("missing_over_5")), order_stats=False)
 
 
 NUM_TABLES = ["lineitem_skewed", "part_text", "customer_nulled"]
@@ -102,15 +104,15 @@ CARD_TABLES = ["customer_nulled", "part_text", "documents", "orders", "lineitem_
 
 
 def column_cardinality(spark, sf_dir):
-    return _per_table(spark, sf_dir, CARD_TABLES, lambda p: p.columns().where(
+    return _per_table(spark, sf_dir, CARD_TABLES, lambda p: p.columns(False).where(
         F.col("kind").isin("categorical", "text")).select(
         "position", "column_name", "populated", "distinct_n", _r("cardinality_ratio"),
-        "cardinality", _r("top_share"), "concentration"))
+        "cardinality", _r("top_share"), "concentration"), order_stats=False)
 
 
 def top_values(spark, sf_dir):
     return _per_table(spark, sf_dir, CARD_TABLES, lambda p: p.top_values_named().select(
-        "position", "column_name", "rank", "value", "k", _r("share")))
+        "position", "column_name", "rank", "value", "k", _r("share")), order_stats=False)
 
 
 def duplicate_rows(spark, sf_dir):

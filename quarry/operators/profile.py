@@ -88,7 +88,7 @@ class TableProfile:
         self.spark: SparkSession = df.sparkSession
         self.specs = [ColumnSpec(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
         self._range_partitions = range_partitions
-        self._columns: DataFrame | None = None
+        self._columns: dict[bool, DataFrame] = {}
 
     # -- the one scan: cell frequencies ---------------------------------------
     @cached_property
@@ -346,18 +346,29 @@ class TableProfile:
             (F.coalesce(F.col("rows"), F.lit(0)) - F.col("distinct_rows")).alias("duplicates"))
 
     # -- the per-column profile ----------------------------------------------
-    def columns(self) -> DataFrame:
+    def columns(self, order_stats: bool = True) -> DataFrame:
         """One row per column with every per-column measure and label.
-        Computed once (one plan) and kept as a small local frame."""
-        if self._columns is None:
-            frame = self._columns_plan()
-            self._columns = self.spark.createDataFrame(frame.collect(), frame.schema)
-        return self._columns
-
-    def _columns_plan(self) -> DataFrame:
+        Computed once (one plan) and kept as a small local frame. With
+        ``order_stats=False`` the quartiles, median and outliers (the rank
+        pick, the costliest part) and the labels derived from them are left
+        null, for callers that only need kinds, counts, moments or
+        cardinality."""
+        if order_stats not in self._columns:
+            if not order_stats and True in self._columns:
+                return self._columns[True]
+            frame = self._columns_plan(order_stats)
+            self._columns[order_stats] = self.spark.createDataFrame(frame.collect(), frame.schema)
+        return self._columns[order_stats]
+
+    def _columns_plan(self, order_stats: bool = True) -> DataFrame:
         st = self.stats()
-        quart = self.order_stats()
-        outl = self.outlier_counts(quart)
+        if order_stats:
+            quart = self.order_stats()
+            outl = self.outlier_counts(quart)
+        else:
+            quart = self.spark.createDataFrame(
+                [], "position INT, q1 DOUBLE, median DOUBLE, q3 DOUBLE")
+            outl = self.spark.createDataFrame([], "position INT, outliers BIGINT")
         card = self.cardinality()
         top1 = self.top_values(1).select("position", F.col("k").alias("top_k"))
         df = (st.join(quart, "position", "left").join(outl, "position", "left")
@@ -436,7 +447,7 @@ def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
     df = df.withColumn("outlier_pct", c("outliers") * F.lit(100.0) / c("numeric_n"))
     diff = c("mean") - c("median")
     df = df.withColumn("skew_score", diff / (c("sd") + SKEW_EPS))
-    df = df.withColumn("skew", F.when(~num, F.lit(None))
+    df = df.withColumn("skew", F.when(~num | c("median").isNull(), F.lit(None))
                        .when(F.abs(diff) < c("sd") * SKEW_BAND, F.lit("symmetric"))
                        .when(c("mean") > c("median"), F.lit("right"))
                        .otherwise(F.lit("left")))
@@ -445,7 +456,7 @@ def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
                        .when(c("mean") == 0, F.when(c("sd") > 0, F.lit("high")).otherwise(F.lit("low")))
                        .when(cv > VAR_HIGH, F.lit("high")).when(cv > VAR_MODERATE, F.lit("moderate"))
                        .otherwise(F.lit("low")))
-    df = df.withColumn("distribution", F.when(~num, F.lit(None))
+    df = df.withColumn("distribution", F.when(~num | c("median").isNull(), F.lit(None))
                        .when(c("mean") > c("median"), F.lit("higher"))
                        .when(c("mean") < c("median"), F.lit("lower"))
                        .otherwise(F.lit("similar")))
