@@ -104,6 +104,10 @@ class TableProfile:
         the profile (counts, moments, kinds, top values, cardinality, numeric
         frequencies) is derived from this table, which is cached once
         (recomputable from its lineage) because several jobs read it."""
+        return _materialize(self, self.cell_counts())
+
+    def cell_counts(self) -> DataFrame:
+        """The cell-frequency table as a plan (not cached), for single use."""
         if not self.specs:
             return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
         cellsets = F.array(*[
@@ -112,9 +116,8 @@ class TableProfile:
                       else cells.as_cell(F.col(f"`{s.name}`"), s.dtype)).alias("value"),
                      cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
             for s in self.specs])
-        freq = (self.df.select(F.inline(cellsets))
+        return (self.df.select(F.inline(cellsets))
                 .groupBy("position", "value", "v").agg(F.count(F.lit(1)).alias("k")))
-        return _materialize(self, freq)
 
     def stats_frame(self) -> DataFrame:
         """Per-column counts and moments from the cell frequencies, one row

@@ -37,9 +37,8 @@ class StreamingProfile:
 
     def _merge(self, batch: DataFrame, batch_id: int) -> None:
         """Store the batch's cell frequencies; overwrite makes a replay exact."""
-        p = TableProfile(batch)
-        p.cell_freq.write.mode("overwrite").parquet(f"{self.state}/freq/batch_id={batch_id}")
-        p.cell_freq.unpersist()
+        TableProfile(batch).cell_counts().write.mode("overwrite").parquet(
+            f"{self.state}/freq/batch_id={batch_id}")
 
     def profile(self) -> TableProfile:
         return MergedProfile(self.spark, self.schema, self.state)
