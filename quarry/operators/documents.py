@@ -88,7 +88,10 @@ def tables_in_text(text) -> Column:
         return (F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"])))
                 .otherwise(acc["done"]))
 
-    return F.aggregate(info, init, step, finish)
+    t = F.coalesce(_col(text), F.lit(""))
+    # fast path: a text with no two spaces and no tab has no candidate line
+    return F.when(t.contains("  ") | t.contains("\t"), F.aggregate(info, init, step, finish)) \
+        .otherwise(F.array().cast("array<array<string>>"))
 
 
 def _row(line: Column) -> Column:
@@ -135,7 +138,11 @@ def chunks_of(text, max_chars: int = DEFAULT_CHUNK) -> Column:
         last = _trim(acc["cur"])
         return F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
 
-    return F.aggregate(pars, init, step, finish)
+    t = F.coalesce(_col(text), F.lit(""))
+    single = _trim(t)
+    # fast path: without a blank line the text is one paragraph, one chunk
+    return F.when(t.contains("\n\n"), F.aggregate(pars, init, step, finish)).otherwise(
+        F.when(single != "", F.array(single)).otherwise(F.array().cast("array<string>")))
 
 
 def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_CHUNK, id_col: str = "doc_id",
