@@ -66,3 +66,20 @@ def test_latest_and_retention_per_key(spark):
     assert latest == {"a": (9, 2), "b": (1, 100)}
     old = sorted(r["ts"] for r in older_than_newest(df, "k", ["ts", "id"], keep=5).collect())
     assert old == [1, 2]
+
+
+def test_read_delimited_requires_rows(spark):
+    import pytest
+
+    d = tempfile.mkdtemp(dir="/tmp")
+    with open(os.path.join(d, "h.csv"), "w") as f:
+        f.write("a,b\n")
+    assert read_delimited(spark, d).count() == 0
+    with pytest.raises(ValueError):
+        read_delimited(spark, d, require_rows=True)
+
+
+def test_package_exports():
+    import quarry
+
+    assert quarry.TableProfile and quarry.report.render and quarry.query.filter_rows
