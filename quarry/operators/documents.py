@@ -47,6 +47,23 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+BLOCK = 64  # items per accumulator block (see _push)
+
+
+def _push(blk: Column, blks: Column, item: Column) -> tuple[Column, Column]:
+    """Append ``item`` to a blocked list ``(blk, blks)``: a fold that
+    appended to one array would copy it on every step (quadratic in its
+    length); here only a block of at most BLOCK items is copied, and full
+    blocks are pushed to ``blks`` (1/BLOCK as many copies)."""
+    full = F.size(blk) >= BLOCK
+    return (F.when(full, F.array(item)).otherwise(F.concat(blk, F.array(item))),
+            F.when(full, F.concat(blks, F.array(blk))).otherwise(blks))
+
+
+def _items(blk: Column, blks: Column) -> Column:
+    return F.flatten(F.concat(blks, F.array(blk)))
+
+
 def _explode(df: DataFrame, arr: str, pos: str, out: str) -> DataFrame:
     """posexplode that keeps the array expression evaluated once: the outer
     form stops Catalyst from inferring a ``size(arr) > 0`` filter and pushing
@@ -73,20 +90,26 @@ def tables_in_text(text) -> Column:
     lines = F.split(F.coalesce(_col(text), F.lit("")), LINE_BREAK, -1)
     info = F.transform(lines, lambda ln: F.struct(
         (ln.contains("  ") | ln.contains("\t")).alias("cand"), _row(ln).alias("row")))
-    init = F.struct(F.array().cast("array<string>").alias("cur"),
-                    F.array().cast("array<array<string>>").alias("done"))
+    s1, s2, s3 = "array<string>", "array<array<string>>", "array<array<array<string>>>"
+    init = F.struct(F.array().cast(s1).alias("rb"), F.array().cast(s2).alias("rbs"),
+                    F.array().cast(s2).alias("tb"), F.array().cast(s3).alias("tbs"))
 
     def step(acc, x):
-        cur = (F.when(~x["cand"], F.array().cast("array<string>"))
-               .when(x["row"].isNotNull(), F.concat(acc["cur"], F.array(x["row"])))
-               .otherwise(acc["cur"]))
-        done = (F.when(~x["cand"] & (F.size(acc["cur"]) > 0), F.concat(acc["done"], F.array(acc["cur"])))
-                .otherwise(acc["done"]))
-        return F.struct(cur.alias("cur"), done.alias("done"))
+        is_open = (F.size(acc["rb"]) > 0) | (F.size(acc["rbs"]) > 0)
+        rb, rbs = _push(acc["rb"], acc["rbs"], x["row"])
+        tb, tbs = _push(acc["tb"], acc["tbs"], _items(acc["rb"], acc["rbs"]))
+        close = ~x["cand"] & is_open
+        add = x["cand"] & x["row"].isNotNull()
+        return F.struct(
+            F.when(~x["cand"], F.array().cast(s1)).when(add, rb).otherwise(acc["rb"]).alias("rb"),
+            F.when(~x["cand"], F.array().cast(s2)).when(add, rbs).otherwise(acc["rbs"]).alias("rbs"),
+            F.when(close, tb).otherwise(acc["tb"]).alias("tb"),
+            F.when(close, tbs).otherwise(acc["tbs"]).alias("tbs"))
 
     def finish(acc):
-        return (F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(acc["cur"])))
-                .otherwise(acc["done"]))
+        is_open = (F.size(acc["rb"]) > 0) | (F.size(acc["rbs"]) > 0)
+        tb, tbs = _push(acc["tb"], acc["tbs"], _items(acc["rb"], acc["rbs"]))
+        return F.when(is_open, _items(tb, tbs)).otherwise(_items(acc["tb"], acc["tbs"]))
 
     t = F.coalesce(_col(text), F.lit(""))
     # fast path: a text with no two spaces and no tab has no candidate line
@@ -121,27 +144,31 @@ def chunks_of(text, max_chars: int = DEFAULT_CHUNK) -> Column:
     """
     pars = F.split(F.coalesce(_col(text), F.lit("")), PARAGRAPH_SPLIT, -1)
     init = F.struct(F.lit("").alias("cur"), F.lit(0).alias("len"),
-                    F.array().cast("array<string>").alias("done"))
+                    F.array().cast("array<string>").alias("db"),
+                    F.array().cast("array<array<string>>").alias("dbs"))
 
     def step(acc, p):
         plen = F.length(p)
         flush = (acc["len"] + plen > F.lit(max_chars)) & (acc["len"] > 0)
         joined = F.when(acc["len"] > 0, F.concat(acc["cur"], F.lit(PARAGRAPH_JOIN), p)).otherwise(p)
+        db, dbs = _push(acc["db"], acc["dbs"], _trim(acc["cur"]))
         return F.struct(
             F.when(flush, p).otherwise(joined).alias("cur"),
             F.when(flush, plen).otherwise(
                 acc["len"] + F.when(acc["len"] > 0, F.lit(2)).otherwise(F.lit(0)) + plen).alias("len"),
-            F.when(flush, F.concat(acc["done"], F.array(_trim(acc["cur"])))).otherwise(acc["done"])
-            .alias("done"))
+            F.when(flush, db).otherwise(acc["db"]).alias("db"),
+            F.when(flush, dbs).otherwise(acc["dbs"]).alias("dbs"))
 
     def finish(acc):
         last = _trim(acc["cur"])
-        return F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
+        db, dbs = _push(acc["db"], acc["dbs"], last)
+        return F.when(last != "", _items(db, dbs)).otherwise(_items(acc["db"], acc["dbs"]))
 
+    folded = F.aggregate(pars, init, step, finish)
     t = F.coalesce(_col(text), F.lit(""))
     single = _trim(t)
     # fast path: without a blank line the text is one paragraph, one chunk
-    return F.when(t.contains("\n\n"), F.aggregate(pars, init, step, finish)).otherwise(
+    return F.when(t.contains("\n\n"), folded).otherwise(
         F.when(single != "", F.array(single)).otherwise(F.array().cast("array<string>")))
 
 

@@ -121,3 +121,18 @@ def test_doc_stats(spark):
     df = spark.createDataFrame([(1, "A  B\nx\nC\tD"), (2, None)], "doc_id LONG, text STRING")
     got = {r["doc_id"]: (r["text_length"], r["tables_found"]) for r in D.doc_stats(df).collect()}
     assert got == {1: (10, 2), 2: (0, 0)}
+
+
+def test_blocked_accumulators_cross_block_edges(spark):
+    """Tables with more rows than a block, more tables than a block, and
+    more chunks than a block, against the literal models."""
+    big_table = "\n".join(f"r{i}  c{i}" for i in range(3 * D.BLOCK + 5))
+    many_tables = "\n".join(f"a{i}  b{i}\nplain" for i in range(2 * D.BLOCK + 3))
+    many_chunks = "\n\n".join(f"p{i}" for i in range(3 * D.BLOCK + 7))
+    texts = [big_table, many_tables, many_chunks, big_table + "\n\n" + many_chunks]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    rows = df.select("doc_id", D.tables_in_text("text").alias("t"), D.chunks_of("text", 4).alias("c")).collect()
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert [list(x) for x in r["t"]] == model_tables(t)
+        assert list(r["c"]) == model_chunks(t, 4)
