@@ -97,3 +97,14 @@ def test_zero_rows_and_null_column(spark):
     p = TableProfile(spark.createDataFrame([(1, None), (2, None)], "k INT, e DOUBLE"))
     kinds = {r["column_name"]: r["kind"] for r in p.columns().collect()}
     assert kinds == {"k": "numeric", "e": "empty"}
+
+
+def test_column_names_with_spaces_and_dots(spark):
+    from quarry import query
+
+    df = spark.createDataFrame([("1", "a"), ("2", "b"), ("2", "a")], "`unit price` STRING, `seg.name` STRING")
+    cols = {r["column_name"]: (r["kind"], r["median"]) for r in TableProfile(df).columns().collect()}
+    assert cols == {"unit price": ("numeric", 2.0), "seg.name": ("text", None)}
+    assert query.filter_rows(df, "price", "1", ">").count() == 2
+    got = {r["group_key"]: r["value"] for r in query.group_by(df, "seg", "unit", "sum").collect()}
+    assert got == {"a": 3.0, "b": 2.0}
