@@ -156,7 +156,3 @@ def group_by(df: DataFrame, group_column: str, value_column: str, operation: str
     return (df.select(_cell(g).alias("group_key"), x.alias("x")).where(F.col("group_key") != "")
             .groupBy("group_key").agg(F.coalesce(agg, F.lit(0.0)).alias("value")))
 
-
-def is_typed_number(df: DataFrame, column: str) -> bool:
-    f = _field(df, column)
-    return f is not None and is_numeric_type(f.dataType)

@@ -6,6 +6,8 @@ and one row of facts. Section order and sentences follow the reference.
 
 from __future__ import annotations
 
+from quarry.operators.profile import MISSING_NOTE_PCT
+
 # --- fixed values: report headings and sentences of the reference ---------------------
 TITLE = ["DATA SCIENCE ANALYSIS REPORT", "Comprehensive Dataset Evaluation and Insights", "", ""]
 SUMMARY_HEAD = ["EXECUTIVE SUMMARY", ""]
@@ -231,7 +233,7 @@ def render_lines(rows, headers, cols, tops, fact, fired, locale, to_fixed):
                     pct=to_fixed(c["outliers"] / c["numeric_n"] * 100, 1),
                     lo=l2(c["lower_fence"]), hi=l2(c["upper_fence"])), "")
             if missing > 0:
-                advice = NUMERIC_MISSING_HIGH if float(mpct) > 5 else NUMERIC_MISSING_LOW
+                advice = NUMERIC_MISSING_HIGH if float(mpct) > MISSING_NOTE_PCT else NUMERIC_MISSING_LOW
                 put("variables", NUMERIC_MISSING.format(n=locale(missing), pct=mpct, advice=advice), "")
             else:
                 put("variables", NUMERIC_COMPLETE, "")
