@@ -52,7 +52,7 @@ def merge_runs(slim: DataFrame, runs: int) -> DataFrame:
                .agg(F.min(_order()).alias("best"), F.count(F.lit(1)).alias("size")))
     left = max(1, runs)
     while left > 1:
-        left = -(-left >> FAN_BITS) if left >> FAN_BITS << FAN_BITS == left else (left >> FAN_BITS) + 1
+        left = -(-left // (1 << FAN_BITS))
         entries = (entries.withColumn("run", F.shiftright("run", FAN_BITS))
                    .groupBy("run", "digest", "proof")
                    .agg(F.min("best").alias("best"), F.sum("size").alias("size")))
