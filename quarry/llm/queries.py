@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, exact_dedup, packing
+from quarry.llm import byte_bpe, exact_dedup, packing, url_filter
 from quarry.llm.common import table
 
 
@@ -23,7 +23,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op8_exact_dedup, op9_byte_bpe)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
 
 ORACLES = {
     "op8_exact_dedup": """
