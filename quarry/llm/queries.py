@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, exact_dedup, packing, url_filter
+from quarry.llm import byte_bpe, exact_dedup, packing, url_filter, warc
 from quarry.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
@@ -27,9 +31,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
 
 ORACLES = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS digest FROM pages),
+        h AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS head FROM p)
+        SELECT page_id, octet_length(b) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN octet_length(b) < 1000 OR page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN octet_length(b) >= 1000 AND page_id <> head THEN head END AS refers_to
+        FROM h
+    """,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                           regexp_replace(coalesce(text, ''), '[ \\t-\\r]', '', 'g') AS b FROM documents)
