@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, exact_dedup, packing, url_filter, warc
+from quarry.llm import byte_bpe, exact_dedup, html_extract, packing, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
@@ -31,7 +35,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_html_extract, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
 
 ORACLES = {
     "op1_warc": """

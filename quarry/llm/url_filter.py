@@ -47,10 +47,15 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 NAMES = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{16,}|[0-9]+"
 
 
+def host_of(url) -> F.Column:
+    """After the first ``://`` up to the path, A-Z lower-cased; null: empty."""
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), PARTS, 1), UPPER, LOWER)
+
+
 def parsed(df: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     return df.select(F.col(id_col).cast("long").alias("page_id"),
-                     F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER).alias("host"),
+                     host_of(url).alias("host"),
                      F.regexp_extract(url, PARTS, 2).alias("path"))
 
 
