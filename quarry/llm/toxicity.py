@@ -1,6 +1,6 @@
 """Toxicity scores by a counterfactually regularised linear classifier.
 
-Method. Texts become sets of lower-cased words and their first four to six
+Method. Texts become sets of lower-cased words and their first four to eight
 letters, so that inflected forms share features. Features are chosen by their
 likelihood ratio over the labelled sample, and a logistic model is fitted with
 two penalties: the squares of the weights, and the squared change of score
@@ -38,9 +38,9 @@ SAMPLE_ROWS = 12_000
 FEATURES = 3000
 LEAST_RATIO = 15.0
 THRESHOLD = 0.3
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 HELD_OUT = 2
-L2 = 2.0
+L2 = 0.3
 FAIRNESS = 50.0
 CACHE_WORDS = 200_000
 WORD = re.compile(r"\w+")
