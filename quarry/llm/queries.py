@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, exact_dedup, html_extract, packing, toxicity, url_filter, warc
+from quarry.llm import byte_bpe, exact_dedup, html_extract, line_dedup, packing, toxicity, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, count_col="n_dropped")
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -39,7 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_toxicity, op5_html_extract, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
 
 ORACLES = {
     "op1_warc": """
