@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, exact_dedup, html_extract, line_dedup, packing, toxicity, url_filter, warc
+from quarry.llm import byte_bpe, exact_dedup, html_extract, line_dedup, ngram_join, packing, toxicity, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
 
 ORACLES = {
     "op1_warc": """
