@@ -37,6 +37,8 @@ from quarry.llm.words import Runs, batches_of
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
+#: pairs whose places are sent to the texts; more pairs, and the texts are shuffled
+BROADCAST_PAIRS = 500_000
 LAST = 2**63 - 1
 
 
@@ -156,6 +158,8 @@ def _verified(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose lines are at distance 1 word by word."""
     ends = (pairs.select(F.col("at").alias("p")).unionByName(pairs.select(F.col("to").alias("p")))
             .select("p.*").distinct().groupBy("id", "row").agg(F.collect_list("line").alias("lines")))
+    if pairs.count() <= BROADCAST_PAIRS:
+        ends = F.broadcast(ends)
     texts = (keyed.join(ends, ["id", "row"]).dropDuplicates(["id", "row"])
              .select("id", "row", F.explode("lines").alias("line"), F.split("text", "\n").alias("all"))
              .select(_place().alias("p"), F.col("all")[F.col("line")].alias("words")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, exact_dedup, html_extract, line_dedup, ngram_join, packing, toxicity, url_filter, warc
+from quarry.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, toxicity, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op7_embedding_dedup, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
 
 ORACLES = {
     "op1_warc": """
