@@ -208,8 +208,6 @@ def parse(page: str, template: frozenset = frozenset(), found: list | None = Non
         if not off:
             seen["article"] |= inner
             seen["main"] |= main
-        if off and not top.off:
-            flush()
         key = f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}" if track else ""
         plain = (inner or main) and tag not in CONTAINER or tag in ("html", "body", "article", "main")
         stack.append(Element(tag, off, inner, main, len(blocks), key, plain))
