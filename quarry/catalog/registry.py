@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.catalog import (
-    document_queries, profile_queries, query_queries, source_queries, stream_queries,
+    document_queries, prep_queries, profile_queries, query_queries, source_queries, stream_queries,
 )
 from quarry.catalog.inputs import lineitem_skewed
 from quarry.operators.profile import TableProfile
@@ -26,6 +26,7 @@ def queries():
     q.update(document_queries.QUERIES)
     q.update(source_queries.QUERIES)
     q.update(stream_queries.QUERIES)
+    q.update(prep_queries.QUERIES)
     return q
 
 
@@ -36,4 +37,5 @@ def oracle_sql():
     o.update(document_queries.sql())
     o.update(source_queries.sql())
     o.update(stream_queries.sql())
+    o.update(prep_queries.sql())
     return {k: v for k, v in o.items() if k in queries()}
