@@ -26,7 +26,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(least, "u").where("v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
         small = (pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
