@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.cells import WS_CHARS, WS_CLASS
-from quarry.session import spread_small
 
 # --- fixed values: the reference's text rules -----------------------------------
 LINE_BREAK = "\n"
@@ -124,7 +123,6 @@ def _row(line: Column) -> Column:
 
 def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Long form ``(doc_id, table_no, row_no, row_text)``, numbered from 1."""
-    docs = spread_small(docs)
     t = docs.select(F.col(id_col).alias("doc_id"), tables_in_text(text_col).alias("tables"))
     t = _explode(t, "tables", "ti", "rows")
     t = t.select("doc_id", (F.col("ti") + 1).cast("int").alias("table_no"), "rows")
@@ -175,7 +173,6 @@ def chunks_of(text, max_chars: int = DEFAULT_CHUNK) -> Column:
 def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_CHUNK, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """``(doc_id, chunk_no, chunk)``, numbered from 1."""
-    docs = spread_small(docs)
     c = docs.select(F.col(id_col).alias("doc_id"), chunks_of(text_col, max_chars).alias("chunks"))
     return _explode(c, "chunks", "i", "chunk").select(
         "doc_id", (F.col("i") + 1).cast("int").alias("chunk_no"), "chunk")
@@ -218,7 +215,6 @@ def sentence_hits(text, query: str) -> Column:
 def sentence_search(docs: DataFrame, query: str, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(doc_id, hit_no, context)``."""
-    docs = spread_small(docs)
     h = docs.select(F.col(id_col).alias("doc_id"), sentence_hits(text_col, query).alias("hits"))
     return _explode(h, "hits", "i", "context").select(
         "doc_id", (F.col("i") + 1).cast("int").alias("hit_no"), "context")
@@ -228,7 +224,6 @@ def keyword_hits(docs: DataFrame, query: str, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``(doc_id, keywords_found)`` for documents whose lower-cased text
     contains at least one keyword of the query."""
-    docs = spread_small(docs)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     found = sum((F.when(low.contains(F.lit(w)), F.lit(1)).otherwise(F.lit(0))
                  for w in keywords(query)), F.lit(0))
@@ -240,7 +235,6 @@ def keyword_hits(docs: DataFrame, query: str, id_col: str = "doc_id",
 def doc_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               pages_col: str | None = None) -> DataFrame:
     """``(doc_id, pages, text_length, tables_found)``."""
-    docs = spread_small(docs)
     pages = F.col(pages_col).cast("int") if pages_col else F.lit(None).cast("int")
     return docs.select(F.col(id_col).alias("doc_id"), pages.alias("pages"),
                        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("text_length"),
@@ -252,23 +246,25 @@ def qa_context(docs: DataFrame, question: str, max_chars: int = QA_CHUNK, id_col
     """``(doc_id, context)``: the question prompt of one document: counts,
     the question, every chunk numbered ``i/n``, the first five tables and
     the closing instructions."""
-    docs = spread_small(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     pages = (F.coalesce(F.col(pages_col).cast("string"), F.lit("unknown")) if pages_col
              else F.lit("unknown"))
-    chunks = chunks_of(text, max_chars)
+    # the folds are columns of their own: read in several places below, they
+    # stay so in the plan and run once per document, not once per chunk
+    parts = docs.select(F.col(id_col).alias("doc_id"), pages.alias("pages"), F.length(text).alias("chars"),
+                        chunks_of(text, max_chars).alias("chunks"),
+                        F.slice(tables_in_text(text), 1, QA_TABLES).alias("tables"))
+    chunks, tables = F.col("chunks"), F.col("tables")
     n = F.size(chunks).cast("string")
-    head = F.concat(F.lit("You are analyzing a PDF document with "), pages, F.lit(" pages and "),
-                    F.length(text).cast("string"),
+    head = F.concat(F.lit("You are analyzing a PDF document with "), F.col("pages"), F.lit(" pages and "),
+                    F.col("chars").cast("string"),
                     F.lit(QA_HEAD.split("{chars}")[1].replace("{question}", question)))
     body = F.array_join(F.transform(chunks, lambda c, i: F.concat(
         F.lit("\n--- Chunk "), (i + 1).cast("string"), F.lit("/"), n, F.lit(" ---\n"), c,
         F.lit("\n"))), "")
-    tables = F.slice(tables_in_text(text), 1, QA_TABLES)
     tables_txt = F.when(F.size(tables) > 0, F.concat(
         F.lit(QA_TABLES_HEAD),
         F.array_join(F.transform(tables, lambda t, i: F.concat(
             F.lit("\nTable "), (i + 1).cast("string"), F.lit(":\n"), F.array_join(t, "\n"),
             F.lit("\n"))), ""))).otherwise(F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       F.concat(head, body, tables_txt, F.lit(QA_TAIL)).alias("context"))
+    return parts.select("doc_id", F.concat(head, body, tables_txt, F.lit(QA_TAIL)).alias("context"))

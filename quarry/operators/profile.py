@@ -1,23 +1,21 @@
 """Exact data profile of any DataFrame.
 
-Plan shape: one scan of the input builds the cell-frequency table
-``(position, value, v, k)`` for every column with map-side combining (a
-value holding a third of all rows is collapsed inside each task before the
-shuffle). Everything is derived from it:
-
-* per-column counts and moments (``stats_frame``): one row per column;
-* text frequencies (``freq_text``): distinct counts and top values, where a
-  ``row_number() <= 5`` filter becomes a partial per-task group limit;
-* numeric frequencies ``(position, v, k)``, range partitioned on
-  ``(position, v)`` and written once as a table in the shared folder. Order
-  statistics are picked by rank: per-partition counts (at most partitions +
-  columns rows) give each partition's first rank, and only the few
-  partitions holding a wanted rank are sorted, so no column is ever sorted
-  in one task, whatever its cardinality. A size check keeps the ranged
-  table cached when it is small instead of writing it.
-
-Only duplicate rows need a second scan of the input. The table is mergeable
-by addition, which is what the streaming profile keeps as its state.
+Plan shape:
+
+* per-column counts and moments (``stats_frame``): one map-side aggregate of
+  the input, all columns at once; no cell is shuffled for them;
+* text frequencies (``freq_text``) of the columns that aren't numeric: distinct
+  counts and top values, where a ``row_number() <= 5`` filter becomes a partial
+  per-task group limit;
+* numeric frequencies ``(position, v, k)`` of the numeric columns, range
+  partitioned on ``(position, v)``. Order statistics are picked by rank:
+  per-partition counts (at most partitions + columns rows) give each
+  partition's first rank, and only the few partitions holding a wanted rank
+  are sorted, so no column is ever sorted in one task.
+
+Frequencies are grouped with map-side combining (a value holding a third of all
+rows is one row per task) and written once to the shared folder, where every
+later plan reads them, also after executors are lost.
 
 Column kinds are decided on the driver from the per-column stats (one row
 per column, so its size is bounded by the schema, not the data).
@@ -26,11 +24,10 @@ per column, so its size is bounded by the schema, not the data).
 from __future__ import annotations
 
 import math
-import weakref
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +49,7 @@ QUALITY = ((95, "excellent"), (80, "good"), (60, "moderate"))
 DIM_LOW, DIM_MODERATE = 0.01, 0.1
 MISSING_NOTE_PCT = 5
 # ---------------------------------------------------------------------------
-SMALL_COLUMN_CELLS = 5_000_000   # cache the ranged frequencies up to this many numbers
-SMALL_TOTAL_CELLS = 20_000_000   # per column and in all; write them to the shared folder beyond
+ROWS_PER_RANGE = 1_000_000       # numeric cells per range partition, at any size
 
 STATS_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -74,81 +70,64 @@ class ColumnSpec:
     name: str
     dtype: T.DataType
 
+    @property
+    def col(self) -> Column:
+        """The column under its internal, positional name, which neither
+        upper and lower case nor quotes in the name can make ambiguous."""
+        return F.col(f"c{self.position}")
+
+    def value(self) -> Column:
+        """Trimmed text of the cell ('' when missing); null for typed numbers."""
+        return (F.lit(None).cast("string") if cells.is_numeric_type(self.dtype)
+                else cells.as_cell(self.col, self.dtype))
+
+    def number(self) -> Column:
+        return cells.as_number(self.col, self.dtype)
+
+    def populated(self) -> Column:
+        return self.number().isNotNull() if cells.is_numeric_type(self.dtype) else self.value() != ""
+
 
 class TableProfile:
     """Profile of one DataFrame. Methods return lazy DataFrames, except that
     the per-column stats are collected once (one row per column)."""
 
-    def __init__(self, df: DataFrame, range_partitions: int | None = None,
-                 rank_path: str = "auto"):
-        """``rank_path``: where the ranged frequencies live: ``auto`` (size
-        checked), ``cache`` or ``write`` (shared folder)."""
+    def __init__(self, df: DataFrame, range_partitions: int | None = None):
         self.df = df
-        self._rank_path = rank_path
         self.spark: SparkSession = df.sparkSession
         self.specs = [ColumnSpec(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
+        self.table = df.toDF(*[f"c{s.position}" for s in self.specs])
         self._range_partitions = range_partitions
         self._columns: dict[bool, DataFrame] = {}
 
-    # -- the one scan: cell frequencies ---------------------------------------
-    @cached_property
-    def cell_freq(self) -> DataFrame:
-        """``(position, value, v, k)``: how often each cell occurs, for every
-        column, from one scan of the input.
-
-        ``value`` is the trimmed text of a text-like cell ('' when missing;
-        null for typed numbers), ``v`` its number (numeric prefix of text,
-        the value of a typed number, null when none). Partial aggregation
-        collapses repeated cells inside each task, so a value holding a third
-        of all rows costs one row per task in the shuffle. Everything else in
-        the profile (counts, moments, kinds, top values, cardinality, numeric
-        frequencies) is derived from this table, which is cached once
-        (recomputable from its lineage) because several jobs read it."""
-        return _materialize(self, self.cell_counts())
+    # -- counts and moments ----------------------------------------------------
+    def stats_frame(self) -> DataFrame:
+        """Per-column counts and moments, one row per column, from one
+        aggregate whose state is a few numbers per column and task."""
+        if not self.specs:
+            return self.spark.createDataFrame([], STATS_SCHEMA)
+        parsed = self.table.select(*[x for s in self.specs for x in (
+            s.populated().alias(f"p{s.position}"), s.number().alias(f"v{s.position}"))])
+
+        def measures(s: ColumnSpec) -> Column:
+            v = F.col(f"v{s.position}")
+            parts = [F.lit(s.position), F.lit(s.name), F.count(F.lit(1)), F.count_if(f"p{s.position}"), F.count(v),
+                     F.sum(v), F.min(v), F.max(v), F.var_pop(v)]
+            return F.struct(*[x.cast(f.dataType).alias(f.name) for x, f in zip(parts, STATS_SCHEMA.fields)])
+
+        return parsed.agg(F.array(*[measures(s) for s in self.specs]).alias("columns")).select(F.inline("columns"))
 
     def cell_counts(self) -> DataFrame:
-        """The cell-frequency table as a plan (not cached), for single use."""
+        """``(position, value, v, k)``: how often each cell occurs, for every
+        column, as a plan. It is mergeable by addition: the state of the
+        streaming profile."""
         if not self.specs:
             return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
-        cellsets = F.array(*[
-            F.struct(F.lit(s.position).alias("position"),
-                     (F.lit(None).cast("string") if cells.is_numeric_type(s.dtype)
-                      else cells.as_cell(F.col(f"`{s.name}`"), s.dtype)).alias("value"),
-                     cells.as_number(F.col(f"`{s.name}`"), s.dtype).alias("v"))
-            for s in self.specs])
-        return (self.df.select(F.inline(cellsets))
+        sets = F.array(*[F.struct(F.lit(s.position).alias("position"), s.value().alias("value"),
+                                  s.number().alias("v")) for s in self.specs])
+        return (self.table.select(F.inline(sets))
                 .groupBy("position", "value", "v").agg(F.count(F.lit(1)).alias("k")))
 
-    def stats_frame(self) -> DataFrame:
-        """Per-column counts and moments from the cell frequencies, one row
-        per column. The variance is taken about the exact mean in a second
-        aggregate (the means are one row per column, broadcast)."""
-        if not self.specs:
-            return self.spark.createDataFrame([], STATS_SCHEMA)
-        f = self.cell_freq
-        pop = (F.col("value").isNotNull() & (F.col("value") != "")) | (
-            F.col("value").isNull() & F.col("v").isNotNull())
-        base = f.groupBy("position").agg(
-            F.sum("k").cast("long").alias("rows"),
-            F.sum(F.when(pop, F.col("k")).otherwise(F.lit(0))).cast("long").alias("populated"),
-            F.sum(F.when(F.col("v").isNotNull(), F.col("k")).otherwise(F.lit(0))).cast("long")
-            .alias("numeric_n"),
-            F.sum(F.col("k") * F.col("v")).alias("sum"), F.min("v").alias("min"),
-            F.max("v").alias("max"))
-        mean = base.where(F.col("numeric_n") > 0).select(
-            "position", (F.col("sum") / F.col("numeric_n")).alias("mean"))
-        var = (f.where(F.col("v").isNotNull()).join(F.broadcast(mean), "position")
-               .groupBy("position")
-               .agg((F.sum(F.col("k") * (F.col("v") - F.col("mean")) ** 2) / F.sum("k")).alias("var_pop")))
-        names = F.element_at(F.array(*[F.lit(s.name) for s in self.specs]), F.col("position") + 1)
-        # every column appears, also when the table has no rows
-        every = self.spark.range(len(self.specs)).select(F.col("id").cast("int").alias("position"))
-        zero = {"rows", "populated", "numeric_n"}
-        return (every.join(base, "position", "left").join(var, "position", "left")
-                .select("position", names.alias("column_name"),
-                        *[(F.coalesce(F.col(x.name), F.lit(0)) if x.name in zero else F.col(x.name))
-                          .cast(x.dataType).alias(x.name) for x in STATS_SCHEMA.fields[2:]]))
-
     @cached_property
     def stats_rows(self) -> list[Row]:
         return sorted(self.stats_frame().collect(), key=lambda r: r["position"])
@@ -172,25 +151,33 @@ class TableProfile:
         """The collected stats as a small DataFrame (one row per column)."""
         return self.spark.createDataFrame(self.stats_rows, STATS_SCHEMA)
 
-    # -- pass 2: value frequencies of the text columns ----------------------
+    # -- value frequencies -----------------------------------------------------
     @cached_property
     def freq_text(self) -> DataFrame:
         """``(position, value, k)``: non-blank trimmed values of the
-        non-numeric columns and their counts."""
+        non-numeric columns and their counts, written once."""
         if not self.text_positions:
             return self.spark.createDataFrame([], "position INT, value STRING, k BIGINT")
-        return self.text_counts(self.text_positions)
+        return _written(self.text_counts(self.text_positions), "text-freq")
+
+    def _cells(self, positions: list[int], part: str) -> DataFrame:
+        """``(position, <part>)`` of the given columns, unpivoted."""
+        wanted = [s for s in self.specs if s.position in set(positions)]
+        if not wanted:
+            return self.spark.createDataFrame([], f"position INT, {part} {'STRING' if part == 'value' else 'DOUBLE'}")
+        return self.table.select(F.inline(F.array(*[
+            F.struct(F.lit(s.position).alias("position"), (s.value() if part == "value" else s.number()).alias(part))
+            for s in wanted])))
 
     def text_counts(self, positions: list[int]) -> DataFrame:
-        """``(position, value, k)`` of text cells; a text determines its
-        number, so no regrouping (and no shuffle) is needed."""
-        return (self.cell_freq.where(F.col("position").isin(positions) & (F.col("value") != ""))
-                .select("position", "value", "k"))
+        """``(position, value, k)`` of non-blank text cells."""
+        return (self._cells(positions, "value").where(F.col("value") != "")
+                .groupBy("position", "value").agg(F.count(F.lit(1)).alias("k")))
 
     def numeric_counts(self, positions: list[int]) -> DataFrame:
         """``(position, v, k)``: texts with the same number ('1', '1.0') merge."""
-        return (self.cell_freq.where(F.col("position").isin(positions) & F.col("v").isNotNull())
-                .groupBy("position", "v").agg(F.sum("k").cast("long").alias("k")))
+        return (self._cells(positions, "v").where(F.col("v").isNotNull())
+                .groupBy("position", "v").agg(F.count(F.lit(1)).alias("k")))
 
     def cardinality(self) -> DataFrame:
         """``(position, distinct)`` for the non-numeric columns."""
@@ -204,7 +191,7 @@ class TableProfile:
         return (self.freq_text.withColumn("rank", F.row_number().over(w))
                 .where(F.col("rank") <= k))
 
-    # -- pass 3: numeric value frequencies, range partitioned ---------------
+    # -- numeric value frequencies, range partitioned ------------------------
     @cached_property
     def numeric_freq(self) -> DataFrame:
         """``(position, v, k, pid)`` range partitioned on ``(position, v)``;
@@ -212,39 +199,17 @@ class TableProfile:
         Written once to the shared folder, so every reader sees the same
         partition ids (and a lost executor cannot change them)."""
         freq = self.numeric_counts(self.numeric_positions)
-        ranged = (freq.repartitionByRange(self.range_partitions, "position", "v")
-                  .withColumn("pid", F.spark_partition_id()))
-        if self.small_numeric:
-            # bounded size: keep it cached; a lost block is recomputed from the
-            # same physical plan, hence with the same range bounds
-            return _materialize(self, ranged)
-        path = scratch_path(self.spark, "numeric-freq")
-        ranged.write.parquet(path)
-        return self.spark.read.parquet(path)
-
-    @cached_property
-    def small_numeric(self) -> bool:
-        """Size check for keeping the range-partitioned frequencies: when
-        every numeric column has at most ``SMALL_COLUMN_CELLS`` numbers (an
-        upper bound on its distinct values) and all together at most
-        ``SMALL_TOTAL_CELLS``, the table is cached; beyond that it is written
-        once to the shared folder."""
-        if self._rank_path != "auto":
-            return self._rank_path == "cache"
-        ns = [r["numeric_n"] for r in self.stats_rows if r["position"] in set(self.numeric_positions)]
-        return bool(ns) and max(ns) <= SMALL_COLUMN_CELLS and sum(ns) <= SMALL_TOTAL_CELLS
+        return _written(freq.repartitionByRange(self.range_partitions, "position", "v")
+                        .withColumn("pid", F.spark_partition_id()), "numeric-freq")
 
     @cached_property
     def range_partitions(self) -> int:
+        """Follows the data, not the shuffle setting or the cores."""
         if self._range_partitions:
             return self._range_partitions
         total = sum(r["numeric_n"] for r in self.stats_rows
                     if r["position"] in set(self.numeric_positions))
-        # follows the data, not the shuffle setting: about a million numeric
-        # cells per range partition (at most 20,000 partitions), and no more
-        # partitions than cores when the data is small
-        cores = self.spark.sparkContext.defaultParallelism
-        return max(1, min(20000, max(math.ceil(total / 1_000_000), min(cores, math.ceil(total / 50_000)))))
+        return max(1, math.ceil(total / ROWS_PER_RANGE))
 
     def order_stats(self) -> DataFrame:
         """``(position, q1, median, q3)``, exact, for the numeric columns.
@@ -325,9 +290,8 @@ class TableProfile:
         f = self.fences(name)
         if f is None:
             return self.df.limit(0)
-        spec = self.specs[self._position(name)]
-        v = cells.as_number(F.col(f"`{spec.name}`"), spec.dtype)
-        return self.df.where((v < F.lit(f[0])) | (v > F.lit(f[1])))
+        v = self.specs[self._position(name)].number()
+        return self.table.where((v < F.lit(f[0])) | (v > F.lit(f[1]))).toDF(*self.df.columns)
 
     def _position(self, name: str) -> int:
         for s in self.specs:
@@ -339,9 +303,8 @@ class TableProfile:
     def duplicate_count(self) -> DataFrame:
         """``(rows, distinct_rows, duplicates)``: rows minus distinct rows,
         comparing normalised cell tuples (not joined text)."""
-        normal = self.df.select(*[
-            (cells.as_cell(F.col(f"`{s.name}`"), s.dtype) if isinstance(s.dtype, T.StringType)
-             else F.col(f"`{s.name}`")).alias(f"c{s.position}") for s in self.specs])
+        normal = self.table.select(*[
+            (s.value() if isinstance(s.dtype, T.StringType) else s.col).alias(f"c{s.position}") for s in self.specs])
         groups = normal.groupBy(*normal.columns).agg(F.count(F.lit(1)).alias("k"))
         return groups.agg(F.sum("k").cast("long").alias("rows"),
                           F.count(F.lit(1)).cast("long").alias("distinct_rows")).select(
@@ -406,22 +369,11 @@ class TableProfile:
             .otherwise(F.lit("high")))
 
 
-def _materialize(owner, frame: DataFrame) -> DataFrame:
-    """Persist a table read by several branches of later plans and fill the
-    cache with one job: branches reading a cache that is not filled yet would
-    each compute the table. The cache is dropped when ``owner`` is."""
-    frame = frame.persist()
-    frame.count()
-    weakref.finalize(owner, _release, frame)
-    return frame
-
-
-def _release(frame: DataFrame) -> None:
-    """Drop a cached table once its profile is gone (ignored at shutdown)."""
-    try:
-        frame.unpersist()
-    except Exception:  # noqa: BLE001 - the session may already be stopped
-        pass
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    """Write a table that several plans read to the shared folder."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
@@ -448,20 +400,23 @@ def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
     df = df.withColumn("upper_fence", c("q3") + IQR_FENCE * c("iqr"))
     df = df.withColumn("outliers", F.when(num, F.coalesce(c("outliers"), F.lit(0))))
     df = df.withColumn("outlier_pct", c("outliers") * F.lit(100.0) / c("numeric_n"))
+    # comparisons with NaN are false here, while Spark takes it for the largest number
+    less = lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a < b)
     diff = c("mean") - c("median")
     df = df.withColumn("skew_score", diff / (c("sd") + SKEW_EPS))
     df = df.withColumn("skew", F.when(~num | c("median").isNull(), F.lit(None))
-                       .when(F.abs(diff) < c("sd") * SKEW_BAND, F.lit("symmetric"))
-                       .when(c("mean") > c("median"), F.lit("right"))
+                       .when(less(F.abs(diff), c("sd") * SKEW_BAND), F.lit("symmetric"))
+                       .when(less(c("median"), c("mean")), F.lit("right"))
                        .otherwise(F.lit("left")))
     cv = F.try_divide(c("sd"), c("mean"))
     df = df.withColumn("variability", F.when(~num, F.lit(None))
-                       .when(c("mean") == 0, F.when(c("sd") > 0, F.lit("high")).otherwise(F.lit("low")))
-                       .when(cv > VAR_HIGH, F.lit("high")).when(cv > VAR_MODERATE, F.lit("moderate"))
+                       .when(c("mean") == 0, F.when(less(F.lit(0.0), c("sd")), F.lit("high")).otherwise(F.lit("low")))
+                       .when(less(F.lit(VAR_HIGH), cv), F.lit("high"))
+                       .when(less(F.lit(VAR_MODERATE), cv), F.lit("moderate"))
                        .otherwise(F.lit("low")))
     df = df.withColumn("distribution", F.when(~num | c("median").isNull(), F.lit(None))
-                       .when(c("mean") > c("median"), F.lit("higher"))
-                       .when(c("mean") < c("median"), F.lit("lower"))
+                       .when(less(c("median"), c("mean")), F.lit("higher"))
+                       .when(less(c("mean"), c("median")), F.lit("lower"))
                        .otherwise(F.lit("similar")))
     text = c("kind").isin("categorical", "text")
     df = df.withColumn("distinct_n", F.when(text, c("distinct_n")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.cells import (
-    as_cell, as_number, is_numeric_type, py_parse_number, resolve_column,
+    _py_trim, as_cell, as_number, is_numeric_type, py_parse_number, resolve_column,
 )
 
 # --- fixed values: operator names the reference accepts ------------------------
@@ -38,12 +38,16 @@ def _field(df: DataFrame, name: str) -> T.StructField | None:
     return None if i < 0 else df.schema.fields[i]
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _cell(f: T.StructField) -> Column:
-    return as_cell(F.col(f"`{f.name}`"), f.dataType)
+    return as_cell(_quoted(f.name), f.dataType)
 
 
 def _num(f: T.StructField) -> Column:
-    return as_number(F.col(f"`{f.name}`"), f.dataType)
+    return as_number(_quoted(f.name), f.dataType)
 
 
 def _none(df: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def filter_fuzzy(df: DataFrame, column: str, value: str) -> DataFrame:
     f = _field(df, column)
     if f is None:
         return _none(df)
-    v = value.lower().strip()
+    v = _py_trim(value.lower())
     c = F.lower(_cell(f))
     return df.where(c.contains(F.lit(v)) | F.lit(v).contains(c))
 
@@ -69,7 +73,7 @@ def filter_rows(df: DataFrame, column: str, value: str, operator: str = "equals"
         return _none(df)
     op = operator.lower()
     text = F.lower(_cell(f))
-    v = value.lower().strip()
+    v = _py_trim(value.lower())
     if op in EQUALS:
         return df.where(text == F.lit(v))
     if op in NOT_EQUALS:
@@ -83,7 +87,7 @@ def filter_rows(df: DataFrame, column: str, value: str, operator: str = "equals"
             if is_numeric_type(f.dataType):
                 # plain comparison on the column reaches the Parquet scan;
                 # NaN (which compares above every number) is excluded apart
-                c = F.col(f"`{f.name}`")
+                c = _quoted(f.name)
                 cond = getattr(c, method)(F.lit(x))
                 if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
                     cond = cond & ~F.isnan(c)
@@ -95,7 +99,7 @@ def filter_rows(df: DataFrame, column: str, value: str, operator: str = "equals"
 def search_rows(df: DataFrame, term: str) -> DataFrame:
     """Rows where any cell, lower-cased, contains the trimmed lower-cased
     term. An empty term keeps every row."""
-    t = term.lower().strip()
+    t = _py_trim(term.lower())
     if not df.columns:
         return df
     hits = [F.coalesce(F.lower(_cell(f)).contains(F.lit(t)), F.lit(False)) for f in df.schema.fields]
@@ -108,7 +112,7 @@ def preview(df: DataFrame, order_by: list[str], query: str, n: int = PREVIEW_ROW
     rows = df.count()
     cells = [_cell(f) for f in df.schema.fields]
     first = (df.orderBy(*order_by).limit(n)
-             .select(F.struct(*[F.col(f"`{c}`") for c in order_by]).alias("key"),
+             .select(F.struct(*[_quoted(c) for c in order_by]).alias("key"),
                      F.concat_ws(" | ", *cells).alias("line")))
     numbered = F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))),
                            lambda x, i: F.concat(F.lit("Row "), (i + 1).cast("string"),

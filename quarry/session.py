@@ -1,7 +1,7 @@
 """Spark session and shared-folder helpers.
 
-On a cluster the shared folder comes from ``spark.checkpoint.dir``; a local
-temporary folder is only created when that setting is absent (tests, laptops).
+On a cluster the shared folder comes from ``spark.checkpoint.dir`` and must be
+set; a local temporary folder is made only for a local master without it.
 """
 
 from __future__ import annotations
@@ -10,26 +10,35 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
-def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
+def build_session(cores: int | str | None = None, shuffle_partitions: int | None = None,
                   app: str = "quarry") -> SparkSession:
+    """A session with adaptive execution. ``cores`` asks for a local master
+    with 16 GB; without it the master, the memory and the shuffle partitions
+    are those that spark-submit or the defaults set (all local cores if no
+    master is set at all)."""
+    conf = SparkConf()
+    builder = SparkSession.builder.appName(app)
+    if cores is not None or not conf.contains("spark.master"):
+        builder = builder.master(f"local[{cores or '*'}]")
+        if not conf.contains("spark.driver.memory"):
+            builder = builder.config("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(spark)
     return spark
 
 
@@ -49,6 +58,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-ckpt-",
                                          dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
@@ -56,25 +67,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared root for one written table."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/quarry-tables/{name}-{uuid.uuid4().hex}"
-
-
-def spread_small(df, persist: bool = False):
-    """Spread an input with fewer partitions than the session's parallelism
-    over all cores, so per-row work (text folds, unpivots) is not done by one
-    task. Such an input is small by construction (fewer splits than cores,
-    each at most ``spark.sql.files.maxPartitionBytes``), so the extra shuffle
-    and an optional persist are bounded; large inputs are returned as is."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if par <= 1:
-        return df
-    # an input that already comes out of a shuffle is spread by it; asking
-    # such a plan for its partition count would run its shuffle stages
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    out = df.repartition(par)
-    return out.persist() if persist else out
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder of written tables."""
+    return f"{checkpoint_root(spark).rstrip('/')}/quarry-tables/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote. Results that are still
+    to be read must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+

@@ -14,16 +14,20 @@ from quarry.functions.cells import WS_CHARS, cell, is_blank
 
 
 def unique_headers(names: list[str]) -> list[str]:
-    """Trim header names and suffix repeats ``_1``, ``_2`` (Spark would
-    rename duplicates by position; the reference would read the first
-    twice)."""
-    seen: dict[str, int] = {}
+    """Trim header names and suffix repeats ``_1``, ``_2``. Names that differ
+    in case only are repeats too (Spark resolves names without case), and a
+    suffixed name never takes one that is given out or comes later."""
+    plain = [(raw or "").strip(WS_CHARS) for raw in names]
+    taken: set[str] = set()
+    later = [n.lower() for n in plain]
     out = []
-    for raw in names:
-        name = (raw or "").strip(WS_CHARS)
-        k = seen.get(name, 0)
-        seen[name] = k + 1
-        out.append(name if k == 0 else f"{name}_{k}")
+    for i, name in enumerate(plain):
+        new, k = name, 0
+        while new.lower() in taken or (k and new.lower() in later[i + 1:]):
+            k += 1
+            new = f"{name}_{k}"
+        taken.add(new.lower())
+        out.append(new)
     return out
 
 
@@ -58,6 +62,8 @@ def grid_to_table(grid: DataFrame, header_row: int = 0) -> DataFrame:
     dropped. The header (one row, bounded by the column count) is read on
     the driver; the records are built by one grouped pivot over explicit
     column numbers."""
+    if len(grid.select("file").distinct().limit(2).collect()) > 1:
+        raise ValueError("a grid must hold one workbook: each has its own header")
     first = grid.groupBy("file").agg(F.min("sheet_no").alias("sheet_no"))
     sheet = grid.join(first, ["file", "sheet_no"])  # one row per file: small side
     header = (sheet.where(F.col("row_no") == header_row)
@@ -69,10 +75,10 @@ def grid_to_table(grid: DataFrame, header_row: int = 0) -> DataFrame:
     wide = body.groupBy("file", "row_no").agg(*[
         F.max(F.when(F.col("col_no") == c, cell(F.col("value").cast("string")))).alias(n)
         for c, n in zip(cols, names)])
-    wide = wide.select("file", "row_no", *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    wide = wide.select("file", "row_no", *[F.coalesce(F.col("`" + n.replace("`", "``") + "`"), F.lit("")).alias(n) for n in names])
     if not names:
         return wide
     all_blank = F.lit(True)
     for n in names:
-        all_blank = all_blank & is_blank(F.col(f"`{n}`"))
+        all_blank = all_blank & is_blank(F.col("`" + n.replace("`", "``") + "`"))
     return wide.where(~all_blank)

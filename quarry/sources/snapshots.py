@@ -2,8 +2,8 @@
 
 A snapshot is the Parquet table ``base/name=<name>/version=<version>``. Many
 snapshots are written by one distributed ``partitionBy`` write; listing uses
-the ``binaryFile`` source with the file bodies pruned; loading uses partition
-pruning. Version ids are passed in, never read from the clock inside a task.
+the ``binaryFile`` source with the file bodies pruned; loading reads the one
+folder. Names and versions are escaped as ``partitionBy`` does, and back. Version ids are passed in, never read from the clock inside a task.
 Order follows the reference: snapshot keys ``<name>_<version>`` sorted
 descending, newest first for one name.
 """
@@ -15,6 +15,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import scratch_path
+
 KEEP_RECENT = 5  # fixed value: the reference's default retention
 
 
@@ -25,14 +27,31 @@ def version_id(at: datetime | None = None) -> str:
     return iso.replace(":", "-").replace(".", "-")
 
 
+#: fixed value: characters that Spark escapes in the folder names of partitions
+ESCAPED = frozenset(chr(c) for c in range(1, 32)) | frozenset('"#%\'*/:=?\\\x7f{[]^')
+
+
+def encode(value: str) -> str:
+    """A name or version as a folder name, in the spelling of ``partitionBy``."""
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
+
+
+def decoded(folder: Column) -> Column:
+    """The name or version of a folder name."""
+    return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base.rstrip("/")
 
+    def _path(self, name: str, version: str) -> str:
+        return f"{self.base}/name={encode(name)}/version={encode(version)}"
+
     def save(self, name: str, df: DataFrame, version: str) -> str:
         """Write one snapshot; an existing one is never overwritten."""
-        path = f"{self.base}/name={name}/version={version}"
+        path = self._path(name, version)
         df.write.mode("errorifexists").parquet(path)
         return path
 
@@ -42,28 +61,39 @@ class SnapshotStore:
         (df.withColumn("name", name.cast("string")).withColumn("version", version.cast("string"))
          .write.mode("append").partitionBy("name", "version").parquet(self.base))
 
-    def list(self) -> DataFrame:
-        """``(snapshot_no, name, version)``, newest first."""
+    def _pairs(self) -> DataFrame:
         files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                  .option("pathGlobFilter", "*.parquet").load(self.base).select("path"))
-        pairs = files.select(
-            F.regexp_extract("path", r"/name=([^/]*)/", 1).alias("name"),
-            F.regexp_extract("path", r"/version=([^/]*)/", 1).alias("version")).distinct()
-        w = Window.orderBy(F.concat_ws("_", "name", "version").desc())
-        # one row per snapshot: the window sorts the (small) snapshot list only
-        return pairs.withColumn("snapshot_no", F.row_number().over(w)).select(
-            "snapshot_no", "name", "version")
+        return files.select(
+            decoded(F.regexp_extract("path", r"/name=([^/]*)/", 1)).alias("name"),
+            decoded(F.regexp_extract("path", r"/version=([^/]*)/", 1)).alias("version")).distinct()
+
+    def list(self) -> DataFrame:
+        """``(snapshot_no, name, version)``, newest first. Ranges of the sorted
+        list are numbered apart and lifted by the counts before them."""
+        path = scratch_path(self.spark, "snapshot-list")
+        (self._pairs().withColumn("key", F.concat_ws("_", "name", "version"))
+         .repartitionByRange(F.col("key").desc(), "name").withColumn("range", F.spark_partition_id())
+         .write.parquet(path))
+        dealt = self.spark.read.parquet(path)
+        counts = sorted((r["range"], r["count"]) for r in dealt.groupBy("range").count().collect())
+        lifts, lift = [], 0
+        for part, n in counts:  # a row per range
+            lifts.append((part, lift))
+            lift += n
+        inside = Window.partitionBy("range").orderBy(F.col("key").desc(), "name")
+        return (dealt.withColumn("place", F.row_number().over(inside))
+                .join(self.spark.createDataFrame(lifts, "range INT, lift INT"), "range")
+                .select((F.col("place") + F.col("lift")).alias("snapshot_no"), "name", "version"))
 
     def load(self, name: str, version: str) -> DataFrame:
-        """One snapshot, by partition pruning on the store."""
-        return (self.spark.read.parquet(self.base)
-                .where((F.col("name") == name) & (F.col("version") == version))
-                .drop("name", "version"))
+        """One snapshot, from its own folder, with its own schema."""
+        return self.spark.read.parquet(self._path(name, version))
 
     def latest(self, prefix: str) -> DataFrame | None:
         """The newest snapshot whose key starts with ``prefix``, or None."""
-        keys = (self.list().where(F.concat_ws("_", "name", "version").startswith(prefix))
-                .orderBy("snapshot_no").limit(1).collect())
+        key = F.concat_ws("_", "name", "version")
+        keys = self._pairs().where(key.startswith(prefix)).orderBy(key.desc(), "name").limit(1).collect()
         if not keys:
             return None
         return self.load(keys[0]["name"], keys[0]["version"])
@@ -74,13 +104,14 @@ class SnapshotStore:
 
     def apply_retention(self, keep: int = KEEP_RECENT) -> int:
         """Delete the snapshots of :meth:`retention_plan` (an explicit step)."""
-        drops = self.retention_plan(keep).select("name", "version").collect()
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for r in drops:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/name={r['name']}/version={r['version']}")
+        dropped = 0
+        for r in self.retention_plan(keep).select("name", "version").toLocalIterator():
+            p = jvm.org.apache.hadoop.fs.Path(self._path(r["name"], r["version"]))
             p.getFileSystem(conf).delete(p, True)
-        return len(drops)
+            dropped += 1
+        return dropped
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -93,9 +124,26 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def older_than_newest(df: DataFrame, key: str, order: list[str], keep: int = KEEP_RECENT) -> DataFrame:
-    """Rows beyond the ``keep`` newest per key: the keep list comes from a
-    row-number filter (a partial top-k per task before the shuffle), then an
-    anti join; Spark sizes that join at run time (AQE)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    kept = df.select(key, *order).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
-    return df.join(kept.drop("rn"), [key, *order], "left_anti")
+    """Rows beyond the ``keep`` newest per key (a null key is a key). Ties in
+    ``order`` go by the other columns, so that exactly ``keep`` rows of a key
+    are left out.
+
+    The newest rows come from a row-number filter (a partial top-k per task
+    before the shuffle); the last of them is the key's cut-off. Rows below it
+    are returned, and of rows equal to it as many as are too many."""
+    others = [c for c in df.columns if c not in (key, *order)]
+    ranked = order + others
+    place = F.struct(*[F.col(c) for c in ranked])
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in ranked])
+    kept = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= keep)
+    last = kept.groupBy(F.col(key).alias("__key")).agg(F.min(place).alias("__last"))
+    same = (kept.select(F.col(key).alias("__key"), place.alias("__place"))
+            .join(last.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k")))
+            .where(F.col("__place").eqNullSafe(F.col("__last"))).groupBy("__key").agg(F.count(F.lit(1)).alias("__kept")))
+    cut = (last.join(same.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k"))).drop("__k"))
+    joined = df.join(cut, F.col(key).eqNullSafe(F.col("__key")))
+    below = joined.where(place < F.col("__last")).select(*df.columns)
+    equal = (joined.where(place.eqNullSafe(F.col("__last"))).groupBy(*df.columns, "__kept")
+             .agg(F.count(F.lit(1)).alias("__all")).where(F.col("__all") > F.col("__kept")))
+    extra = equal.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("__all") - F.col("__kept")).cast("int"))))
+    return below.unionByName(extra.select(*df.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.profile import TableProfile, _materialize
+from quarry.operators.profile import STATS_SCHEMA, TableProfile, _written
 
 
 class StreamingProfile:
@@ -54,12 +54,46 @@ class MergedProfile(TableProfile):
 
     @cached_property
     def cell_freq(self) -> DataFrame:
-        try:
-            stored = self.spark.read.parquet(f"{self.state}/freq").drop("batch_id")
-        except Exception:  # nothing has landed yet
+        """The batches' counts, added up and written once for the plans that
+        read them. Only a state folder that isn't there yet means no rows; any
+        error in reading it is an error."""
+        path = f"{self.state}/freq"
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
-        return _materialize(self, stored.groupBy("position", "value", "v")
-                            .agg(F.sum("k").cast("long").alias("k")))
+        stored = self.spark.read.schema("position INT, value STRING, v DOUBLE, k BIGINT, batch_id BIGINT").parquet(path)
+        return _written(stored.groupBy("position", "value", "v").agg(F.sum("k").cast("long").alias("k")), "stream-freq")
+
+    def stats_frame(self) -> DataFrame:
+        """Counts and moments from the cell frequencies. The variance is taken
+        about the exact mean in a second aggregate (one mean per column)."""
+        f = self.cell_freq
+        pop = (F.col("value").isNotNull() & (F.col("value") != "")) | (
+            F.col("value").isNull() & F.col("v").isNotNull())
+        counted = lambda cond: F.sum(F.when(cond, F.col("k")).otherwise(F.lit(0)))
+        base = f.groupBy("position").agg(
+            F.sum("k").alias("rows"), counted(pop).alias("populated"),
+            counted(F.col("v").isNotNull()).alias("numeric_n"),
+            F.sum(F.col("k") * F.col("v")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"))
+        mean = base.where(F.col("numeric_n") > 0).select(
+            "position", (F.col("sum") / F.col("numeric_n")).alias("mean"))
+        var = (f.where(F.col("v").isNotNull()).join(F.broadcast(mean), "position").groupBy("position")
+               .agg((F.sum(F.col("k") * (F.col("v") - F.col("mean")) ** 2) / F.sum("k")).alias("var_pop")))
+        # every column appears, also when nothing has landed
+        every = self.spark.createDataFrame([(s.position, s.name) for s in self.specs], "position INT, column_name STRING")
+        zero = {"rows", "populated", "numeric_n"}
+        return (every.join(base, "position", "left").join(var, "position", "left")
+                .select("position", "column_name",
+                        *[(F.coalesce(F.col(x.name), F.lit(0)) if x.name in zero else F.col(x.name))
+                          .cast(x.dataType).alias(x.name) for x in STATS_SCHEMA.fields[2:]]))
+
+    def text_counts(self, positions: list[int]) -> DataFrame:
+        return (self.cell_freq.where(F.col("position").isin(positions) & (F.col("value") != ""))
+                .select("position", "value", "k"))
+
+    def numeric_counts(self, positions: list[int]) -> DataFrame:
+        return (self.cell_freq.where(F.col("position").isin(positions) & F.col("v").isNotNull())
+                .groupBy("position", "v").agg(F.sum("k").cast("long").alias("k")))
 
     def duplicate_count(self) -> DataFrame:
         raise NotImplementedError("duplicate rows are not kept in the streaming state")

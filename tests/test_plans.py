@@ -60,3 +60,9 @@ def test_rank_pick_broadcasts_only_bounded_tables(spark):
     windows = [ln for ln in text.splitlines() if "Window [sum(k" in ln]
     assert windows and all("[position, pid]" in ln.replace("#", " ").split("windowspecdefinition")[0]
                            or "pid" in ln for ln in windows)
+
+
+def test_moments_shuffle_no_cell(spark):
+    text = plan(TableProfile(lineitem_skewed(spark, SF)).stats_frame())
+    # one aggregate over all columns: a single row per task is exchanged
+    assert text.count("Exchange") == 1 and "Exchange SinglePartition" in text and "hashpartitioning" not in text

@@ -14,8 +14,7 @@ def model_quartiles(xs):
     return s[math.floor(n * 0.25)], med, s[math.floor(n * 0.75)]
 
 
-@pytest.mark.parametrize("path", ["cache", "write"])
-def test_quartiles_small_n(spark, path):
+def test_quartiles_small_n(spark):
     rnd = random.Random(3)
     rows, expect = [], {}
     for n in range(1, 13):
@@ -27,7 +26,7 @@ def test_quartiles_small_n(spark, path):
     del wide
     for n in range(1, 13):
         one = df.where(F.col("g") == f"c{n}").select("x")
-        p = TableProfile(one, range_partitions=3, rank_path=path)
+        p = TableProfile(one, range_partitions=3)
         r = p.order_stats().collect()[0]
         assert (r["q1"], r["median"], r["q3"]) == expect[n], n
 
@@ -108,3 +107,18 @@ def test_column_names_with_spaces_and_dots(spark):
     assert query.filter_rows(df, "price", "1", ">").count() == 2
     got = {r["group_key"]: r["value"] for r in query.group_by(df, "seg", "unit", "sum").collect()}
     assert got == {"a": 3.0, "b": 2.0}
+
+
+def test_infinite_cells_compare_as_in_a_script(spark):
+    df = spark.createDataFrame([("1",), ("2",), ("3",), ("Infinity",)], "x STRING")
+    r = TableProfile(df).columns().collect()[0]
+    assert (r["skew"], r["variability"], r["distribution"]) == ("right", "low", "higher")
+
+
+def test_names_that_differ_in_case_or_hold_quotes(spark):
+    df = spark.createDataFrame([("1", "a", "x"), ("2", "b", "x")], "a STRING, b STRING, c STRING").toDF(
+        "Name", "name", "q`t")
+    p = TableProfile(df)
+    assert [r["kind"] for r in p.columns().orderBy("position").collect()] == ["numeric", "text", "text"]
+    assert p.duplicate_count().first()["duplicates"] == 0
+    assert p.outlier_rows("Name").columns == df.columns

@@ -50,3 +50,12 @@ def test_preview(spark):
     p = Q.preview(table(spark), ["amount"], "what?").collect()[0]["prompt"]
     assert p.startswith("Table Data (4 rows):\nHeaders: segment, amount, qty\n\nFirst 10 rows:\nRow 1: Household Goods | -2 | 4")
     assert p.endswith("Query: what?\n\nAnalyze this data and answer the query.")
+
+
+def test_literals_are_trimmed_like_cells(spark):
+    from quarry import query
+
+    df = spark.createDataFrame([("abc",)], "x STRING")
+    assert query.filter_rows(df, "x", "\ufeffabc\u00a0", "equals").count() == 1
+    assert query.search_rows(df, "\ufeffb").count() == 1
+    assert query.filter_fuzzy(df, "x", "\ufeffbc").count() == 1

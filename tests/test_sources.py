@@ -83,3 +83,39 @@ def test_package_exports():
     import quarry
 
     assert quarry.TableProfile and quarry.report.render and quarry.query.filter_rows
+
+
+def test_snapshots_of_different_schemas_and_odd_versions(spark):
+    store = SnapshotStore(spark, tempfile.mkdtemp(dir="/tmp") + "/store")
+    store.save("table_data", spark.createDataFrame([(1, 2)], "a INT, b INT"), "2026-01-01T00:00:00")
+    store.save("pdf_data", spark.createDataFrame([("t",)], "text STRING"), "1")
+    store.save("pdf_data", spark.createDataFrame([("u",), ("v",)], "text STRING"), "001")
+    store.save_many(spark.createDataFrame([("m", "a:b%c", 5)], "n STRING, v STRING, x INT"), F.col("n"), F.col("v"))
+    assert {(r["name"], r["version"]) for r in store.list().collect()} == {
+        ("table_data", "2026-01-01T00:00:00"), ("pdf_data", "1"), ("pdf_data", "001"), ("m", "a:b%c")}
+    assert store.load("table_data", "2026-01-01T00:00:00").columns == ["a", "b"]
+    assert store.load("pdf_data", "1").count() == 1 and store.latest("pdf_data_0").count() == 2
+    assert store.load("m", "a:b%c").first()["x"] == 5
+
+
+def test_retention_keeps_exactly_so_many_rows_on_ties_and_nulls(spark):
+    rows = [("a", 1, "p"), ("a", 1, "q"), ("a", 1, "q"), ("a", 0, "z"), (None, None, "x"), (None, None, "x"),
+            (None, 3, "y"), ("b", 5, "w")]
+    df = spark.createDataFrame(rows, "k STRING, ts INT, v STRING")
+    old = sorted(older_than_newest(df, "k", ["ts"], keep=2).collect(), key=repr)
+    assert sorted(map(tuple, old), key=repr) == sorted([("a", 0, "z"), ("a", 1, "p"), (None, None, "x")], key=repr)
+
+
+def test_headers_never_collide():
+    from quarry.sources.delimited import unique_headers
+
+    assert unique_headers(["a", "a", "a_1", "A"]) == ["a", "a_2", "a_1", "A_3"]
+
+
+def test_a_grid_of_two_files_is_refused(spark):
+    import pytest
+
+    g = spark.createDataFrame([("f", 1, 0, 0, "h"), ("g", 1, 0, 0, "k")],
+                              "file STRING, sheet_no INT, row_no INT, col_no INT, value STRING")
+    with pytest.raises(ValueError):
+        grid_to_table(g)
