@@ -37,8 +37,8 @@ from quarry.llm.words import Runs, batches_of
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
-#: pairs whose places are sent to the texts; more pairs, and the texts are shuffled
-BROADCAST_PAIRS = 500_000
+#: lines whose places are sent to the texts; with more the texts are shuffled
+BROADCAST_LINES = 1_000_000
 LAST = 2**63 - 1
 
 
@@ -93,35 +93,43 @@ def line_table(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return keyed.mapInArrow(work, "id long, row long, line int, n int, h long, halves array<long>")
 
 
+def numbered(wanted: DataFrame) -> DataFrame:
+    """``id, row, line, no``: numbers in the order of the lines, from ranges
+    that are sorted apart; written, so that they stay."""
+    return written(wanted.repartitionByRange("id", "row", "line").sortWithinPartitions("id", "row", "line")
+                   .withColumn("no", F.monotonically_increasing_id()), "numbered-lines")
+
+
+def _at_texts(keyed: DataFrame, lists: DataFrame, n_lines: int) -> DataFrame:
+    """The texts of the rows with lists (again for rows that repeat id and text)."""
+    return keyed.join(F.broadcast(lists) if n_lines <= BROADCAST_LINES else lists, ["id", "row"])
+
+
 def variants(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``at, key, gone``: the variants of the wanted lines; ``gone`` is the
-    place of the word left out, -1 for the line itself."""
-    lists = wanted.groupBy("id", "row").agg(F.collect_list("line").alias("lines"))
-    # rows repeated in id and text are one document
-    some = keyed.join(lists, ["id", "row"]).dropDuplicates(["id", "row"])
+    """``at, key, gone``: the variants of the wanted lines (``id, row, line,
+    no``) by their numbers; ``gone`` is the place of the word left out, -1 for
+    the line itself."""
+    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("line", "no")).alias("lines"))
+    some = _at_texts(keyed, lists, wanted.count())
 
     def work(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            lists = [set(x) for x in batch.column(3).to_pylist()]
+            lists = [{p["line"]: p["no"] for p in x} for x in batch.column(3).to_pylist()]
             for owner, number, a, b, runs in _lines(texts, NEAR_WORDS):
-                ok = np.fromiter((n in lists[o] for o, n in zip(owner.tolist(), number.tolist())), bool, len(owner))
-                owner, number, a, b = owner[ok], number[ok], a[ok], b[ok]
+                no = np.fromiter((lists[o].get(n, -1) for o, n in zip(owner.tolist(), number.tolist())),
+                                 np.int64, len(owner))
+                no, a, b = no[no >= 0], a[no >= 0], b[no >= 0]
                 n = b - a
                 which = np.repeat(np.arange(len(n)), n)
                 gone = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 keys = np.concatenate([runs.without(a[which], b[which], a[which] + gone), runs.hashes(a, b)])
                 which = np.concatenate([which, np.arange(len(n))])
                 gone = np.concatenate([gone, np.full(len(n), -1)])
-                at = pa.StructArray.from_arrays(
-                    [pa.array(ids[owner][which]), pa.array(rows[owner][which]),
-                     pa.array(number[which].astype(np.int32))], names=["id", "row", "line"])
-                yield pa.RecordBatch.from_arrays([at, _signed(keys), pa.array(gone.astype(np.int32))],
-                                                 names=["at", "key", "gone"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(no[which]), _signed(keys), pa.array(gone.astype(np.int32))], names=["at", "key", "gone"])
 
-    return some.select("id", "row", "text", "lines").mapInArrow(
-        work, "at struct<id:long,row:long,line:int>, key long, gone int")
+    return some.select("id", "row", "text", "lines").mapInArrow(work, "at long, key long, gone int")
 
 
 def _earlier(found: DataFrame) -> DataFrame:
@@ -130,7 +138,8 @@ def _earlier(found: DataFrame) -> DataFrame:
 
 
 def near_partners(near: DataFrame) -> DataFrame:
-    """``at, to``: every line with the earliest earlier line at distance 1."""
+    """``at, to``: every line's number with that of the earliest earlier line at
+    distance 1."""
     # one word exchanged: the same variant with the same place left out
     first = near.where("gone >= 0").groupBy("key", "gone").agg(F.min("at").alias("to"), F.max("at").alias("most"))
     swapped = near.join(first.where("to < most"), ["key", "gone"]).select("at", "to")
@@ -156,17 +165,15 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 def _verified(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose lines are at distance 1 word by word."""
-    ends = (pairs.select(F.col("at").alias("p")).unionByName(pairs.select(F.col("to").alias("p")))
-            .select("p.*").distinct().groupBy("id", "row").agg(F.collect_list("line").alias("lines")))
-    if pairs.count() <= BROADCAST_PAIRS:
-        ends = F.broadcast(ends)
-    texts = (keyed.join(ends, ["id", "row"]).dropDuplicates(["id", "row"])
+    ends = pairs.select(F.col("at").alias("p")).unionByName(pairs.select(F.col("to").alias("p"))).select("p.*").distinct()
+    lists = ends.groupBy("id", "row").agg(F.collect_list("line").alias("lines"))
+    texts = (_at_texts(keyed, lists, 2 * pairs.count())
              .select("id", "row", F.explode("lines").alias("line"), F.split("text", "\n").alias("all"))
              .select(_place().alias("p"), F.col("all")[F.col("line")].alias("words")))
     both = (pairs.join(texts.select(F.col("p").alias("at"), F.col("words").alias("a")), "at")
             .join(texts.select(F.col("p").alias("to"), F.col("words").alias("b")), "to"))
     same = F.pandas_udf(lambda a, b: _check(a, b), "boolean")
-    return both.where(same("a", "b")).select("at", "to")
+    return both.where(same("a", "b")).select("at", "to").distinct()
 
 
 def _check(a, b):
@@ -190,9 +197,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
              .dropDuplicates(["id", "row", "line"])
              .select("id", "row", "line", "h", F.explode("halves").alias("half")))
     shared = heads.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    wanted = heads.join(shared, "half", "left_semi").select("id", "row", "line").distinct()
+    wanted = numbered(heads.join(shared, "half", "left_semi").select("id", "row", "line").distinct())
     near = written(variants(keyed, wanted), "line-variants")
-    pairs = written(near_partners(near), "line-pairs")
+    place = lambda c: wanted.select(F.col("no").alias(c), _place().alias(f"{c}_place"))
+    pairs = (near_partners(near).join(place("at"), "at").join(place("to"), "to")
+             .select(F.col("at_place").alias("at"), F.col("to_place").alias("to")))
+    pairs = written(pairs, "line-pairs")
     return repeated.unionByName(_verified(keyed, pairs).withColumn("distance", F.lit(1)))
 
 
