@@ -94,21 +94,21 @@ PART_TEXT_COLS = [(n, "str") for n in ("p_partkey", "p_name", "p_brand", "p_type
 def lineitem_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
-    return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                      "l_discount", "l_tax", (q * q * q * q).alias("l_qty_pow4"),
                      (F.lit(2500.0) - q * q).alias("l_qty_left"),
-                     "l_returnflag", "l_linestatus")
+                     "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-LINEITEM_SKEWED_SQL = """(SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+LINEITEM_SKEWED_SQL = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
   l_discount, l_tax, l_quantity * l_quantity * l_quantity * l_quantity AS l_qty_pow4,
-  2500.0 - l_quantity * l_quantity AS l_qty_left, l_returnflag, l_linestatus
+  2500.0 - l_quantity * l_quantity AS l_qty_left, l_returnflag, l_linestatus, l_shipdate
   FROM lineitem)"""
 
-LINEITEM_SKEWED_COLS = [("l_orderkey", "num"), ("l_linenumber", "num"), ("l_quantity", "dbl"),
+LINEITEM_SKEWED_COLS = [("l_orderkey", "num"), ("l_partkey", "num"), ("l_suppkey", "num"), ("l_linenumber", "num"), ("l_quantity", "dbl"),
                         ("l_extendedprice", "dbl"), ("l_discount", "dbl"), ("l_tax", "dbl"),
                         ("l_qty_pow4", "dbl"), ("l_qty_left", "dbl"),
-                        ("l_returnflag", "str"), ("l_linestatus", "str")]
+                        ("l_returnflag", "str"), ("l_linestatus", "str"), ("l_shipdate", "ts")]
 
 
 def documents_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
