@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(618033)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
