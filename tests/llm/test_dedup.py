@@ -183,6 +183,29 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, pivots):
         assert kept.count() == empty + len({top[i] for i in range(len(rows)) if sets[i]})
 
 
+def short_copies(seed):
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    common = [word() for _ in range(12)]
+    rows = [common + [word() for _ in range(rng.choice([1] if i % 100 == 0 else [4, 5, 6, 7, 8]))] for i in range(700)]
+    rows += [r[:-1] + [word()] for r in rows[:600:20]]
+    return [(i, " ".join(r)) for i, r in enumerate(rng.sample(rows, len(rows)))]
+
+
+@pytest.mark.parametrize("seed,hot_keys", [(1, 1_000_000), (3, 3)])
+def test_short_copies_around_one_sentence_equal_brute_force(spark, monkeypatch, seed, hot_keys):
+    monkeypatch.setattr(ngram_join, "HOT_KEYS", hot_keys)
+    rows = short_copies(seed)
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i)
+             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    top = joined(range(len(rows)), links)
+    least = {t: min(i for i in top if top[i] == t) for t in set(top.values())}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(least) < len(rows) - 20 and got == {i: least[t] for i, t in top.items()}
+
+
 def test_jaccard_of_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(none).count() == 0
