@@ -1,7 +1,9 @@
 """Near-duplicate lines by a join of deletion neighbourhoods.
 
-Rule. A line's words are the runs without white space, A-Z lower-cased. A line
-of at least ``MIN_WORDS`` words is dropped if an earlier line has the same
+Rule. A line's words are the runs without white space, A-Z lower-cased; in
+scripts without spaces between words (Chinese, Japanese, Thai and so on) every
+code point is a word. A line of at least ``MIN_WORDS`` words, or whose words
+have at least ``MIN_BYTES`` bytes, is dropped if an earlier line has the same
 words. Of lines with at least ``NEAR_WORDS`` words, one is also dropped if an
 earlier one is at word edit distance 1 (one word put in, left out or
 exchanged). Earlier is the smaller ``doc_id``, then the smaller line number.
@@ -33,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
-from quarry.llm.words import Runs, batches_of
+from quarry.llm.words import Runs, batches_of, units_of
 
 MIN_WORDS = 3
+MIN_BYTES = 12
 NEAR_WORDS = 8
 #: lines whose places are sent to the texts; with more the texts are shuffled
 BROADCAST_LINES = 1_000_000
@@ -58,16 +61,19 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _lines(texts: list[bytes], least: int):
-    """Of every line with at least ``least`` words: text, number, first word,
-    end, and the hashed runs of the words."""
-    for start, w in batches_of(texts):
+def _lines(texts: list[bytes], least: int, least_bytes: int | None = None):
+    """Of every line with at least ``least`` words, or ``least_bytes`` bytes in
+    its words: text, number, first word, end, and the hashed runs of the words."""
+    for start, w in batches_of(texts, units=True):
         owner, number, a, b = w.lines()
         ok = b - a >= least
+        if least_bytes is not None:
+            sizes = np.concatenate([[0], np.cumsum(w.end - w.start)])
+            ok |= sizes[b] - sizes[a] >= least_bytes
         yield start + owner[ok], number[ok], a[ok], b[ok], Runs(w.hash)
 
 
-def line_table(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_table(keyed: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``id, row, line, n, h, halves``: every line with its hash and, as far as
     it may have near partners, the hashes of its halves."""
 
@@ -75,7 +81,7 @@ def line_table(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for owner, number, a, b, runs in _lines(texts, min_words):
+            for owner, number, a, b, runs in _lines(texts, min_words, min_bytes):
                 n = b - a
                 keys = []
                 # the halves of an own-length line, and of one that is a word shorter
@@ -177,9 +183,8 @@ def _verified(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _check(a, b):
-    split = lambda s: s.encode("utf-8", "replace").lower().split()
     import pandas as pd
-    return pd.Series([within_one(split(x), split(y)) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([within_one(units_of(x), units_of(y)) for x, y in zip(a, b)], dtype=bool)
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from quarry.llm import components, embedding_dedup, exact_dedup, line_dedup, ngram_join
+from quarry.llm import components, embedding_dedup, exact_dedup, line_dedup, ngram_join, words
 
 
 def joined(nodes, pairs):
@@ -105,6 +105,31 @@ def test_lines_equal_brute_force(spark, seed):
     assert all(r["id"] == "x" and r["line"] == 7 for r in got)
 
 
+def test_words_of_scripts_without_spaces():
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("aB \t\n\u00e9\u4e2d\u3002\u0e01\u0e49\ud55c\U00020001\U0001f600\u3000\u2014", k=rng.randint(0, 30)))
+             for _ in range(300)] + ["\u4e2d", "a\u4e2d", "plain A", ""]
+    raw = [t.encode() for t in texts]
+    for group in (raw, raw[-2:]):
+        w = words.Words(group, units=True)
+        data = b"\n".join(group).lower()
+        got = [data[a:b] for a, b in zip(w.start, w.end)]
+        assert got == [u for t in group for u in words.units_of(t.decode())]
+        assert [w.text[i + 1] - w.text[i] for i in range(len(group))] == [len(words.units_of(t.decode())) for t in group]
+    assert words.units_of("A\u4e2d\u6587 b\u00e9") == ["a".encode(), "\u4e2d".encode(), "\u6587".encode(), "b\u00e9".encode()]
+
+
+def test_lines_of_every_script_and_long_lines_of_few_words(spark):
+    zh, th = "\u8fd9\u662f\u4e00\u4e2a\u5728\u6bcf\u4e2a\u6587\u6863\u91cc\u90fd\u91cd\u590d\u7684\u6bb5\u843d\u3002", "\u0e02\u0e49\u0e2d\u0e04\u0e27\u0e32\u0e21\u0e19\u0e35\u0e49\u0e0b\u0e49\u0e33\u0e01\u0e31\u0e19"
+    url, two = "https://example.org/terms", "Advertisement continues"
+    near_zh, far_zh = zh.replace("\u91cc", "\u4e2d"), zh.replace("\u8fd9\u662f", "\u90a3\u4e0d")
+    rows = [(1, "\n".join([zh, th, url, two, "ok"])), (2, "\n".join([near_zh, th[:-1], url + "s", two.upper(), "ok"])),
+            (3, "\n".join([far_zh, zh + "\u4e86", th, url, "ok"]))]
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in line_dedup.dedup_lines(
+        spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    assert got == {1: (rows[0][1], 0), 2: (url + "s\nok", 3), 3: (far_zh + "\nok", 3)}
+
+
 def test_lines_of_an_empty_table_and_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d\nx y z"), (1, "a b c d\nx y z"), (2, "x y z")], "doc_id long, text string")
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
