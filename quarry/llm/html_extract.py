@@ -1,20 +1,22 @@
 """Main text of web pages, with site templates found by counting subtrees.
 
-Method. Pages are parsed into elements twice. The first pass hashes every
-block element's subtree (tag, class, id and everything below it). Spark counts,
-per host, on how many different pages each hash stands: pages with the same
-article text count once, so copies of an article aren't taken for a template. A
-hash on at least ``MIN_PAGES`` and a ``MIN_SHARE`` of a host's different pages
-is part of its template. The second pass deletes these subtrees, together with
+Method. Pages are parsed into elements, and every block element's subtree (tag,
+class, id and everything below it) is hashed. Spark counts, per host and per
+section (host and first directory of the path), on how many different pages
+each hash stands: pages with the same article text count once, so copies of an
+article aren't taken for a template. Template is what stands on at least
+``MIN_PAGES`` and a ``MIN_SHARE`` of the different pages of its host, or of its
+section there, and a container on at least ``MANY_PAGES`` different pages of
+its host, however large the host is. These subtrees are deleted, together with
 the parts that HTML itself names as outside of the article (navigation, forms,
-scripts and so on, by tag, role and class or id words), and joins the blocks
-left. If a page has article elements, or else a main element, only text in them
+scripts and so on, by tag, role and class or id words), and the blocks left are
+joined. If a page has article elements, or else a main element, only text in them
 counts, and there only containers are deleted as template, never a paragraph or
 heading by itself, since pages may quote the same passage.
 
-A host's template has at most (block elements per page) / ``MIN_SHARE`` hashes,
-so it is a short array. The counts are taken over all pages. Hosts' templates
-are joined by host, the hot host salted.
+The counts are taken over all pages. Pages get from their hosts' templates only
+the hashes that they hold: up to ``BROADCAST_MARKS`` of them are looked up in a
+broadcast array, more are joined with the pages' hashes, salted.
 
 Cases: null or empty html gives an empty text. Unclosed elements end with their
 parent, stray end tags are skipped, cut tags at the end are dropped. White
@@ -28,6 +30,7 @@ import hashlib
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +40,11 @@ from quarry.llm.url_filter import host_of
 
 MIN_PAGES = 10
 MIN_SHARE = 0.3
+MANY_PAGES = 100
+BROADCAST_MARKS = 1_000_000
 SALTS = 32
+#: the first directory of the path
+SECTION = r"(?s)^.*?://[^/?#]*/([^/?#]+)/"
 
 #: fixed values: HTML's elements by what they do to text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -113,15 +120,14 @@ class Element:
         self.parts: list = []
 
 
-def parse(page: str, template: frozenset = frozenset(), found: list | None = None) -> list[str]:
-    """The blocks of the page's article, without subtrees whose hash is in
-    ``template``; ``found`` gets (hash, inside of an article) of every block
-    element that may be deleted."""
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The blocks of the page's article, and (hash, first block, end) of every
+    block element that may be deleted; odd hashes are containers'."""
+    found: list[tuple[int, int, int]] = []
     blocks: list[tuple[str, bool, bool]] = []
     line: list[str] = []
     stack = [Element("", False, False, False, 0, "", False)]
     seen = {"article": False, "main": False}
-    track = found is not None or bool(template)
 
     def flush():
         if line:
@@ -136,16 +142,11 @@ def parse(page: str, template: frozenset = frozenset(), found: list | None = Non
         if e.tag in BLOCK:
             flush()
         stack.pop()
-        if not track:
-            return
         if e.tag in BLOCK and not e.off:
             told = hashlib.blake2b("\x1f".join([e.key, *e.parts]).encode("utf-8", "replace"), digest_size=8)
-            h = int.from_bytes(told.digest(), "little", signed=True)
+            h = int.from_bytes(told.digest(), "little", signed=True) & ~1 | (e.tag in CONTAINER)
             if not e.plain and e.parts:
-                if found is not None:
-                    found.append((h, e.article))
-                if h in template:
-                    del blocks[e.start:]
+                found.append((h, e.start, len(blocks)))
             stack[-1].parts.append(str(h))
         else:
             stack[-1].parts.append(e.key)
@@ -161,7 +162,7 @@ def parse(page: str, template: frozenset = frozenset(), found: list | None = Non
             if not top.off:
                 text = entities.unescape(text) if "&" in text else text
                 line.append(text)
-                if track and (bare := text.strip()):
+                if bare := text.strip():
                     top.parts.append(bare)
             continue
         tag = m[2] or m[5]
@@ -208,7 +209,7 @@ def parse(page: str, template: frozenset = frozenset(), found: list | None = Non
         if not off:
             seen["article"] |= inner
             seen["main"] |= main
-        key = f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}" if track else ""
+        key = f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}"
         plain = (inner or main) and tag not in CONTAINER or tag in ("html", "body", "article", "main")
         stack.append(Element(tag, off, inner, main, len(blocks), key, plain))
         if tag in RAW and not raw.endswith("/"):
@@ -217,67 +218,111 @@ def parse(page: str, template: frozenset = frozenset(), found: list | None = Non
     while len(stack) > 1:
         close()
     flush()
-    if seen["article"]:
-        return [b for b, inner, _ in blocks if inner]
-    if seen["main"]:
-        return [b for b, _, main in blocks if main]
-    return [b for b, _, _ in blocks]
+    inside = 1 if seen["article"] else 2 if seen["main"] else 0
+    place, kept = [0], []
+    for b in blocks:
+        if not inside or b[inside]:
+            kept.append(b[0])
+        place.append(len(kept))
+    return kept, [(h, place[i], place[j]) for h, i, j in found]
 
 
-def subtrees(pages: DataFrame) -> DataFrame:
-    """``host, page, hash`` for every page and deletable subtree; ``page`` is
-    the hash of the page's text, equal for copies."""
+PARSED = ("page_id long, url string, row long, host string, section string, page long, blocks array<string>, "
+          "hashes array<long>, starts array<int>, ends array<int>")
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """``page_id, url, row, host, section`` of every page with its blocks and
+    deletable subtrees; ``page`` is the hash of the page's text, equal for
+    copies."""
 
     def work(batches):
         for batch in batches:
-            hosts, keys, hashes = [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found: list = []
-                text = "\n".join(parse(page or "", found=found))
-                key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(),
-                                     "little", signed=True)
-                hosts.append(host)
-                keys.append(key)
-                hashes.append(sorted({h for h, _ in found}))
+            out = []
+            for html in batch.column(5).to_pylist():
+                blocks, found = parse(html or "")
+                key = hashlib.blake2b("\n".join(blocks).encode("utf-8", "replace"), digest_size=8).digest()
+                out.append((int.from_bytes(key, "little", signed=True), blocks, *([f[i] for f in found] for i in range(3))))
+            cols = [[o[i] for o in out] for i in range(5)]
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["host", "page", "hashes"])
-
-    return pages.select("host", "html").mapInArrow(work, "host string, page long, hashes array<long>")
-
-
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, template``: the sorted hashes that recur on the host."""
-    found = written(subtrees(pages), "subtrees")
-    totals = (found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-              .where(F.col("pages") >= min_pages))
-    # a hash that one task sees often is one row of its partial distinct
-    counts = (found.select("host", "page", F.explode("hashes").alias("hash")).distinct()
-              .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
-    return (counts.join(totals, "host").where(F.col("n") >= F.col("pages") * min_share)
-            .groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")))
+                batch.columns[:5] + [pa.array(c, k) for c, k in zip(cols, kinds)],
+                names=["page_id", "url", "row", "host", "section", "page", "blocks", "hashes", "starts", "ends"])
+
+    return pages.select("page_id", "url", "row", "host", "section", "html").mapInArrow(work, PARSED)
+
+
+def site_marks(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+               many_pages: int = MANY_PAGES) -> DataFrame:
+    """``mark``: a hash of place (host, or host and section) and subtree hash of
+    every subtree that is template there."""
+    each = found.select("host", "section", "page", F.explode("hashes").alias("hash"))
+    marks = []
+    for place in (["host"], ["host", "section"]):
+        totals = (found.select(*place, "page").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("pages"))
+                  .where(F.col("pages") >= min_pages))
+        # a hash that one task sees often is one row of its partial distinct
+        counts = (each.select(*place, "page", "hash").distinct().groupBy(*place, "hash")
+                  .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
+        often = F.col("n") >= F.col("pages") * min_share
+        if place == ["host"]:
+            often |= (F.col("hash").bitwiseAND(1) == 1) & (F.col("n") >= many_pages)
+        marks.append(counts.join(totals, place).where(often).select(F.xxhash64(*place, "hash").alias("mark")))
+    return marks[0].unionByName(marks[1]).distinct()
+
+
+def page_templates(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """``row, template``: the page's hashes that are template on its place."""
+    places = F.array(F.xxhash64("host", "hash"), F.xxhash64("host", "section", "hash"))
+    each = (found.select("row", "host", "section", F.explode(F.array_distinct("hashes")).alias("hash"))
+            .select("row", "hash", F.explode(places).alias("mark")))
+    spread = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, ["mark", "salt"], "left_semi")
+    return hits.groupBy("row").agg(F.collect_set("hash").alias("template"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row."""
     url = F.col(url_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
                      F.col(html_col).cast("string").alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url")))
-    templates = written(site_templates(rows.select("host", "html"), min_pages, min_share), "templates")
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
-    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = (rows.withColumn("salt", salt.cast("int")).join(spread, ["host", "salt"], "left")
-              .select("page_id", "url", "html", "template"))
+    rows = (rows.withColumn("row", F.xxhash64("page_id", "url", "html")).withColumn("host", host_of(F.col("url")))
+            .withColumn("section", F.regexp_extract(F.coalesce("url", F.lit("")), SECTION, 1)))
+    found = written(parsed_pages(rows), "parsed-pages")
+    marks = written(site_marks(found, min_pages, min_share, many_pages), "templates")
+    slim = ["page_id", "url", "blocks", "starts", "ends"]
+    few = marks.count() <= BROADCAST_MARKS
+    if few:
+        known = np.sort(marks.toPandas()["mark"].to_numpy(np.int64))
+        known = df.sparkSession.sparkContext.broadcast(known)
+        joined = found.select(*slim, F.transform("hashes", lambda h: F.xxhash64("host", h)).alias("at_host"),
+                              F.transform("hashes", lambda h: F.xxhash64("host", "section", h)).alias("at_section"))
+    else:
+        joined = found.join(page_templates(found, marks), "row", "left").select(*slim, "hashes", "template")
+
+    def hits(a, b):
+        """Of every page, whether its subtrees are template."""
+        if few:
+            a, b, marks = a.flatten().to_numpy(), b.flatten().to_numpy(), known.value
+            if not len(marks):
+                return iter([False] * len(a))
+            found = lambda x: marks[np.minimum(np.searchsorted(marks, x), len(marks) - 1)] == x
+            return iter((found(a) | found(b)).tolist())
+        pages = zip(a.to_pylist(), b.to_pylist())
+        return (h in t for hashes, t in ((x, frozenset(y or ())) for x, y in pages) for h in hashes)
 
     def work(batches):
         for batch in batches:
-            text = ["\n".join(parse(page or "", frozenset(t or ()))) for page, t in
-                    zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            text, hit = [], hits(batch.column(5), batch.column(6))
+            for blocks, starts, ends in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                gone = bytearray(len(blocks))
+                for i, j in zip(starts, ends):
+                    if next(hit):
+                        gone[i:j] = b"\1" * (j - i)
+                text.append("\n".join([b for b, g in zip(blocks, gone) if not g]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(text, pa.string()),
                  pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(work, "page_id long, url string, text string, n_chars long")
-

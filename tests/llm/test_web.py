@@ -117,6 +117,20 @@ def test_templates_of_a_host_go_but_articles_stay(spark):
     assert all(got[200 + i] == f"t {i}\nquoted passage" and got[300 + i] == "copied" for i in range(30))
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_templates_of_layouts_and_of_large_hosts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_extract, "BROADCAST_MARKS", broadcast)
+    # four layouts, each on a quarter of the host's pages, by section
+    rows = [(i, f"http://d.com/part{i % 4}/{i}", f"<body><div><p>Layout {i % 4} offer</p></div><p>story {i}</p>"
+             f"<div><p>part of {i}</p></div></body>") for i in range(80)]
+    # a block on an eighth of a large host's pages, and a sentence that many of them quote
+    rows += [(1000 + i, f"http://e.com/{i}", f"<body>{'<div><p>Sale ends soon</p></div>' if i % 8 == 0 else ''}"
+              f"<p>tale {i}</p>{'<p>as they say</p>' if i % 8 == 1 else ''}</body>") for i in range(1000)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"story {i}\npart of {i}" for i in range(80))
+    assert all(got[1000 + i] == f"tale {i}" + ("\nas they say" if i % 8 == 1 else "") for i in range(1000))
+
+
 def url_brute(urls):
     """The documented rule, by plain Python."""
     rows = []
