@@ -231,6 +231,18 @@ def test_short_copies_around_one_sentence_equal_brute_force(spark, monkeypatch,
     assert len(least) < len(rows) - 20 and got == {i: least[t] for i, t in top.items()}
 
 
+def test_members_that_come_from_two_rounds_count_once(spark):
+    # one region's 2, the other's 3 come from two rounds with different sizes
+    first = [(7, p, 4) for p in (1, 2, 4, 5)] + [(8, p, 4) for p in (1, 3, 4, 5)]
+    second = [(7, 2, 3), (8, 3, 3)]
+    frames = [spark.createDataFrame(r, "key long, point long, size long") for r in (first, second)]
+    links = spark.createDataFrame([(4, 5)], "a long, b long")
+    got = ngram_join.open_regions(ngram_join.united(*frames), links).collect()
+    assert sorted((r["key"], r["point"]) for r in got) == [(k, p) for k, p, _ in first]
+    with_sizes = frames[0].unionByName(frames[1]).distinct()
+    assert len({r["key"] for r in ngram_join.open_regions(with_sizes, links).collect()}) == 1
+
+
 def test_jaccard_of_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(none).count() == 0
