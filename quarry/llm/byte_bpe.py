@@ -8,6 +8,10 @@ merges its leftmost pair of the smallest rank, and is compacted by one place;
 rows without a mergeable pair leave the matrix. Ids of a text are the ids of
 its matches, gathered by index.
 
+Matches of over ``LONG_MATCH`` bytes don't go into matrices, where a round per
+merge is quadratic in their length: they are merged one at a time with a heap
+of pairs over a linked list, with the same ids.
+
 Distinct matches are told apart by a 64-bit multilinear hash of their bytes.
 A worker keeps the ids of the matches that it has met, up to ``CACHE_ENTRIES``
 of them, and starts afresh beyond that: this bounds memory, not the result.
