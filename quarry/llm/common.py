@@ -22,6 +22,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, taken by place, so that other columns whose
+    names differ only in case, hold dots or repeat a name don't matter."""
+    at = [df.columns.index(n) for n in names]
+    placed = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return placed.select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names)))
+
+
 def as_text(col) -> F.Column:
     """The column as a string, null as the empty string."""
     return F.coalesce(col.cast("string"), F.lit(""))

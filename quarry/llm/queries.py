@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, toxicity, url_filter, warc
+from quarry.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, prefix_trie, spelling, toxicity, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -52,7 +52,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op7_embedding_dedup, op8_exact_dedup, op9_byte_bpe, op10_url_filter)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op7_embedding_dedup, op8_exact_dedup, op9_byte_bpe, op10_url_filter,
+                                  op11_prefix_trie, op12_spelling)}
 
 ORACLES = {
     "op1_warc": """
@@ -73,4 +82,34 @@ ORACLES = {
                sha256(b) AS text_sha256
         FROM d
     """,
+    "op11_prefix_trie": """
+        WITH d AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i
+              FROM d),
+        crc AS (SELECT c, xor(4294967295, list_reduce(
+                    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                             lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h
+                FROM (SELECT DISTINCT c FROM d)),
+        t AS (SELECT crc.c, 0 AS part, b.i, b.role, b.text FROM crc JOIN o b ON b.c = crc.c - crc.c % 5 AND b.i <= h
+              UNION ALL
+              SELECT crc.c, 1, o.i, o.role, o.text FROM crc JOIN o ON o.c = crc.c AND o.i > h),
+        p AS (SELECT c, 0 AS depth, '' AS k, 0 AS bytes FROM crc
+              UNION ALL
+              SELECT c, row_number() OVER w, string_agg(sha256(length(role) || ':' || role || text), '') OVER w,
+                     octet_length(encode(text)) FROM t WINDOW w AS (PARTITION BY c ORDER BY part, i)),
+        q AS (SELECT *, max(depth) OVER (PARTITION BY c) AS n, lag(k) OVER (PARTITION BY c ORDER BY depth) AS up FROM p),
+        g AS (SELECT k, any_value(depth) AS depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs,
+                     any_value(bytes) AS bytes,
+                     sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256
+              FROM q GROUP BY k),
+        ch AS (SELECT up, count(*) AS n FROM g WHERE up IS NOT NULL GROUP BY up),
+        f AS (SELECT g.*, coalesce(ch.n, 0) AS n_children FROM g LEFT JOIN ch ON ch.up = g.k),
+        s AS (SELECT q.k, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved_tokens
+              FROM f JOIN q ON q.c = f.conv_id AND q.depth <= f.depth GROUP BY q.k)
+        SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children,
+               s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+        FROM f JOIN s ON s.k = f.k LEFT JOIN f u ON u.k = f.up
+    """,
 }
