@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, prefix_trie, spelling, toxicity, url_filter, warc
+from quarry.llm import byte_bpe, byte_cnn, embedding_dedup, exact_dedup, html_extract, line_dedup, ngram_join, packing, prefix_trie, spelling, toxicity, url_filter, warc
 from quarry.llm.common import table
 
 
@@ -60,8 +60,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_toxicity, op4_line_dedup, op5_html_extract, op6_packing, op7_embedding_dedup, op8_exact_dedup, op9_byte_bpe, op10_url_filter,
-                                  op11_prefix_trie, op12_spelling)}
+                                  op11_prefix_trie, op12_spelling, op13_quality)}
 
 ORACLES = {
     "op1_warc": """
@@ -112,4 +116,32 @@ ORACLES = {
                s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
         FROM f JOIN s ON s.k = f.k LEFT JOIN f u ON u.k = f.up
     """,
+    "op12_spelling": """
+        WITH runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS i,
+                             unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS r
+                      FROM documents),
+        g AS (SELECT i, r, count(*) AS k, hex(encode(i || ':' || r)) AS x FROM runs WHERE length(r) >= 5 GROUP BY ALL),
+        t AS (SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1))) ORDER BY c) AS crc
+              FROM range(256) s(c)),
+        h AS (SELECT r, k, xor(4294967295, list_reduce(
+                  list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT)),
+                  lambda s, b: xor(s >> 8, crc[(xor(s, b) & 255) + 1]))) AS h
+              FROM g, t),
+        w AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM h),
+        v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        d AS (SELECT word, n, unnest(range(length(word))) AS j FROM v),
+        e AS (SELECT word, n, j, left(word, j) || substr(word, j + 2) AS less FROM d),
+        pairs AS (SELECT a.word AS a, b.word AS b FROM e a JOIN e b ON a.less = b.less AND a.j = b.j AND a.word <> b.word
+                  UNION SELECT e.word, v.word FROM e JOIN v ON v.word = e.less
+                  UNION SELECT v.word, e.word FROM e JOIN v ON v.word = e.less),
+        near AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-v.n, hex(encode(b)))) AS best, max(v.n) AS best_n
+                 FROM pairs JOIN v ON v.word = b GROUP BY a),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form,
+                     CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n
+              FROM v LEFT JOIN near USING (word)),
+        way AS (WITH RECURSIVE c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+                SELECT c.word, c.at AS root FROM c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN way USING (word)
+    """,
 }
