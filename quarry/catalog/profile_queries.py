@@ -18,8 +18,7 @@ def _r(c):
     return F.round(F.col(c), R).alias(c)
 
 
-def _profiles(spark: SparkSession, sf_dir: str, names: list[str],
-              order_stats: bool = True) -> list[tuple[str, TableProfile]]:
+def _profiles(spark: SparkSession, sf_dir: str, names: list[str], compute) -> list[tuple[str, TableProfile]]:
     """Profiles of several tables, computed concurrently: their jobs are
     independent, so submitting them from threads lets them share the
     cluster instead of queueing one table after another."""
@@ -27,7 +26,7 @@ def _profiles(spark: SparkSession, sf_dir: str, names: list[str],
 
     profs = [(n, TableProfile(PROFILED[n][0](spark, sf_dir))) for n in names]
     with ThreadPoolExecutor(max_workers=min(4, len(profs))) as pool:
-        list(pool.map(lambda np: np[1].columns(order_stats), profs))
+        list(pool.map(lambda np: compute(np[1]), profs))
     return profs
 
 
@@ -35,9 +34,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _per_table(spark, sf_dir, names, fn, order_stats: bool = True) -> DataFrame:
+def _per_table(spark, sf_dir, names, fn, compute=lambda p: p.columns()) -> DataFrame:
     return _union([fn(p).select(F.lit(n).alias("table_name"), "*")
-                   for n, p in _profiles(spark, sf_dir, names, order_stats)])
+                   for n, p in _profiles(spark, sf_dir, names, compute)])
 
 
 # --- Spark side -----------------------------------------------------------------
@@ -45,7 +44,7 @@ def profile_overview(spark, sf_dir):
     return _per_table(spark, sf_dir, ["customer_nulled", "lineitem_skewed"],
                       lambda p: p.overview().select(
                           "rows", "columns", "empty_cells", "total_cells", "populated_cells",
-                          _r("completeness"), "quality", "dimensionality"), order_stats=False)
+                          _r("completeness"), "quality", "dimensionality"), compute=lambda p: p.stats_rows)
 
 
 KIND_TABLES = ["customer_nulled", "part_text", "orders", "documents", "lineitem_skewed"]
@@ -53,39 +52,38 @@ KIND_TABLES = ["customer_nulled", "part_text", "orders", "documents", "lineitem_
 
 def column_kinds(spark, sf_dir):
     return _per_table(spark, sf_dir, KIND_TABLES, lambda p: p.columns(False).select(
-        "position", "column_name", "populated", "numeric_n", "distinct_n", "kind"), order_stats=False)
+        "position", "column_name", "populated", "numeric_n", "distinct_n", "kind"), compute=lambda p: p.columns(False))
 
 
 def column_missing(spark, sf_dir):
-    return _per_table(spark, sf_dir, ["customer_nulled"], lambda p: p.columns(False).select(
+    return _per_table(spark, sf_dir, ["customer_nulled"], lambda p: p.columns(False, False).select(
         "position", "column_name", "missing", _r("missing_pct"), "missing_pct_1dp",
-        (F.col("missing_pct_1dp") > 5).alias("missing_over_5")), order_stats=False)
+        (F.col("missing_pct_1dp") > 5).alias("missing_over_5")), compute=lambda p: p.columns(False, False))
 
 
 NUM_TABLES = ["lineitem_skewed", "part_text", "customer_nulled"]
 
 
-def _numeric(p: TableProfile, *cols) -> DataFrame:
-    return p.columns().where(F.col("kind") == "numeric").select("position", "column_name", *cols)
+def _numeric(spark, sf_dir, *cols, order_stats: bool = True) -> DataFrame:
+    return _per_table(spark, sf_dir, NUM_TABLES, lambda p: p.columns(order_stats, False).where(
+        F.col("kind") == "numeric").select("position", "column_name", *cols), compute=lambda p: p.columns(order_stats, False))
 
 
 def numeric_moments(spark, sf_dir):
-    return _per_table(spark, sf_dir, NUM_TABLES, lambda p: _numeric(
-        p, "numeric_n", _r("sum"), _r("mean"), _r("min"), _r("max"), _r("range"), _r("sd")))
+    return _numeric(spark, sf_dir, "numeric_n", _r("sum"), _r("mean"), _r("min"), _r("max"), _r("range"), _r("sd"),
+                    order_stats=False)
 
 
 def numeric_median(spark, sf_dir):
-    return _per_table(spark, sf_dir, NUM_TABLES, lambda p: _numeric(p, _r("median")))
+    return _numeric(spark, sf_dir, _r("median"))
 
 
 def numeric_quartiles(spark, sf_dir):
-    return _per_table(spark, sf_dir, NUM_TABLES, lambda p: _numeric(
-        p, _r("q1"), _r("q3"), _r("iqr")))
+    return _numeric(spark, sf_dir, _r("q1"), _r("q3"), _r("iqr"))
 
 
 def iqr_outliers(spark, sf_dir):
-    return _per_table(spark, sf_dir, NUM_TABLES, lambda p: _numeric(
-        p, "outliers", _r("outlier_pct"), _r("lower_fence"), _r("upper_fence")))
+    return _numeric(spark, sf_dir, "outliers", _r("outlier_pct"), _r("lower_fence"), _r("upper_fence"))
 
 
 def outlier_rows(spark, sf_dir):
@@ -96,8 +94,7 @@ def outlier_rows(spark, sf_dir):
 
 
 def skew_labels(spark, sf_dir):
-    return _per_table(spark, sf_dir, NUM_TABLES, lambda p: _numeric(
-        p, _r("skew_score"), "skew", "variability", "distribution"))
+    return _numeric(spark, sf_dir, _r("skew_score"), "skew", "variability", "distribution")
 
 
 CARD_TABLES = ["customer_nulled", "part_text", "documents", "orders", "lineitem_skewed"]
@@ -107,12 +104,12 @@ def column_cardinality(spark, sf_dir):
     return _per_table(spark, sf_dir, CARD_TABLES, lambda p: p.columns(False).where(
         F.col("kind").isin("categorical", "text")).select(
         "position", "column_name", "populated", "distinct_n", _r("cardinality_ratio"),
-        "cardinality", _r("top_share"), "concentration"), order_stats=False)
+        "cardinality", _r("top_share"), "concentration"), compute=lambda p: p.columns(False))
 
 
 def top_values(spark, sf_dir):
     return _per_table(spark, sf_dir, CARD_TABLES, lambda p: p.top_values_named().select(
-        "position", "column_name", "rank", "value", "k", _r("share")), order_stats=False)
+        "position", "column_name", "rank", "value", "k", _r("share")), compute=lambda p: p.text_positions)
 
 
 def duplicate_rows(spark, sf_dir):

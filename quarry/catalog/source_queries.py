@@ -31,6 +31,39 @@ def csv_normalise(spark, d):
                     F.round(parse_number(F.col("c_acctbal")), R).alias("c_acctbal"), "c_mktsegment")
 
 
+def csv_folder(spark, d):
+    """documents, whose texts hold line breaks and quotes, as two folders of
+    delimited text with different headers, read together by column name."""
+    docs, paths = table(spark, d, "documents"), [scratch_path(spark, f"csv-documents-{i}") for i in (0, 1)]
+    for i, cols in enumerate((["doc_id", "text", "lang", "source"], ["source", "doc_id", "text"])):
+        (docs.where(F.col("doc_id") % 2 == i).select(*cols).write.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths[i]))
+    return read_delimited(spark, paths)
+
+
+def orders_grid(spark, d):
+    """orders and customer as the cell grids of two workbooks per nation or
+    priority, with different headers that share a column."""
+    def cells(df, file, row, names):
+        head = df.select(file.alias("file")).distinct().select("file", F.lit(1).alias("sheet_no"), F.lit(0).cast("long").alias("row_no"), F.inline(
+            F.array(*[F.struct(F.lit(i).alias("col_no"), F.lit(f" {n} ").alias("value")) for i, n in enumerate(names)])))
+        body = df.select(file.alias("file"), F.lit(1).alias("sheet_no"), row.alias("row_no"), F.inline(
+            F.array(*[F.struct(F.lit(i).alias("col_no"), F.col(n).cast("string").alias("value")) for i, n in enumerate(names)])))
+        return head.unionByName(body)
+
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    o = o.withColumnRenamed("o_custkey", "custkey")
+    c = c.withColumnRenamed("c_custkey", "custkey")
+    return (cells(o, F.concat(F.lit("orders-"), F.col("o_orderpriority")), F.col("o_orderkey") + 1,
+                  ["o_orderkey", "custkey", "o_orderstatus"])
+            .unionByName(cells(c, F.concat(F.lit("customer-"), F.col("c_nationkey").cast("string")), F.col("custkey") + 1,
+                               ["custkey", "c_name"])))
+
+
+def grid_workbooks(spark, d):
+    return grid_to_table(orders_grid(spark, d))
+
+
 def nation_grid(spark, d):
     """nation as a workbook cell grid: a padded header row, records on odd
     rows (every fifth one short), blank rows between, and a second sheet."""
@@ -108,7 +141,7 @@ def retention_per_key(spark, d):
 
 
 QUERIES = {
-    "csv_normalise": csv_normalise, "grid_to_table": grid_table,
+    "csv_normalise": csv_normalise, "csv_folder": csv_folder, "grid_to_table": grid_table, "grid_workbooks": grid_workbooks,
     "file_inventory": file_inventory, "file_check": file_check, "file_formats": file_formats,
     "load_summary": load_summary, "snapshot_roundtrip": snapshot_roundtrip,
     "snapshot_list": snapshot_list, "snapshot_latest": snapshot_latest,
@@ -130,6 +163,12 @@ def sql():
         "csv_normalise": f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
   CAST(c_nationkey AS VARCHAR) AS c_nationkey, round(c_acctbal, {R}) AS c_acctbal, {seg} AS c_mktsegment
 FROM {CUSTOMER_NULLED_SQL} t""",
+        "csv_folder": f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, {sql_cell('text')} AS text,
+  CASE WHEN doc_id % 2 = 0 THEN {sql_cell('lang')} ELSE '' END AS lang, {sql_cell('source')} AS source
+FROM documents""",
+        "grid_workbooks": """SELECT 'orders-' || o_orderpriority AS file, o_orderkey + 1 AS row_no,
+  CAST(o_custkey AS VARCHAR) AS custkey, '' AS c_name, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders
+UNION ALL SELECT 'customer-' || CAST(c_nationkey AS VARCHAR), c_custkey + 1, CAST(c_custkey AS VARCHAR), c_name, '', '' FROM customer""",
         "grid_to_table": """SELECT n_nationkey * 2 + 1 AS row_no, CAST(n_nationkey AS VARCHAR) AS n_nationkey,
   n_name, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey
 FROM nation""",

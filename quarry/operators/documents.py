@@ -1,9 +1,10 @@
 """Operators on document text: table detection, paragraph chunking,
 sentence search with context, keyword test, question-context assembly.
 
-Every operator works inside its row with Spark's higher-order array
-functions, so nothing is shuffled and the work is linear in the text: a
-document is never exploded into lines that must be re-sorted by a window.
+Every operator works inside its row with Spark's array and pattern functions,
+so nothing is shuffled and the work is linear in the text: no fold carries a
+list along, and a document is never exploded into lines that must be re-sorted
+by a window.
 """
 
 from __future__ import annotations
@@ -46,23 +47,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-BLOCK = 64  # items per accumulator block (see _push)
-
-
-def _push(blk: Column, blks: Column, item: Column) -> tuple[Column, Column]:
-    """Append ``item`` to a blocked list ``(blk, blks)``: a fold that
-    appended to one array would copy it on every step (quadratic in its
-    length); here only a block of at most BLOCK items is copied, and full
-    blocks are pushed to ``blks`` (1/BLOCK as many copies)."""
-    full = F.size(blk) >= BLOCK
-    return (F.when(full, F.array(item)).otherwise(F.concat(blk, F.array(item))),
-            F.when(full, F.concat(blks, F.array(blk))).otherwise(blks))
-
-
-def _items(blk: Column, blks: Column) -> Column:
-    return F.flatten(F.concat(blks, F.array(blk)))
-
-
 def _explode(df: DataFrame, arr: str, pos: str, out: str) -> DataFrame:
     """posexplode that keeps the array expression evaluated once: the outer
     form stops Catalyst from inferring a ``size(arr) > 0`` filter and pushing
@@ -83,37 +67,18 @@ def tables_in_text(text) -> Column:
     row if it has more than one cell. A candidate with one cell neither adds
     a row nor ends the table; any other line ends it.
 
-    One fold over the lines; every lambda reads only its own arguments (an
-    outer array read inside a lambda would be re-evaluated per element).
+    Linear: every line becomes its row, an empty line if it ends a table, or
+    nothing; joined by line breaks once, the tables are what lies between empty
+    lines, since a row is never empty and holds no line break.
     """
-    lines = F.split(F.coalesce(_col(text), F.lit("")), LINE_BREAK, -1)
-    info = F.transform(lines, lambda ln: F.struct(
-        (ln.contains("  ") | ln.contains("\t")).alias("cand"), _row(ln).alias("row")))
-    s1, s2, s3 = "array<string>", "array<array<string>>", "array<array<array<string>>>"
-    init = F.struct(F.array().cast(s1).alias("rb"), F.array().cast(s2).alias("rbs"),
-                    F.array().cast(s2).alias("tb"), F.array().cast(s3).alias("tbs"))
-
-    def step(acc, x):
-        is_open = (F.size(acc["rb"]) > 0) | (F.size(acc["rbs"]) > 0)
-        rb, rbs = _push(acc["rb"], acc["rbs"], x["row"])
-        tb, tbs = _push(acc["tb"], acc["tbs"], _items(acc["rb"], acc["rbs"]))
-        close = ~x["cand"] & is_open
-        add = x["cand"] & x["row"].isNotNull()
-        return F.struct(
-            F.when(~x["cand"], F.array().cast(s1)).when(add, rb).otherwise(acc["rb"]).alias("rb"),
-            F.when(~x["cand"], F.array().cast(s2)).when(add, rbs).otherwise(acc["rbs"]).alias("rbs"),
-            F.when(close, tb).otherwise(acc["tb"]).alias("tb"),
-            F.when(close, tbs).otherwise(acc["tbs"]).alias("tbs"))
-
-    def finish(acc):
-        is_open = (F.size(acc["rb"]) > 0) | (F.size(acc["rbs"]) > 0)
-        tb, tbs = _push(acc["tb"], acc["tbs"], _items(acc["rb"], acc["rbs"]))
-        return F.when(is_open, _items(tb, tbs)).otherwise(_items(acc["tb"], acc["tbs"]))
-
     t = F.coalesce(_col(text), F.lit(""))
+    kept = F.filter(F.transform(F.split(t, LINE_BREAK, -1), lambda ln: F.when(
+        ln.contains("  ") | ln.contains("\t"), _row(ln)).otherwise(F.lit(""))), lambda x: x.isNotNull())
+    parts = F.split(F.array_join(kept, LINE_BREAK), PARAGRAPH_SPLIT, -1)
+    tables = F.filter(F.transform(parts, lambda p: F.filter(F.split(p, LINE_BREAK, -1), lambda r: r != "")),
+                      lambda rows: F.size(rows) > 0)
     # fast path: a text with no two spaces and no tab has no candidate line
-    return F.when(t.contains("  ") | t.contains("\t"), F.aggregate(info, init, step, finish)) \
-        .otherwise(F.array().cast("array<array<string>>"))
+    return F.when(t.contains("  ") | t.contains("\t"), tables).otherwise(F.array().cast("array<array<string>>"))
 
 
 def _row(line: Column) -> Column:
@@ -138,36 +103,22 @@ def chunks_of(text, max_chars: int = DEFAULT_CHUNK) -> Column:
     ``max_chars`` and it is not empty (the joining blank line is not
     counted, so a chunk may exceed the limit; a long paragraph is never
     cut). Chunks are trimmed; a last chunk of white space is dropped.
-    One fold over the paragraphs carrying the open chunk and its length.
+
+    Linear, with no accumulator: joined by blank lines, a chunk of several
+    paragraphs has at most ``max_chars`` + 2 characters, as the last joint isn't
+    counted. So the next chunk is the longest run up to there that ends at a blank
+    line or at the end, and the whole first paragraph if there is none.
     """
     pars = F.split(F.coalesce(_col(text), F.lit("")), PARAGRAPH_SPLIT, -1)
-    init = F.struct(F.lit("").alias("cur"), F.lit(0).alias("len"),
-                    F.array().cast("array<string>").alias("db"),
-                    F.array().cast("array<array<string>>").alias("dbs"))
-
-    def step(acc, p):
-        plen = F.length(p)
-        flush = (acc["len"] + plen > F.lit(max_chars)) & (acc["len"] > 0)
-        joined = F.when(acc["len"] > 0, F.concat(acc["cur"], F.lit(PARAGRAPH_JOIN), p)).otherwise(p)
-        db, dbs = _push(acc["db"], acc["dbs"], _trim(acc["cur"]))
-        return F.struct(
-            F.when(flush, p).otherwise(joined).alias("cur"),
-            F.when(flush, plen).otherwise(
-                acc["len"] + F.when(acc["len"] > 0, F.lit(2)).otherwise(F.lit(0)) + plen).alias("len"),
-            F.when(flush, db).otherwise(acc["db"]).alias("db"),
-            F.when(flush, dbs).otherwise(acc["dbs"]).alias("dbs"))
-
-    def finish(acc):
-        last = _trim(acc["cur"])
-        db, dbs = _push(acc["db"], acc["dbs"], last)
-        return F.when(last != "", _items(db, dbs)).otherwise(_items(acc["db"], acc["dbs"]))
-
-    folded = F.aggregate(pars, init, step, finish)
-    t = F.coalesce(_col(text), F.lit(""))
-    single = _trim(t)
-    # fast path: without a blank line the text is one paragraph, one chunk
-    return F.when(t.contains("\n\n"), folded).otherwise(
-        F.when(single != "", F.array(single)).otherwise(F.array().cast("array<string>")))
+    # an empty paragraph at the start is joined by nothing
+    whole = F.array_join(F.when(F.element_at(pars, 1) == "", F.slice(pars, 2, F.size(pars))).otherwise(pars), PARAGRAPH_JOIN)
+    stop = "(?=\\n\\n|\\z)"
+    found = F.regexp_extract_all(whole, F.lit(f"(?s)(.{{1,{max_chars + 2}}}{stop}|.+?{stop})(?:\\n\\n)?"), F.lit(1))
+    last = F.try_element_at(found, F.lit(-1))
+    # an empty paragraph at the end closes a chunk that is over the limit
+    closed = (F.element_at(pars, -1) == "") & ~F.endswith(last, F.lit(PARAGRAPH_JOIN))
+    ended = F.when((F.size(found) > 0) & (_trim(last) == "") & ~closed, F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))))
+    return F.transform(F.coalesce(ended, found), _trim)
 
 
 def chunk_text(docs: DataFrame, max_chars: int = DEFAULT_CHUNK, id_col: str = "doc_id",
@@ -249,16 +200,15 @@ def qa_context(docs: DataFrame, question: str, max_chars: int = QA_CHUNK, id_col
     text = F.coalesce(F.col(text_col), F.lit(""))
     pages = (F.coalesce(F.col(pages_col).cast("string"), F.lit("unknown")) if pages_col
              else F.lit("unknown"))
-    # the folds are columns of their own: read in several places below, they
-    # stay so in the plan and run once per document, not once per chunk
+    # chunks and tables are columns of their own: read in several places below,
+    # they stay so in the plan and are cut once per document, not once per chunk
     parts = docs.select(F.col(id_col).alias("doc_id"), pages.alias("pages"), F.length(text).alias("chars"),
                         chunks_of(text, max_chars).alias("chunks"),
                         F.slice(tables_in_text(text), 1, QA_TABLES).alias("tables"))
     chunks, tables = F.col("chunks"), F.col("tables")
     n = F.size(chunks).cast("string")
-    head = F.concat(F.lit("You are analyzing a PDF document with "), F.col("pages"), F.lit(" pages and "),
-                    F.col("chars").cast("string"),
-                    F.lit(QA_HEAD.split("{chars}")[1].replace("{question}", question)))
+    given = {"pages": F.col("pages"), "chars": F.col("chars").cast("string"), "question": F.lit(question)}
+    head = F.concat(*[given[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(\w+)\}", QA_HEAD))])
     body = F.array_join(F.transform(chunks, lambda c, i: F.concat(
         F.lit("\n--- Chunk "), (i + 1).cast("string"), F.lit("/"), n, F.lit(" ---\n"), c,
         F.lit("\n"))), "")

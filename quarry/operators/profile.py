@@ -1,21 +1,23 @@
 """Exact data profile of any DataFrame.
 
-Plan shape:
+Plan shape. No cell and no text is shuffled or written, whatever the table:
 
 * per-column counts and moments (``stats_frame``): one map-side aggregate of
-  the input, all columns at once; no cell is shuffled for them;
-* text frequencies (``freq_text``) of the columns that aren't numeric: distinct
-  counts and top values, where a ``row_number() <= 5`` filter becomes a partial
-  per-task group limit;
-* numeric frequencies ``(position, v, k)`` of the numeric columns, range
-  partitioned on ``(position, v)``. Order statistics are picked by rank:
-  per-partition counts (at most partitions + columns rows) give each
-  partition's first rank, and only the few partitions holding a wanted rank
-  are sorted, so no column is ever sorted in one task.
-
-Frequencies are grouped with map-side combining (a value holding a third of all
-rows is one row per task) and written once to the shared folder, where every
-later plan reads them, also after executors are lost.
+  the input, all columns at once;
+* order statistics (``order_stats``): a mergeable quantile summary per column
+  gives a bracket around every wanted rank; one counting pass proves that the
+  rank lies inside, or widens the bracket; brackets that still hold many values
+  get a summary of their own, and of the last, bounded ones only the values
+  inside are grouped. Outliers are counted against the fences in one aggregate;
+* distinct counts and top counts of text columns: counts by 128-bit digest, so
+  that a distinct value is some 50 bytes in the shuffle, however long its text;
+* top values: a mergeable heavy-hitter summary of hashes names candidates, a
+  second pass counts them exactly, and they are taken if the summary's bound
+  proves that no other value can reach them; otherwise the digests tell which
+  values have the top counts, and only their texts are fetched.
+
+What several plans read is written once to the shared folder, where every later
+plan reads it, also after executors are lost.
 
 Column kinds are decided on the driver from the per-column stats (one row
 per column, so its size is bounded by the schema, not the data).
@@ -49,7 +51,11 @@ QUALITY = ((95, "excellent"), (80, "good"), (60, "moderate"))
 DIM_LOW, DIM_MODERATE = 0.01, 0.1
 MISSING_NOTE_PCT = 5
 # ---------------------------------------------------------------------------
-ROWS_PER_RANGE = 1_000_000       # numeric cells per range partition, at any size
+ACCURACY = 10_000                # of the quantile summaries: rank error 1 / ACCURACY
+BRACKET_ROWS = 100_000         # values grouped per bracket, at any size of the table
+HITTERS = 64                     # candidates for top values, per column
+TRACKED = 10_000                 # items of the heavy-hitter summary
+PREFIX = 16                      # letters kept beside a digest, to order ties
 
 STATS_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -92,13 +98,13 @@ class TableProfile:
     """Profile of one DataFrame. Methods return lazy DataFrames, except that
     the per-column stats are collected once (one row per column)."""
 
-    def __init__(self, df: DataFrame, range_partitions: int | None = None):
+    def __init__(self, df: DataFrame, bracket_rows: int = BRACKET_ROWS, accuracy: int = ACCURACY):
         self.df = df
         self.spark: SparkSession = df.sparkSession
         self.specs = [ColumnSpec(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
         self.table = df.toDF(*[f"c{s.position}" for s in self.specs])
-        self._range_partitions = range_partitions
-        self._columns: dict[bool, DataFrame] = {}
+        self.bracket_rows, self.accuracy = bracket_rows, accuracy
+        self._columns: dict[tuple[bool, bool], DataFrame] = {}
 
     # -- counts and moments ----------------------------------------------------
     def stats_frame(self) -> DataFrame:
@@ -151,121 +157,223 @@ class TableProfile:
         """The collected stats as a small DataFrame (one row per column)."""
         return self.spark.createDataFrame(self.stats_rows, STATS_SCHEMA)
 
-    # -- value frequencies -----------------------------------------------------
-    @cached_property
-    def freq_text(self) -> DataFrame:
-        """``(position, value, k)``: non-blank trimmed values of the
-        non-numeric columns and their counts, written once."""
-        if not self.text_positions:
-            return self.spark.createDataFrame([], "position INT, value STRING, k BIGINT")
-        return _written(self.text_counts(self.text_positions), "text-freq")
-
-    def _cells(self, positions: list[int], part: str) -> DataFrame:
-        """``(position, <part>)`` of the given columns, unpivoted."""
+    # -- text columns: digests and heavy hitters ---------------------------------
+    def _texts(self, positions: list[int]) -> DataFrame:
+        """``(position, value)`` of the non-blank cells of the given columns."""
         wanted = [s for s in self.specs if s.position in set(positions)]
         if not wanted:
-            return self.spark.createDataFrame([], f"position INT, {part} {'STRING' if part == 'value' else 'DOUBLE'}")
+            return self.spark.createDataFrame([], "position INT, value STRING")
         return self.table.select(F.inline(F.array(*[
-            F.struct(F.lit(s.position).alias("position"), (s.value() if part == "value" else s.number()).alias(part))
-            for s in wanted])))
-
-    def text_counts(self, positions: list[int]) -> DataFrame:
-        """``(position, value, k)`` of non-blank text cells."""
-        return (self._cells(positions, "value").where(F.col("value") != "")
-                .groupBy("position", "value").agg(F.count(F.lit(1)).alias("k")))
+            F.struct(F.lit(s.position).alias("position"), s.value().alias("value")) for s in wanted]))
+        ).where(F.col("value") != "")
 
-    def numeric_counts(self, positions: list[int]) -> DataFrame:
-        """``(position, v, k)``: texts with the same number ('1', '1.0') merge."""
-        return (self._cells(positions, "v").where(F.col("v").isNotNull())
-                .groupBy("position", "v").agg(F.count(F.lit(1)).alias("k")))
+    @cached_property
+    def digests(self) -> DataFrame:
+        """``(position, d1, d2, k, prefix)``: the counts of the distinct values of
+        the non-numeric columns by 128-bit digest, written once."""
+        if not self.text_positions:
+            return self.spark.createDataFrame([], "position INT, d1 BIGINT, d2 BIGINT, k BIGINT, prefix STRING")
+        rows = self._texts(self.text_positions).select("position", *_digest(F.col("value")), _prefix().alias("prefix"))
+        return _written(rows.groupBy("position", "d1", "d2").agg(
+            F.count(F.lit(1)).alias("k"), F.min("prefix").alias("prefix")), "text-digests")
 
     def cardinality(self) -> DataFrame:
-        """``(position, distinct)`` for the non-numeric columns."""
-        return self.freq_text.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_n"))
+        """``(position, distinct_n, top_k)`` for the non-numeric columns."""
+        return self.digests.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_n"), F.max("k").alias("top_k"))
 
     def top_values(self, k: int = TOP_K) -> DataFrame:
-        """Top ``k`` values per non-numeric column by count, ties by value.
-        The row-number filter lets Spark keep a partial top-k per task
-        before the shuffle."""
+        """``(position, value, k, rank)``: the top ``k`` values per non-numeric
+        column by count, ties by value."""
+        proven, rest = self._heavy_hitters(k)
+        found = proven
+        if rest:
+            found = proven.unionByName(self._top_by_digest(k, rest))
         w = Window.partitionBy("position").orderBy(F.col("k").desc(), F.col("value").asc())
-        return (self.freq_text.withColumn("rank", F.row_number().over(w))
-                .where(F.col("rank") <= k))
-
-    # -- numeric value frequencies, range partitioned ------------------------
-    @cached_property
-    def numeric_freq(self) -> DataFrame:
-        """``(position, v, k, pid)`` range partitioned on ``(position, v)``;
-        ``pid`` is the range partition, so ``(pid, v)`` orders each column.
-        Written once to the shared folder, so every reader sees the same
-        partition ids (and a lost executor cannot change them)."""
-        freq = self.numeric_counts(self.numeric_positions)
-        return _written(freq.repartitionByRange(self.range_partitions, "position", "v")
-                        .withColumn("pid", F.spark_partition_id()), "numeric-freq")
-
-    @cached_property
-    def range_partitions(self) -> int:
-        """Follows the data, not the shuffle setting or the cores."""
-        if self._range_partitions:
-            return self._range_partitions
-        total = sum(r["numeric_n"] for r in self.stats_rows
-                    if r["position"] in set(self.numeric_positions))
-        return max(1, math.ceil(total / ROWS_PER_RANGE))
-
-    def order_stats(self) -> DataFrame:
-        """``(position, q1, median, q3)``, exact, for the numeric columns.
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def _heavy_hitters(self, k: int) -> tuple[DataFrame, list[int]]:
+        """``(position, value, k)`` that hold the top values of the columns for which
+        the summary proves it, and the columns for which it doesn't. The summaries
+        and the candidates are bounded per column."""
+        none = self.spark.createDataFrame([], "position INT, value STRING, k BIGINT")
+        specs = [self.specs[p] for p in self.text_positions]
+        if not specs:
+            return none, []
+        def hashed(s):
+            return f"xxhash64(v{s.position})"
+        cells_ = self.table.select(*[s.value().alias(f"v{s.position}") for s in specs])
+        tops = cells_.agg(*[F.expr(f"approx_top_k(if(v{s.position} <> '', {hashed(s)}, null), {HITTERS}, {TRACKED})").alias(f"t{s.position}")
+                            for s in specs]).first()
+        populated = {r["position"]: r["populated"] for r in self.stats_rows}
+        candidates, bounds = [], {}
+        for s, top in zip(specs, tops):
+            items = [(r["item"], r["count"]) for r in top or [] if r["item"] is not None]
+            candidates += [(s.position, h) for h, _ in items]
+            # a value that isn't named counts no more than the last one named, plus
+            # the summary's error on both sides; all are named if they are few
+            rest = min(c for _, c in items) if len(items) >= HITTERS else 0
+            bounds[s.position] = rest + (2 * 3.5 * populated[s.position] / TRACKED if populated[s.position] > TRACKED else 0)
+        few = self.spark.createDataFrame(candidates, "position INT, h BIGINT")  # HITTERS rows per column
+        exact = _written(
+            self._texts([s.position for s in specs]).withColumn("h", F.xxhash64("value"))
+            .join(F.broadcast(few), ["position", "h"]).groupBy("position", "value").agg(F.count(F.lit(1)).alias("k")), "hitters")
+        counts: dict[int, list[int]] = {}
+        for r in exact.select("position", "k").collect():
+            counts.setdefault(r["position"], []).append(r["k"])
+        proven = set()
+        for s in specs:
+            own = sorted(counts.get(s.position, []), reverse=True)
+            if sum(own) == populated[s.position] or (len(own) >= k and own[k - 1] > bounds[s.position]):
+                proven.add(s.position)
+        return (exact.where(F.col("position").isin(list(proven))) if proven else none,
+                [s.position for s in specs if s.position not in proven])
+
+    def _top_by_digest(self, k: int, positions: list[int]) -> DataFrame:
+        """``(position, value, k)`` with the top values, from the digests: the counts
+        of the k-th place, then, of the digests with that count, those with the
+        smallest prefixes. Only texts up to that prefix are read again."""
+        d = self.digests.where(F.col("position").isin(positions))
+        by_count = Window.partitionBy("position").orderBy(F.col("k").desc(), "prefix")
+        last = (d.withColumn("n", F.row_number().over(by_count)).where(F.col("n") <= k)
+                .groupBy("position").agg(F.max(F.struct("n", "k", "prefix")).alias("at"))
+                .select("position", F.col("at.k").alias("least"), F.col("at.prefix").alias("upto")))
+        # written, so that Spark knows its size when it picks the join
+        chosen = _written(
+            d.join(F.broadcast(last), "position")  # a row per column
+            .where((F.col("k") > F.col("least")) | (F.col("k") == F.col("least")) & (F.col("prefix") <= F.col("upto")))
+            .select("position", "d1", "d2", "k"), "top-digests")
+        texts = self._texts(positions).select("position", "value", *_digest(F.col("value")))
+        return (texts.join(chosen, ["position", "d1", "d2"]).groupBy("position", "d1", "d2")
+                .agg(F.min("value").alias("value"), F.max("k").alias("k")).select("position", "value", "k"))
+
+    # -- order statistics ------------------------------------------------------------
+    def order_stats(self, positions: list[int] | None = None) -> DataFrame:
+        """``(position, q1, median, q3)``, exact, for the numeric columns (or those
+        of them that are given).
 
         q1 = sorted[floor(n/4)], q3 = sorted[floor(3n/4)] (0-based, no
         interpolation), median = mean of the two middle values when n is even.
         """
-        if not self.numeric_positions:
-            return self.spark.createDataFrame(
-                [], "position INT, q1 DOUBLE, median DOUBLE, q3 DOUBLE")
-        ns = [(r["position"], r["numeric_n"]) for r in self.stats_rows
-              if r["position"] in set(self.numeric_positions)]
-        wanted = []
-        for pos, n in ns:
-            for name, rank in (("q1", math.floor(n * 0.25)), ("q3", math.floor(n * 0.75)),
-                               ("m_lo", (n - 1) // 2), ("m_hi", n // 2)):
-                wanted.append((pos, name, rank))
-        # bounded by 4 x numeric columns: safe to broadcast
-        targets = self.spark.createDataFrame(wanted, "position INT, name STRING, rank BIGINT")
-        rp = self.numeric_freq
-        per_part = rp.groupBy("position", "pid").agg(F.sum("k").alias("pk"))
-        running = Window.partitionBy("position").orderBy("pid").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        per_part = (per_part.withColumn("end", F.sum("pk").over(running))
-                    .withColumn("start", F.col("end") - F.col("pk")))
-        located = (per_part.join(F.broadcast(targets), "position")
-                   .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
-                   .select("position", "pid", "name",
-                           (F.col("rank") - F.col("start")).alias("local")))
-        # sort only the partitions holding a wanted rank, each once; then
-        # match the (at most four per column) ranks against running counts
-        inside = Window.partitionBy("position", "pid").orderBy("v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        parts = located.select("position", "pid").distinct()
-        picked = (rp.join(F.broadcast(parts), ["position", "pid"], "left_semi")
-                  .withColumn("cum", F.sum("k").over(inside))
-                  .join(F.broadcast(located), ["position", "pid"])
-                  .where((F.col("cum") - F.col("k") <= F.col("local"))
-                         & (F.col("local") < F.col("cum"))))
-        by_name = picked.groupBy("position").agg(
-            *[F.max(F.when(F.col("name") == nm, F.col("v"))).alias(nm)
-              for nm in ("q1", "q3", "m_lo", "m_hi")])
-        return by_name.select(
-            "position", "q1", ((F.col("m_lo") + F.col("m_hi")) / 2).alias("median"), "q3")
+        wanted: dict[tuple[int, int], list[str]] = {}
+        for r in self.stats_rows:
+            p, n = r["position"], r["numeric_n"]
+            if p in self.numeric_positions and (positions is None or p in positions):
+                for name, rank in (("q1", math.floor(n * 0.25)), ("q3", math.floor(n * 0.75)),
+                                   ("m_lo", (n - 1) // 2), ("m_hi", n // 2)):
+                    wanted.setdefault((p, rank), []).append(name)
+        values = self._at_ranks(list(wanted))
+        found: dict[int, dict[str, float]] = {}
+        for (p, rank), names in wanted.items():
+            found.setdefault(p, {}).update({n: values[p, rank] for n in names})
+        return self.spark.createDataFrame(
+            [(p, f["q1"], (f["m_lo"] + f["m_hi"]) / 2, f["q3"]) for p, f in found.items()],
+            "position INT, q1 DOUBLE, median DOUBLE, q3 DOUBLE")
+
+    def _numbers(self, positions: set[int]) -> DataFrame:
+        return self.table.select(*[self.specs[p].number().alias(f"v{p}") for p in sorted(positions)])
+
+    def _at_ranks(self, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+        """The value at each (position, 0-based rank) of the sorted numbers (a NaN is
+        a missing cell). A bracket is a closed interval of values with the number of
+        values below it; all brackets of all columns share a pass."""
+        # rank: (lowest value, highest value, values below, values inside)
+        numbers = {r["position"]: r["numeric_n"] for r in self.stats_rows}
+        done: dict[tuple[int, int], float] = {}
+        open_ = {w: (None, None, 0, numbers[w[0]]) for w in wanted}
+        margin = 1.5
+        while open_:
+            small = {w: b for w, b in open_.items() if b[3] <= self.bracket_rows}
+            large = {w: b for w, b in open_.items() if w not in small}
+            if small:
+                done |= self._ranked_inside(small)
+            open_ = {}
+            if not large:
+                break
+            cuts = self._summaries(large, margin)
+            counts = self._counts(large, cuts)
+            stuck = True
+            for w, (lo, hi, below, inside) in large.items():
+                a, b = cuts[w]
+                n_below, n_inside = counts[w]
+                if not n_below <= w[1] < n_below + n_inside:
+                    open_[w] = (lo, hi, below, inside)  # the summary was off: again, with a wider margin
+                elif a == b:
+                    done[w] = a
+                    stuck = False
+                else:
+                    stuck = stuck and n_inside >= inside
+                    open_[w] = (a, b, n_below, n_inside)
+            margin *= 4 if stuck else 1
+            if stuck and margin > self.accuracy:
+                done |= self._ranked_inside(open_)
+                break
+        return done
+
+    @staticmethod
+    def _inside(col: Column, b) -> Column:
+        """Whether a value lies in a bracket."""
+        cond = col.isNotNull()
+        if b[0] is not None:
+            cond = cond & (col >= F.lit(b[0])) & (col <= F.lit(b[1]))
+        return cond
+
+    def _summaries(self, brackets: dict, margin: float) -> dict:
+        """A narrower bracket for each rank, by a quantile summary of the values in
+        the present one."""
+        same: dict[tuple, list] = {}
+        for w, b in brackets.items():
+            same.setdefault((w[0], b), []).append(w)
+        aggs = []
+        for (p, b), keys in same.items():
+            off = margin / self.accuracy
+            at = [(rank - b[2] + 0.5) / b[3] for _, rank in keys]
+            points = [x for q in at for x in (max(0.0, q - off), min(1.0, q + off))]
+            v = F.when(self._inside(F.col(f"v{p}"), b), F.col(f"v{p}"))
+            aggs.append(F.percentile_approx(v, points, self.accuracy))
+        row = self._numbers({p for p, _ in brackets}).agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+        return {w: (float(row[i][2 * j]), float(row[i][2 * j + 1]))
+                for i, keys in enumerate(same.values()) for j, w in enumerate(keys)}
+
+    def _counts(self, brackets: dict, cuts: dict) -> dict:
+        """How many values lie below and inside of each new bracket."""
+        aggs, keys = [], list(brackets)
+        for p, rank in keys:
+            v, (a, b) = F.col(f"v{p}"), cuts[p, rank]
+            aggs += [F.count_if(v < F.lit(a)), F.count_if((v >= F.lit(a)) & (v <= F.lit(b)))]
+        row = self._numbers({p for p, _ in keys}).agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+        return {k: (row[2 * i], row[2 * i + 1]) for i, k in enumerate(keys)}
+
+    def _ranked_inside(self, brackets: dict) -> dict:
+        """The values at the ranks, by grouping only what lies in the brackets."""
+        keys = list(brackets)
+        # ranks of one column with the same bracket share its values
+        same = {}
+        for k in keys:
+            same.setdefault((k[0], brackets[k]), []).append(k)
+        groups = list(same)
+        rows = self._numbers({p for p, _ in keys}).select(F.inline(F.filter(F.array(*[
+            F.struct(F.lit(i).alias("g"), F.when(self._inside(F.col(f"v{p}"), b), F.col(f"v{p}")).alias("v"))
+            for i, (p, b) in enumerate(groups)]), lambda x: x["v"].isNotNull())))
+        freq = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("k"))
+        upto = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranks = self.spark.createDataFrame(
+            [(i, p, rank, rank - b[2]) for i, (p, b) in enumerate(groups) for p, rank in same[p, b]],
+            "g INT, position INT, rank BIGINT, local BIGINT")
+        hit = (freq.withColumn("end", F.sum("k").over(upto)).join(F.broadcast(ranks), "g")  # 4 rows per column
+               .where((F.col("end") - F.col("k") <= F.col("local")) & (F.col("local") < F.col("end"))))
+        return {(r["position"], r["rank"]): r["v"] for r in hit.select("position", "rank", "v").collect()}
 
     def outlier_counts(self, quartiles: DataFrame) -> DataFrame:
         """``(position, outliers)``: numeric values strictly outside the IQR
-        fences; the fences are one row per column (broadcast)."""
-        fences = quartiles.select(
-            "position",
-            (F.col("q1") - IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("lower"),
-            (F.col("q3") + IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("upper"))
-        return (self.numeric_freq.join(F.broadcast(fences), "position")
-                .groupBy("position")
-                .agg(F.sum(F.when((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")),
-                                  F.col("k")).otherwise(F.lit(0))).cast("long").alias("outliers")))
+        fences (two numbers per column), in one aggregate of the input."""
+        fences = {r["position"]: (r["q1"] - IQR_FENCE * (r["q3"] - r["q1"]), r["q3"] + IQR_FENCE * (r["q3"] - r["q1"]))
+                  for r in quartiles.collect()}
+        if not fences:
+            return self.spark.createDataFrame([], "position INT, outliers BIGINT")
+        aggs = [F.count_if((F.col(f"v{p}") < F.lit(a)) | (F.col(f"v{p}") > F.lit(b))).alias(f"a{p}")
+                for p, (a, b) in fences.items()]
+        row = self._numbers(set(fences)).agg(*aggs).first()
+        return self.spark.createDataFrame([(p, row[f"a{p}"]) for p in fences], "position INT, outliers BIGINT")
 
     def top_values_named(self, k: int = TOP_K) -> DataFrame:
         """Top values with column name and share of populated cells, for the
@@ -279,7 +387,7 @@ class TableProfile:
         pos = self._position(name)
         if pos not in self.numeric_positions:
             return None
-        q = self.order_stats().where(F.col("position") == pos).collect()
+        q = self.order_stats([pos]).collect()
         if not q:
             return None
         q1, q3 = q[0]["q1"], q[0]["q3"]
@@ -312,33 +420,27 @@ class TableProfile:
             (F.coalesce(F.col("rows"), F.lit(0)) - F.col("distinct_rows")).alias("duplicates"))
 
     # -- the per-column profile ----------------------------------------------
-    def columns(self, order_stats: bool = True) -> DataFrame:
+    def columns(self, order_stats: bool = True, text: bool = True) -> DataFrame:
         """One row per column with every per-column measure and label.
-        Computed once (one plan) and kept as a small local frame. With
-        ``order_stats=False`` the quartiles, median and outliers (the rank
-        pick, the costliest part) and the labels derived from them are left
-        null, for callers that only need kinds, counts, moments or
-        cardinality."""
-        if order_stats not in self._columns:
-            if not order_stats and True in self._columns:
-                return self._columns[True]
-            frame = self._columns_plan(order_stats)
-            self._columns[order_stats] = self.spark.createDataFrame(frame.collect(), frame.schema)
-        return self._columns[order_stats]
-
-    def _columns_plan(self, order_stats: bool = True) -> DataFrame:
-        st = self.stats()
-        if order_stats:
-            quart = self.order_stats()
-            outl = self.outlier_counts(quart)
-        else:
-            quart = self.spark.createDataFrame(
-                [], "position INT, q1 DOUBLE, median DOUBLE, q3 DOUBLE")
-            outl = self.spark.createDataFrame([], "position INT, outliers BIGINT")
-        card = self.cardinality()
-        top1 = self.top_values(1).select("position", F.col("k").alias("top_k"))
-        df = (st.join(quart, "position", "left").join(outl, "position", "left")
-              .join(card, "position", "left").join(top1, "position", "left"))
+        Computed once (one plan) and kept as a small local frame. Without
+        ``order_stats`` the quartiles, median and outliers and the labels
+        derived from them are null; without ``text`` the distinct and top
+        counts of the columns that aren't numeric are, and their kind is that
+        of a column with no distinct count. Callers ask for what they return."""
+        key = (order_stats, text)
+        for have, frame in self._columns.items():
+            if have >= key and have[1] >= text:
+                return frame
+        frame = self._columns_plan(order_stats, text)
+        self._columns[key] = self.spark.createDataFrame(frame.collect(), frame.schema)
+        return self._columns[key]
+
+    def _columns_plan(self, order_stats: bool, text: bool) -> DataFrame:
+        none = lambda schema: self.spark.createDataFrame([], schema)
+        quart = self.order_stats() if order_stats else none("position INT, q1 DOUBLE, median DOUBLE, q3 DOUBLE")
+        outl = self.outlier_counts(quart) if order_stats else none("position INT, outliers BIGINT")
+        card = self.cardinality() if text else none("position INT, distinct_n BIGINT, top_k BIGINT")
+        df = self.stats().join(quart, "position", "left").join(outl, "position", "left").join(card, "position", "left")
         return _label_columns(df, set(self.numeric_positions))
 
     def overview(self) -> DataFrame:
@@ -376,6 +478,15 @@ def _written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def _digest(value: Column) -> list[Column]:
+    """A 128-bit digest, as two hashes with different seeds."""
+    return [F.xxhash64(value).alias("d1"), F.xxhash64(F.lit("second"), value).alias("d2")]
+
+
+def _prefix() -> Column:
+    return F.substring("value", 1, PREFIX)
+
+
 def _label_columns(df: DataFrame, numeric: set[int]) -> DataFrame:
     """Kinds, missing share, moments and every label, as column expressions."""
     c = F.col

@@ -10,13 +10,16 @@ equals the profile of all files read at once.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.profile import STATS_SCHEMA, TableProfile, _written
+from quarry.operators.profile import IQR_FENCE, STATS_SCHEMA, TOP_K, TableProfile, _written
+
+ROWS_PER_RANGE = 1_000_000  # numbers per range, at any size
 
 
 class StreamingProfile:
@@ -87,13 +90,57 @@ class MergedProfile(TableProfile):
                         *[(F.coalesce(F.col(x.name), F.lit(0)) if x.name in zero else F.col(x.name))
                           .cast(x.dataType).alias(x.name) for x in STATS_SCHEMA.fields[2:]]))
 
-    def text_counts(self, positions: list[int]) -> DataFrame:
-        return (self.cell_freq.where(F.col("position").isin(positions) & (F.col("value") != ""))
+    # The state is a table of frequencies already: ranks and top values come from it.
+
+    @cached_property
+    def text_freq(self) -> DataFrame:
+        return (self.cell_freq.where(F.col("position").isin(self.text_positions) & (F.col("value") != ""))
                 .select("position", "value", "k"))
 
-    def numeric_counts(self, positions: list[int]) -> DataFrame:
-        return (self.cell_freq.where(F.col("position").isin(positions) & F.col("v").isNotNull())
+    def cardinality(self) -> DataFrame:
+        return self.text_freq.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_n"), F.max("k").alias("top_k"))
+
+    def top_values(self, k: int = TOP_K) -> DataFrame:
+        """The row-number filter keeps a partial top-k per task before the shuffle."""
+        w = Window.partitionBy("position").orderBy(F.col("k").desc(), F.col("value").asc())
+        return self.text_freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    @cached_property
+    def numeric_freq(self) -> DataFrame:
+        """``(position, v, k, pid)`` range partitioned on ``(position, v)``; ``pid`` is
+        the range, so ``(pid, v)`` orders each column. Written, so that the ranges
+        stay the same for every reader."""
+        freq = (self.cell_freq.where(F.col("position").isin(self.numeric_positions) & F.col("v").isNotNull())
                 .groupBy("position", "v").agg(F.sum("k").cast("long").alias("k")))
+        total = sum(r["numeric_n"] for r in self.stats_rows if r["position"] in set(self.numeric_positions))
+        return _written(freq.repartitionByRange(max(1, math.ceil(total / ROWS_PER_RANGE)), "position", "v")
+                        .withColumn("pid", F.spark_partition_id()), "numeric-freq")
+
+    def _at_ranks(self, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+        """By running counts over the ranges, of which only those that hold a wanted
+        rank are sorted, each once."""
+        if not wanted:
+            return {}
+        targets = self.spark.createDataFrame(wanted, "position INT, rank BIGINT")  # 4 rows per column
+        ranges = self.numeric_freq.groupBy("position", "pid").agg(F.sum("k").alias("pk"))
+        upto = Window.partitionBy("position").orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        located = (ranges.withColumn("end", F.sum("pk").over(upto)).withColumn("start", F.col("end") - F.col("pk"))
+                   .join(F.broadcast(targets), "position")
+                   .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
+                   .select("position", "pid", "rank", (F.col("rank") - F.col("start")).alias("local")))
+        inside = Window.partitionBy("position", "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = (self.numeric_freq.join(F.broadcast(located.select("position", "pid").distinct()), ["position", "pid"], "left_semi")
+               .withColumn("cum", F.sum("k").over(inside)).join(F.broadcast(located), ["position", "pid"])
+               .where((F.col("cum") - F.col("k") <= F.col("local")) & (F.col("local") < F.col("cum"))))
+        return {(r["position"], r["rank"]): r["v"] for r in hit.select("position", "rank", "v").collect()}
+
+    def outlier_counts(self, quartiles: DataFrame) -> DataFrame:
+        fences = quartiles.select(
+            "position", (F.col("q1") - IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("lower"),
+            (F.col("q3") + IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("upper"))
+        return (self.numeric_freq.join(F.broadcast(fences), "position").groupBy("position")
+                .agg(F.sum(F.when((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")), F.col("k"))
+                           .otherwise(F.lit(0))).cast("long").alias("outliers")))
 
     def duplicate_count(self) -> DataFrame:
         raise NotImplementedError("duplicate rows are not kept in the streaming state")

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.functions.cells import WS_CHARS
 from quarry.operators import documents as D
@@ -123,12 +124,10 @@ def test_doc_stats(spark):
     assert got == {1: (10, 2), 2: (0, 0)}
 
 
-def test_blocked_accumulators_cross_block_edges(spark):
-    """Tables with more rows than a block, more tables than a block, and
-    more chunks than a block, against the literal models."""
-    big_table = "\n".join(f"r{i}  c{i}" for i in range(3 * D.BLOCK + 5))
-    many_tables = "\n".join(f"a{i}  b{i}\nplain" for i in range(2 * D.BLOCK + 3))
-    many_chunks = "\n\n".join(f"p{i}" for i in range(3 * D.BLOCK + 7))
+def test_many_tables_and_chunks(spark):
+    big_table = "\n".join(f"r{i}  c{i}" for i in range(200))
+    many_tables = "\n".join(f"a{i}  b{i}\nplain" for i in range(130))
+    many_chunks = "\n\n".join(f"p{i}" for i in range(200))
     texts = [big_table, many_tables, many_chunks, big_table + "\n\n" + many_chunks]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
     rows = df.select("doc_id", D.tables_in_text("text").alias("t"), D.chunks_of("text", 4).alias("c")).collect()
@@ -136,3 +135,34 @@ def test_blocked_accumulators_cross_block_edges(spark):
         t = texts[r["doc_id"]]
         assert [list(x) for x in r["t"]] == model_tables(t)
         assert list(r["c"]) == model_chunks(t, 4)
+
+
+@pytest.mark.parametrize("mx", [1, 2, 3, 6])
+def test_chunks_at_the_limit(spark, mx):
+    """Blank paragraphs, lengths around the limit and text ends of every kind."""
+    rnd = random.Random(mx)
+    texts = ["".join(rnd.choice(["\n\n", "\n\n\n", "\n", " ", "  ", "a", "bb", "é", "\U0001f600"]) for _ in range(rnd.randint(0, 12)))
+             for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    got = {r["doc_id"]: list(r["c"]) for r in df.select("doc_id", D.chunks_of("text", mx).alias("c")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == model_chunks(t, mx), repr(t)
+
+
+def test_time_grows_with_the_text_alone(spark):
+    """Three times the lines cost about three times as much."""
+    import time
+
+    def seconds(n, column):
+        text = "\n".join(f"r{i}  c{i}" if i % 3 else "plain" for i in range(n)) + "\n\n" + "\n\n".join(["p q"] * n)
+        df = spark.createDataFrame([(text,)], "text STRING")
+        best = 1e9
+        for _ in range(3):
+            t0 = time.time()
+            df.select(F.size(column)).collect()
+            best = min(best, time.time() - t0)
+        return best
+
+    for column in (D.tables_in_text("text"), D.chunks_of("text", 20)):
+        seconds(3000, column)
+        assert seconds(90_000, column) < 6 * seconds(30_000, column) + 1

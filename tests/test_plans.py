@@ -3,6 +3,8 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
 from quarry.catalog.inputs import lineitem_skewed
 from quarry.operators.profile import TableProfile
 
@@ -51,15 +53,13 @@ def test_latest_per_key_aggregates_partially(spark):
     assert "partial_max" in p
 
 
-def test_rank_pick_broadcasts_only_bounded_tables(spark):
+def test_quantile_passes_exchange_one_row_per_task(spark):
     p = TableProfile(lineitem_skewed(spark, SF))
-    text = plan(p.order_stats())
-    # broadcasts: rank targets and located targets only (<= 4 rows per column each)
-    assert text.count("BroadcastExchange") <= 4
-    # the sort is per (column, range partition), never per column alone
-    windows = [ln for ln in text.splitlines() if "Window [sum(k" in ln]
-    assert windows and all("[position, pid]" in ln.replace("#", " ").split("windowspecdefinition")[0]
-                           or "pid" in ln for ln in windows)
+    numbers = p._numbers(set(p.numeric_positions))
+    text = plan(numbers.agg(*[F.percentile_approx(c, [0.2, 0.3], 100) for c in numbers.columns]))
+    assert text.count("Exchange") == 1 and "Exchange SinglePartition" in text
+    # only the columns that are asked for are read
+    assert "l_returnflag" not in text and plan(p._numbers({4})).count("l_") <= 6
 
 
 def test_moments_shuffle_no_cell(spark):

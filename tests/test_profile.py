@@ -26,7 +26,7 @@ def test_quartiles_small_n(spark):
     del wide
     for n in range(1, 13):
         one = df.where(F.col("g") == f"c{n}").select("x")
-        p = TableProfile(one, range_partitions=3)
+        p = TableProfile(one, bracket_rows=2, accuracy=20)
         r = p.order_stats().collect()[0]
         assert (r["q1"], r["median"], r["q3"]) == expect[n], n
 
@@ -78,13 +78,84 @@ def test_duplicates_compare_tuples(spark):
     assert (d["rows"], d["distinct_rows"], d["duplicates"]) == (4, 2, 2)
 
 
-def test_freq_sums_to_populated(spark):
+def test_digest_counts_sum_to_populated(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     p = TableProfile(df)
     pops = {r["position"]: r["populated"] for r in p.stats_rows}
-    sums = {r["position"]: r["s"] for r in p.freq_text.groupBy("position").agg(F.sum("k").alias("s")).collect()}
-    for pos, s in sums.items():
-        assert s == pops[pos]
+    sums = {r["position"]: r["s"] for r in p.digests.groupBy("position").agg(F.sum("k").alias("s")).collect()}
+    assert sums and all(s == pops[pos] for pos, s in sums.items())
+
+
+@pytest.mark.parametrize("accuracy,rows", [(5, 3), (20, 10), (200, 50)])
+def test_quartiles_by_narrow_brackets(spark, accuracy, rows):
+    """Brackets are narrowed in many rounds, and widened where the summary is off."""
+    rnd = random.Random(accuracy)
+    data = [(rnd.gauss(0, 1), float(rnd.randint(0, 3)), rnd.choice([0.0, -0.0, 1e300, -1e300, math.inf, -math.inf]),
+             math.exp(rnd.gauss(0, 20)), None if rnd.random() < 0.4 else rnd.random()) for _ in range(1501)]
+    df = spark.createDataFrame(data, "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, e DOUBLE").repartition(5)
+    p = TableProfile(df, bracket_rows=rows, accuracy=accuracy)
+    got = {r["position"]: (r["q1"], r["median"], r["q3"]) for r in p.order_stats().collect()}
+    for i in range(5):
+        want = model_quartiles([r[i] for r in data if r[i] is not None])
+        assert all(x == y or (x != x and y != y) for x, y in zip(got[i], want)), i
+
+
+def test_nan_is_a_missing_cell(spark):
+    df = spark.createDataFrame([(x,) for x in [3.0, math.nan, 1.0, math.nan, 2.0, math.nan]], "x DOUBLE")
+    r = TableProfile(df, bracket_rows=1).columns().first()
+    assert (r["populated"], r["q1"], r["median"], r["q3"]) == (3, 1.0, 2.0, 3.0)
+
+
+def test_constant_and_two_valued_columns(spark):
+    df = spark.range(5000).selectExpr("7 a", "if(id < 1250, 1, 2) b", "if(id < 1251, 1, 2) c")
+    rows = {r["position"]: (r["q1"], r["median"], r["q3"]) for r in TableProfile(df, bracket_rows=10, accuracy=50).order_stats().collect()}
+    assert rows == {0: (7.0, 7.0, 7.0), 1: (2.0, 2.0, 2.0), 2: (1.0, 2.0, 2.0)}
+
+
+def model_top(values, k=5):
+    counts = {}
+    for v in values:
+        counts[v] = counts.get(v, 0) + 1
+    return sorted(((v, n) for v, n in counts.items()), key=lambda x: (-x[1], x[0]))[:k]
+
+
+@pytest.mark.parametrize("hitters", [64, 3])
+def test_top_values_of_every_shape(spark, hitters, monkeypatch):
+    """Few values, heavy ones among many, all equal counts, and ties in long prefixes."""
+    from quarry.operators import profile as module
+
+    monkeypatch.setattr(module, "HITTERS", hitters)
+    rnd = random.Random(hitters)
+    long = "the same first letters of a long text "
+    data = [(rnd.choice("abc"), rnd.choice(["x", "y", f"rare{i}"]), f"id{i:05d}", long + str(rnd.randint(0, 400)),
+             "twice" + str(i // 2)) for i in range(2000)]
+    df = spark.createDataFrame(data, "a STRING, b STRING, c STRING, d STRING, e STRING").repartition(6)
+    p = TableProfile(df)
+    got = {}
+    for r in p.top_values().orderBy("position", "rank").collect():
+        got.setdefault(r["position"], []).append((r["value"], r["k"]))
+    assert got == {i: model_top([r[i] for r in data]) for i in range(5)}
+    card = {r["position"]: (r["distinct_n"], r["top_k"]) for r in p.cardinality().collect()}
+    assert card == {i: (len({r[i] for r in data}), model_top([r[i] for r in data])[0][1]) for i in range(5)}
+
+
+def test_no_text_and_no_column_of_numbers_is_shuffled(spark):
+    """Exchanges carry digests and bracketed numbers only; nothing else is written."""
+    from tests.test_plans import plan  # noqa: PLC0415
+
+    df = spark.range(100).selectExpr("id", "cast(id as string) || ' a text' t", "id * 1.5 x")
+    p = TableProfile(df)
+    rows = p._texts(p.text_positions).select("position", *_digest_columns())
+    text = plan(rows.groupBy("position", "d1", "d2").count())
+    assert "hashpartitioning(position" in text
+    assert not any("value" in line for line in text.splitlines() if "Exchange" in line)
+    assert set(p.digests.columns) == {"position", "d1", "d2", "k", "prefix"}
+
+
+def _digest_columns():
+    from quarry.operators.profile import _digest
+
+    return _digest(F.col("value"))
 
 
 def test_zero_rows_and_null_column(spark):
