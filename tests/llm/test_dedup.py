@@ -186,9 +186,10 @@ def near_copies(seed):
                    (5003, "a b"), (5004, "a  B"), (7, "x y z"), (7, "x y z"), (7, "p q r")]
 
 
-@pytest.mark.parametrize("seed,pivots", [(1, 3), (2, 16)])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, pivots):
-    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+@pytest.mark.parametrize("seed,block,sample,hot", [(1, 3, 1, 2), (2, 256, 16, 9)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, block, sample, hot):
+    for name, value in (("BLOCK", block), ("SAMPLE", sample), ("HOT_LEVEL", hot), ("PAIR_CELLS", 10 * block)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(seed)
     sets = [shingles(t) for _, t in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j]
@@ -198,7 +199,8 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, pivots):
     for i, (doc_id, _) in enumerate(rows):
         ids = [rows[j][0] for j in top if top[j] == top[i] and rows[j][0] is not None]
         want[doc_id, len(sets[i]), min(ids) if ids else None] += 1
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, point string")
+    df = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows],
+                               "doc_id long, text string, point string, Row int, `a.b` int, TEXT int")
     got = ngram_join.jaccard_components(df).collect()
     assert collections.Counter(map(tuple, got)) == want
     if seed == 1:
@@ -217,9 +219,10 @@ def short_copies(seed):
     return [(i, " ".join(r)) for i, r in enumerate(rng.sample(rows, len(rows)))]
 
 
-@pytest.mark.parametrize("seed,hot_keys", [(1, 1_000_000), (3, 3)])
-def test_short_copies_around_one_sentence_equal_brute_force(spark, monkeypatch, seed, hot_keys):
-    monkeypatch.setattr(ngram_join, "HOT_KEYS", hot_keys)
+@pytest.mark.parametrize("seed,block", [(1, 256), (3, 20)])
+def test_short_copies_around_one_sentence_equal_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "ORDER_BITS", 10 if seed == 1 else 22)
     rows = short_copies(seed)
     sets = [shingles(t) for _, t in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i)
@@ -231,16 +234,25 @@ def test_short_copies_around_one_sentence_equal_brute_force(spark, monkeypatch,
     assert len(least) < len(rows) - 20 and got == {i: least[t] for i, t in top.items()}
 
 
-def test_members_that_come_from_two_rounds_count_once(spark):
-    # one region's 2, the other's 3 come from two rounds with different sizes
-    first = [(7, p, 4) for p in (1, 2, 4, 5)] + [(8, p, 4) for p in (1, 3, 4, 5)]
-    second = [(7, 2, 3), (8, 3, 3)]
-    frames = [spark.createDataFrame(r, "key long, point long, size long") for r in (first, second)]
-    links = spark.createDataFrame([(4, 5)], "a long, b long")
-    got = ngram_join.open_regions(ngram_join.united(*frames), links).collect()
-    assert sorted((r["key"], r["point"]) for r in got) == [(k, p) for k, p, _ in first]
-    with_sizes = frames[0].unionByName(frames[1]).distinct()
-    assert len({r["key"] for r in ngram_join.open_regions(with_sizes, links).collect()}) == 1
+@pytest.mark.parametrize("block", [4, 1000])
+def test_window_pairs_are_all_that_sizes_allow(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(k, p, rng.choice([5, 8, 9, 10, 12, 40, 50, 51, 64]), p % 3) for k in range(3) for p in rng.sample(range(300), 90)]
+    size = {}
+    rows = [(k, p, size.setdefault(p, n), part) for k, p, n, part in rows]
+    got = [tuple(r) for r in ngram_join.window_pairs(spark.createDataFrame(rows, "key long, point long, n int, part long")).collect()]
+    want = {(p, q) for k, p, n, part in rows for l, q, m, other in rows
+            if k == l and p < q and part != other and 100 * min(n, m) >= 80 * max(n, m)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_bitmap_holds_every_wanted_row(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MARK_BITS", 16)
+    rows = [0, 1, -1, 32767, 32768, 65535, 65536, 2**63 - 1, -2**63, 123456789]
+    bits = ngram_join.marks(spark.createDataFrame([(r,) for r in rows], "row long"))
+    at = [r & 0xFFFF for r in rows]
+    assert {i for i in range(1 << 16) if bits[i >> 3] >> (i & 7) & 1} == set(at)
 
 
 def test_jaccard_of_an_empty_table(spark):
