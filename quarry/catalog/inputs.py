@@ -66,6 +66,20 @@ CUSTOMER_NULLED_COLS = [("c_custkey", "num"), ("c_name", "str"), ("c_nationkey",
                         ("c_acctbal", "dbl"), ("c_mktsegment", "str")]
 
 
+# customers by nation and segment alone, so that rows repeat, with a column without
+# values, one of blanks and two constant ones
+def customer_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        "c_nationkey", F.lower("c_mktsegment").alias("c_segment"), F.lit(None).cast("double").alias("c_none"),
+        F.lit("  ").alias("c_blank"), F.lit(7).alias("c_seven"), F.lit("same").alias("c_same"))
+
+
+CUSTOMER_BLANK_SQL = """(SELECT c_nationkey, lower(c_mktsegment) AS c_segment, CAST(NULL AS DOUBLE) AS c_none,
+  '  ' AS c_blank, 7 AS c_seven, 'same' AS c_same FROM customer)"""
+CUSTOMER_BLANK_COLS = [("c_nationkey", "num"), ("c_segment", "str"), ("c_none", "dbl"), ("c_blank", "str"),
+                       ("c_seven", "num"), ("c_same", "str")]
+
+
 # part as an all-text table (numeric prefixes, a mixed column) -----------------
 def part_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -124,6 +138,7 @@ ORDERS_COLS = [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "s
 
 PROFILED = {
     "customer_nulled": (customer_nulled, CUSTOMER_NULLED_SQL, CUSTOMER_NULLED_COLS),
+    "customer_blank": (customer_blank, CUSTOMER_BLANK_SQL, CUSTOMER_BLANK_COLS),
     "part_text": (part_text, PART_TEXT_SQL, PART_TEXT_COLS),
     "lineitem_skewed": (lineitem_skewed, LINEITEM_SKEWED_SQL, LINEITEM_SKEWED_COLS),
     "documents": (documents_meta, DOCUMENTS_META_SQL, DOCUMENTS_META_COLS),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.catalog import report_sql
 from quarry.catalog.inputs import PROFILED, sql_cell, sql_lit, sql_num
 from quarry.operators.profile import TableProfile
 from quarry.plans import report
@@ -145,9 +146,13 @@ def advice_rules(spark, sf_dir):
     return _per_table(spark, sf_dir, FLAG_TABLES, lambda p: report.fired_rules(p, "advice"))
 
 
+REPORT_TABLES = ["customer_nulled", "lineitem_skewed", "customer_blank", "part_text"]
+
+
 def report_lines(spark, sf_dir):
-    return _per_table(spark, sf_dir, ["customer_nulled", "lineitem_skewed"],
-                      lambda p: report.report_frame(p))
+    """The whole printed report of four tables; one has a column without values, a
+    constant one and repeated rows."""
+    return _per_table(spark, sf_dir, REPORT_TABLES, lambda p: report.report_frame(p))
 
 
 def report_sink(spark, sf_dir):
@@ -295,7 +300,10 @@ FROM (SELECT count(*) AS k FROM {tbl} t GROUP BY ALL_COLS) g""".replace("ALL_COL
             ("lineitem_flags", "lineitem", "l_returnflag, l_linestatus"),
             ("customer_nulled", f"(SELECT c_nationkey, {sql_cell('c_mktsegment')} AS seg FROM "
                                 f"{PROFILED['customer_nulled'][1]})", "c_nationkey, seg")])
-    q.update(report.sql_rules(FLAG_TABLES, sql_columns))
+    q.update(report_sql.rules(FLAG_TABLES, sql_columns))
+    printed = lambda n: report_sql.report(n, sql_columns, _sql_unpivot(*PROFILED[n][1:]))
+    q["report_lines"] = "\nUNION ALL\n".join(f"SELECT {sql_lit(n)} AS table_name, * FROM {printed(n)} r" for n in REPORT_TABLES)
+    q["report_sink"] = f"SELECT text FROM {printed('customer_nulled')} r"
     return q
 
 

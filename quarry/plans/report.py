@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.catalog.inputs import sql_lit
 from quarry.functions.numbers import locale, to_fixed
 
 # --- fixed values: rule order and conditions of the reference's report ---------
@@ -99,57 +98,6 @@ def fired_rules(p, group: str, fact_row: DataFrame | None = None) -> DataFrame:
         (F.col("i") + 1).cast("int").alias("rule_no"), F.col("r.rule_id").alias("rule_id"))
 
 
-def sql_rules(tables: list[str], sql_columns) -> dict[str, str]:
-    """Oracle SQL for the flag lists and the three rule tables."""
-    from quarry.catalog.inputs import PROFILED
-
-    def facts_sql(n):
-        _, tbl, cols = PROFILED[n]
-        norm = ", ".join((f"coalesce(trim({c}, {_ws()}), '')" if k == "str" else c) for c, k in cols)
-        return f"""(SELECT max(rows) AS rows,
-  CAST((max(rows) * count(*) - sum(rows - populated)) AS DOUBLE) * 100 / (max(rows) * count(*)) AS completeness,
-  (SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {norm} FROM {tbl} t) d) AS BIGINT)
-     FROM {tbl} t2) AS duplicates,
-  count(*) FILTER (WHERE kind = 'numeric') AS n_numeric,
-  count(*) FILTER (WHERE kind = 'categorical') AS n_categorical,
-  count(*) FILTER (WHERE kind = 'numeric' AND NOT abs(mean - median) < sd * 0.1) AS n_skewed,
-  count(*) FILTER (WHERE outliers > 0) AS n_outlier
-FROM {sql_columns(n)} c)"""
-
-    out = {}
-    for group, rules in RULES.items():
-        key = {"preprocessing": "preprocessing_steps", "algorithm": "algorithm_rules",
-               "advice": "advice_rules"}[group]
-        parts = []
-        for n in tables:
-            arms = "\nUNION ALL ".join(
-                f"SELECT {i} AS ord, {sql_lit(rid)} AS rule_id FROM {facts_sql(n)} f "
-                f"WHERE coalesce({cond}, FALSE)" for i, (rid, cond) in enumerate(rules))
-            parts.append(f"""SELECT {sql_lit(n)} AS table_name,
-  CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS rule_no, rule_id FROM ({arms}) r""")
-        out[key] = "\nUNION ALL\n".join(parts)
-    flag_parts = []
-    for n in tables:
-        flag_parts.append(f"""SELECT {sql_lit(n)} AS table_name,
-  coalesce(string_agg(column_name, ', ' ORDER BY position) FILTER (WHERE kind = 'numeric'), '') AS numeric_columns,
-  coalesce(string_agg(column_name, ', ' ORDER BY position) FILTER (WHERE kind = 'categorical'), '') AS categorical_columns,
-  coalesce(string_agg(column_name || ' (' || CASE WHEN mean > median THEN 'right' ELSE 'left' END || '-skewed)', ', '
-      ORDER BY position) FILTER (WHERE kind = 'numeric' AND NOT abs(mean - median) < sd * 0.1), '') AS skewed_columns,
-  coalesce(string_agg(column_name, ', ' ORDER BY position) FILTER (WHERE outliers > 0), '') AS outlier_columns,
-  count(*) FILTER (WHERE kind = 'numeric') AS n_numeric,
-  count(*) FILTER (WHERE kind = 'categorical') AS n_categorical,
-  count(*) FILTER (WHERE kind = 'numeric' AND NOT abs(mean - median) < sd * 0.1) AS n_skewed,
-  count(*) FILTER (WHERE outliers > 0) AS n_outlier
-FROM {sql_columns(n)} c""")
-    out["column_flags"] = "\nUNION ALL\n".join(flag_parts)
-    return out
-
-
-def _ws():
-    from quarry.catalog.inputs import SQL_WS
-    return SQL_WS
-
-
 # --- the text report --------------------------------------------------------------
 def report_frame(p) -> DataFrame:
     """The report as ``(line_no, section, text)`` rows."""
