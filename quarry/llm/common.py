@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,20 @@ def text_chunks(values: list[bytes], limit: int):
         size += len(v)
     if run:
         yield start, run
+
+
+def bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
+    """``2 ** bits`` bits, of which those of the numbers in the one column of
+    ``numbers`` (modulo the size) are set. Its size doesn't depend on the rows."""
+    bit = F.pmod(F.col(numbers.columns[0]), F.lit(1 << bits)) + 1  # Spark numbers the bits from 1
+    words = (numbers.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"))
+             .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    out = np.zeros(max(1 << bits, 1 << 15) // 8, np.uint8)
+    for r in words.collect():
+        out[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def has_bit(marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    at = numbers & (len(marks) * 8 - 1)
+    return (marks[at >> 3] >> (at & 7)) & 1 == 1

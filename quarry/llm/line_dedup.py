@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import bitmap, has_bit, pick, written
 from quarry.llm.words import Runs, batches_of, units_of
 
 MIN_WORDS = 3
 MIN_BYTES = 12
 NEAR_WORDS = 8
-#: lines whose places are sent to the texts; with more the texts are shuffled
-BROADCAST_LINES = 1_000_000
+MARK_BITS = 26
 LAST = 2**63 - 1
 
 
@@ -49,7 +48,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """``id, row, text`` of every row with a text."""
     text = F.col("text").cast("string")
     doc_id = F.col("doc_id").cast("long")
-    return docs.where(text.isNotNull()).select(
+    return pick(docs, "doc_id", "text").where(text.isNotNull()).select(
         F.coalesce(doc_id, F.lit(LAST)).alias("id"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
 
 
@@ -106,26 +105,47 @@ def numbered(wanted: DataFrame) -> DataFrame:
                    .withColumn("no", F.monotonically_increasing_id()), "numbered-lines")
 
 
-def _at_texts(keyed: DataFrame, lists: DataFrame, n_lines: int) -> DataFrame:
-    """The texts of the rows with lists (again for rows that repeat id and text)."""
-    return keyed.join(F.broadcast(lists) if n_lines <= BROADCAST_LINES else lists, ["id", "row"])
+def _bit(row, line):
+    """A number for a line's place, the same in SQL and in numpy."""
+    return (row ^ (line * 40503)) & (2 ** MARK_BITS - 1)
 
 
-def variants(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``at, key, gone``: the variants of the wanted lines (``id, row, line,
-    no``) by their numbers; ``gone`` is the place of the word left out, -1 for
-    the line itself."""
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("line", "no")).alias("lines"))
-    some = _at_texts(keyed, lists, wanted.count())
+def wanted_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``no, id, row, line, words``: the wanted lines (``id, row, line, no``) with
+    their text. The texts are read once more, where they are; a bitmap of fixed size
+    lets through the wanted lines and, the fuller it is, others, which the join then
+    leaves out."""
+    place = wanted.select(F.col("row").bitwiseXOR(F.col("line").cast("long") * 40503).bitwiseAND(2 ** MARK_BITS - 1).alias("bit"))
+    marks = keyed.sparkSession.sparkContext.broadcast(bitmap(place, MARK_BITS))
 
     def work(batches):
         for batch in batches:
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            lists = [{p["line"]: p["no"] for p in x} for x in batch.column(3).to_pylist()]
-            for owner, number, a, b, runs in _lines(texts, NEAR_WORDS):
-                no = np.fromiter((lists[o].get(n, -1) for o, n in zip(owner.tolist(), number.tolist())),
-                                 np.int64, len(owner))
-                no, a, b = no[no >= 0], a[no >= 0], b[no >= 0]
+            for owner, number, _, _, _ in _lines(texts, NEAR_WORDS):
+                some = has_bit(marks.value, _bit(rows[owner], number.astype(np.int64)))
+                owner, number = owner[some], number[some]
+                split = {o: texts[o].split(b"\n") for o in np.unique(owner).tolist()}
+                words = [split[o][n] for o, n in zip(owner.tolist(), number.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[owner]), pa.array(rows[owner]), pa.array(number.astype(np.int32)),
+                     pa.array(words, pa.binary()).cast(pa.string())], names=["id", "row", "line", "words"])
+
+    found = keyed.mapInArrow(work, "id long, row long, line int, words string")
+    # rows that repeat id and text give a line twice
+    return written(found.join(wanted, ["id", "row", "line"]).dropDuplicates(["no"]), "wanted-lines")
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """``at, key, gone``: the variants of lines (``no, words``) by their numbers;
+    ``gone`` is the place of the word left out, -1 for the line itself."""
+
+    def work(batches):
+        for batch in batches:
+            nos = batch.column(0).to_numpy()
+            for start, w in batches_of(batch.column(1).cast(pa.binary()).to_pylist(), units=True):
+                runs, a, b = Runs(w.hash), w.text[:-1], w.text[1:]
+                no = nos[start:start + len(a)]
                 n = b - a
                 which = np.repeat(np.arange(len(n)), n)
                 gone = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
@@ -135,7 +155,7 @@ def variants(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(no[which]), _signed(keys), pa.array(gone.astype(np.int32))], names=["at", "key", "gone"])
 
-    return some.select("id", "row", "text", "lines").mapInArrow(work, "at long, key long, gone int")
+    return lines.select("no", "words").mapInArrow(work, "at long, key long, gone int")
 
 
 def _earlier(found: DataFrame) -> DataFrame:
@@ -169,17 +189,13 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def _verified(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose lines are at distance 1 word by word."""
-    ends = pairs.select(F.col("at").alias("p")).unionByName(pairs.select(F.col("to").alias("p"))).select("p.*").distinct()
-    lists = ends.groupBy("id", "row").agg(F.collect_list("line").alias("lines"))
-    texts = (_at_texts(keyed, lists, 2 * pairs.count())
-             .select("id", "row", F.explode("lines").alias("line"), F.split("text", "\n").alias("all"))
-             .select(_place().alias("p"), F.col("all")[F.col("line")].alias("words")))
-    both = (pairs.join(texts.select(F.col("p").alias("at"), F.col("words").alias("a")), "at")
-            .join(texts.select(F.col("p").alias("to"), F.col("words").alias("b")), "to"))
+def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of numbers whose lines are at distance 1 word by word, as places."""
+    side = lambda c: lines.select(F.col("no").alias(c), _place().alias(f"{c}_place"), F.col("words").alias(f"{c}_words"))
+    both = pairs.join(side("at"), "at").join(side("to"), "to")
     same = F.pandas_udf(lambda a, b: _check(a, b), "boolean")
-    return both.where(same("a", "b")).select("at", "to").distinct()
+    return (both.where(same("at_words", "to_words"))
+            .select(F.col("at_place").alias("at"), F.col("to_place").alias("to")).distinct())
 
 
 def _check(a, b):
@@ -203,12 +219,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
              .select("id", "row", "line", "h", F.explode("halves").alias("half")))
     shared = heads.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
     wanted = numbered(heads.join(shared, "half", "left_semi").select("id", "row", "line").distinct())
-    near = written(variants(keyed, wanted), "line-variants")
-    place = lambda c: wanted.select(F.col("no").alias(c), _place().alias(f"{c}_place"))
-    pairs = (near_partners(near).join(place("at"), "at").join(place("to"), "to")
-             .select(F.col("at_place").alias("at"), F.col("to_place").alias("to")))
-    pairs = written(pairs, "line-pairs")
-    return repeated.unionByName(_verified(keyed, pairs).withColumn("distance", F.lit(1)))
+    texts = wanted_lines(keyed, wanted)
+    near = written(variants(texts), "line-variants")
+    pairs = written(near_partners(near), "line-pairs")
+    return repeated.unionByName(_verified(texts, pairs).withColumn("distance", F.lit(1)))
 
 
 def dedup_lines(docs: DataFrame, count_col: str | None = None) -> DataFrame:
@@ -216,13 +230,15 @@ def dedup_lines(docs: DataFrame, count_col: str | None = None) -> DataFrame:
     rows and columns stay. ``count_col`` adds the number of lines dropped."""
     gone = (duplicate_lines(docs).select("at.*").groupBy("id", "row")
             .agg(F.collect_set("line").alias("gone")))
-    names = [f"__{c}" for c in ("id", "row", "gone")]
-    text = F.col("text").cast("string")
-    doc_id = F.col("doc_id").cast("long")
-    left = docs.withColumn(names[0], F.coalesce(doc_id, F.lit(LAST))).withColumn(names[1], F.xxhash64(doc_id, text))
-    joined = left.join(gone.select(*[F.col(c).alias(n) for c, n in zip(("id", "row", "gone"), names)]),
-                       names[:2], "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(names[2]), i)), "\n")
-    count = F.coalesce(F.size(names[2]), F.lit(0)).cast("long")
-    return (joined.withColumn("text", F.when(F.col(names[2]).isNull(), text).otherwise(rest))
-            .select(*docs.columns, *[count.alias(c) for c in [count_col] if c]))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_col, text_col = (names[docs.columns.index(n)] for n in ("doc_id", "text"))
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    left = docs.toDF(*names)  # by place: no name can clash
+    left = left.withColumn("id", F.coalesce(doc_id, F.lit(LAST))).withColumn("row", F.xxhash64(doc_id, text))
+    joined = left.join(gone, ["id", "row"], "left").withColumn("all", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(kept, lambda i: F.col("all")[i]), "\n")
+    count = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return (joined.withColumn(text_col, F.when(F.col("gone").isNull(), text).otherwise(rest))
+            .select(*names, *[count.alias("count") for c in [count_col] if c])
+            .toDF(*docs.columns, *[c for c in [count_col] if c]))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_text, written
+from quarry.llm.common import as_text, pick, written
 
 SAMPLE_ROWS = 12_000
 FEATURES = 3000
@@ -120,7 +120,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
     """``text, toxic`` of a hash sample of the labelled rows that aren't held out."""
-    lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    lab = (pick(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
            .where("doc_id is not null and toxic in (0, 1)").where(~held_out())
            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     total = lab.count()
@@ -128,7 +128,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
     # about sample_rows rows, by the parameter
     few = F.broadcast(lab.where(pick) if share < 1 else lab)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
+    rows = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     return written(rows.join(few, "doc_id").select("text", "toxic"), "toxicity-sample")
 
 
@@ -249,7 +249,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
     model = train(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return scored(rows, model).select("doc_id", held_out().alias("held_out"), "score",
                                       (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -257,7 +257,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
     model = train(docs, labels)
-    name = "score"
-    while name in docs.columns:
-        name += "_"
-    return scored(docs, model, out_col=name).where(F.col(name) < threshold).drop(name)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # by place: no name can clash
+    text = names[docs.columns.index("text")]
+    kept = scored(docs.toDF(*names), model, text, "score").where(F.col("score") < threshold)
+    return kept.select(*names).toDF(*docs.columns)

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from quarry.llm import components, embedding_dedup, exact_dedup, line_dedup, ngram_join, words
+from quarry.llm import common, components, embedding_dedup, exact_dedup, line_dedup, ngram_join, words
 
 
 def joined(nodes, pairs):
@@ -247,12 +247,12 @@ def test_window_pairs_are_all_that_sizes_allow(spark, monkeypatch, block):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_bitmap_holds_every_wanted_row(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "MARK_BITS", 16)
+def test_bitmap_holds_every_number(spark):
     rows = [0, 1, -1, 32767, 32768, 65535, 65536, 2**63 - 1, -2**63, 123456789]
-    bits = ngram_join.marks(spark.createDataFrame([(r,) for r in rows], "row long"))
-    at = [r & 0xFFFF for r in rows]
-    assert {i for i in range(1 << 16) if bits[i >> 3] >> (i & 7) & 1} == set(at)
+    bits = common.bitmap(spark.createDataFrame([(r,) for r in rows], "row long"), 16)
+    at = {r & 0xFFFF for r in rows}
+    assert set(np.flatnonzero(common.has_bit(bits, np.arange(1 << 16))).tolist()) == at
+    assert common.has_bit(bits, np.array(rows)).all()
 
 
 def test_jaccard_of_an_empty_table(spark):
