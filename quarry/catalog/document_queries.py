@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.catalog.inputs import SQL_WS, SQL_WS_CLASS, sql_lit, table
 from quarry.operators import documents as D
+from quarry.operators import keywords as K
 
 CHUNK_MAX = 500
 SEARCH_QUERY = "Reth stouea"
@@ -70,6 +71,12 @@ def keyword_hits(spark, d):
     return D.keyword_hits(table(spark, d, "documents"), KEYWORD_QUERY)
 
 
+def keyword_questions(spark, d):
+    """Every document against every benchmark item as a question."""
+    return K.keyword_hits(table(spark, d, "documents"), table(spark, d, "benchmark"),
+                          question_id_col="item_id", question_col="text")
+
+
 def doc_stats(spark, d):
     a = D.doc_stats(order_docs(spark, d)).select(F.lit("orders").alias("source"), "*")
     b = D.doc_stats(table(spark, d, "documents")).select(F.lit("documents").alias("source"), "*")
@@ -84,7 +91,7 @@ def qa_context(spark, d):
 
 QUERIES = {
     "text_tables": text_tables, "chunk_text": chunk_text, "sentence_search": sentence_search,
-    "keyword_hits": keyword_hits, "doc_stats": doc_stats, "qa_context": qa_context,
+    "keyword_hits": keyword_hits, "keyword_questions": keyword_questions, "doc_stats": doc_stats, "qa_context": qa_context,
 }
 
 
@@ -151,6 +158,10 @@ FROM h"""
     found = " + ".join(f"CASE WHEN contains(lower(text), {sql_lit(w)}) THEN 1 ELSE 0 END" for w in kws)
     q["keyword_hits"] = f"""SELECT doc_id, CAST({found} AS INTEGER) AS keywords_found FROM documents
 WHERE {found} > 0"""
+    q["keyword_questions"] = f"""WITH k AS (SELECT * FROM (SELECT DISTINCT item_id AS question_id,
+  unnest(regexp_split_to_array(lower(text), '{SQL_WS_CLASS}+')) AS word FROM benchmark) w WHERE length(word) > 3),
+h AS (SELECT doc_id, word FROM documents JOIN (SELECT DISTINCT word FROM k) x ON contains(lower(text), word))
+SELECT doc_id, question_id, CAST(count(*) AS INTEGER) AS keywords_found FROM h JOIN k USING (word) GROUP BY ALL"""
     stats = []
     for src, docs in (("orders", ORDER_DOCS_SQL), ("documents", DOCUMENTS_SQL)):
         stats.append(f"""SELECT {sql_lit(src)} AS source, d.doc_id, CAST(NULL AS INTEGER) AS pages,

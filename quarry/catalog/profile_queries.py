@@ -114,11 +114,13 @@ def top_values(spark, sf_dir):
 
 
 def duplicate_rows(spark, sf_dir):
+    """Duplicates among some columns, where there are many, and among whole rows."""
     docs = PROFILED["documents"][0](spark, sf_dir).select("text", "lang")
     flags = PROFILED["lineitem_skewed"][0](spark, sf_dir).select("l_returnflag", "l_linestatus")
     cust = PROFILED["customer_nulled"][0](spark, sf_dir).select("c_nationkey", "c_mktsegment")
     frames = []
-    for name, df in (("documents", docs), ("lineitem_flags", flags), ("customer_nulled", cust)):
+    whole = [(n, PROFILED[n][0](spark, sf_dir)) for n in ("customer_blank", "lineitem_skewed", "part_text")]
+    for name, df in (("documents", docs), ("lineitem_flags", flags), ("customer_nulled", cust), *whole):
         d = TableProfile(df).duplicate_count()
         frames.append(d.select(F.lit(name).alias("table_name"), "rows", "distinct_rows",
                                "duplicates",
@@ -299,7 +301,9 @@ FROM (SELECT count(*) AS k FROM {tbl} t GROUP BY ALL_COLS) g""".replace("ALL_COL
             ("documents", "documents", "text, lang"),
             ("lineitem_flags", "lineitem", "l_returnflag, l_linestatus"),
             ("customer_nulled", f"(SELECT c_nationkey, {sql_cell('c_mktsegment')} AS seg FROM "
-                                f"{PROFILED['customer_nulled'][1]})", "c_nationkey, seg")])
+                                f"{PROFILED['customer_nulled'][1]})", "c_nationkey, seg"),
+            *[(n, f"(SELECT {', '.join(sql_cell(c) + ' AS ' + c if k == 'str' else c for c, k in PROFILED[n][2])} FROM {PROFILED[n][1]} s)",
+               ", ".join(c for c, _ in PROFILED[n][2])) for n in ("customer_blank", "lineitem_skewed", "part_text")]])
     q.update(report_sql.rules(FLAG_TABLES, sql_columns))
     printed = lambda n: report_sql.report(n, sql_columns, _sql_unpivot(*PROFILED[n][1:]))
     q["report_lines"] = "\nUNION ALL\n".join(f"SELECT {sql_lit(n)} AS table_name, * FROM {printed(n)} r" for n in REPORT_TABLES)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.catalog.inputs import lineitem_skewed
-from quarry.catalog.profile_queries import sql_columns
+from quarry.catalog import report_sql
+from quarry.catalog.inputs import PROFILED, customer_blank, lineitem_skewed
+from quarry.catalog.profile_queries import _sql_unpivot, sql_columns
+from quarry.plans import report
 from quarry.session import scratch_path
 from quarry.streaming.profile_stream import StreamingProfile
 
@@ -27,9 +29,22 @@ def stream_profile(spark, d):
     return cols.select(*COLS, *[F.round(c, R).alias(c) for c in ROUNDED])
 
 
-QUERIES = {"stream_profile": stream_profile}
+def stream_report(spark, d):
+    """customer landing as twelve files, one per micro-batch, so that the state is
+    compacted on the way; the printed report of the stream, duplicates included, must
+    be that of the whole table."""
+    src = customer_blank(spark, d)
+    landing = scratch_path(spark, "landing")
+    src.repartition(12).write.parquet(landing)
+    sp = StreamingProfile(spark, landing, src.schema, scratch_path(spark, "stream-state"), files_per_batch=1)
+    sp.run()
+    return report.report_frame(sp.profile())
+
+
+QUERIES = {"stream_profile": stream_profile, "stream_report": stream_report}
 
 
 def sql():
     sel = ", ".join(COLS + [f"round({c}, {R}) AS {c}" for c in ROUNDED])
-    return {"stream_profile": f"SELECT {sel} FROM {sql_columns('lineitem_skewed')} c"}
+    return {"stream_report": f"SELECT * FROM {report_sql.report('customer_blank', sql_columns, _sql_unpivot(*PROFILED['customer_blank'][1:]))} r",
+            "stream_profile": f"SELECT {sel} FROM {sql_columns('lineitem_skewed')} c"}

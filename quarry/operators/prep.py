@@ -236,16 +236,18 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
-    """``bucket, rows, low, high`` of equal widths from minimum to maximum; the
-    maximum belongs to the last bucket."""
+    """``bucket, rows, low, high`` of equal widths from the smallest to the largest
+    finite value; the largest belongs to the last bucket. Infinite cells are rows of
+    their own, bucket 0 below and ``buckets`` + 1 above."""
     x = _number(df, column)
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
-    if lo is None:
-        return df.sparkSession.createDataFrame([], "bucket int, rows long, low double, high double")
-    width = (hi - lo) / buckets
-    place = F.least(F.floor((x - F.lit(lo)) / F.lit(width)) + 1, F.lit(buckets)) if width else F.lit(1)
+    inf = F.lit(float("inf"))
+    lo, hi = df.where(F.abs(x) < inf).agg(F.min(x), F.max(x)).first()
+    low, width = (0.0, 0.0) if lo is None else (lo, (hi - lo) / buckets)
+    inside = F.least(F.floor((x - F.lit(low)) / F.lit(width)) + 1, F.lit(buckets)) if width else F.lit(1)
+    place = F.when(x == -inf, 0).when(x == inf, buckets + 1).otherwise(inside)
     at = F.col("bucket")
+    edge = lambda i, outer: F.when((at == 0) | (at == buckets + 1), outer).otherwise(F.lit(low) + i * F.lit(width))
+    outer = F.when(at == 0, -inf).otherwise(inf)
     return (df.where(x.isNotNull()).groupBy(place.cast("int").alias("bucket"))
             .agg(F.count(F.lit(1)).alias("rows"))
-            .select("bucket", "rows", (F.lit(lo) + (at - 1) * F.lit(width)).alias("low"),
-                    (F.lit(lo) + at * F.lit(width)).alias("high")))
+            .select("bucket", "rows", edge(at - 1, outer).alias("low"), edge(at, outer).alias("high")))

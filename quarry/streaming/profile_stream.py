@@ -1,11 +1,11 @@
 """Keep a data profile current while files land in a folder.
 
-Structured Streaming reads the landing folder; each micro-batch is reduced
-to its cell-frequency table ``(position, value, v, k)`` (mergeable by
-addition), written under ``state/freq/batch_id=<id>`` with overwrite, so a
-replayed batch replaces its own output and the state stays exact. The current profile sums the
-counts over all batches and runs the ordinary profile logic on them, so it
-equals the profile of all files read at once.
+Structured Streaming reads the landing folder; each micro-batch is reduced to two
+mergeable tables, the counts of its cells ``(position, value, v, k)`` and of its
+rows by 128-bit digest ``(d1, d2, k)``, which go into a compacted state (see
+``state``) exactly once, also if a batch is replayed. The current profile adds up
+the few segments of the state and runs the ordinary profile logic on them, so it
+equals the profile of all files read at once, with duplicate rows and report.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.profile import IQR_FENCE, STATS_SCHEMA, TOP_K, TableProfile, _written
+from quarry.streaming.state import SegmentedState
 
 ROWS_PER_RANGE = 1_000_000  # numbers per range, at any size
+CELLS = "position INT, value STRING, v DOUBLE, k BIGINT"
 
 
 class StreamingProfile:
@@ -39,17 +41,28 @@ class StreamingProfile:
         q.awaitTermination()
 
     def _merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Store the batch's cell frequencies; overwrite makes a replay exact."""
-        TableProfile(batch).cell_counts().write.mode("overwrite").parquet(
-            f"{self.state}/freq/batch_id={batch_id}")
+        # read once: both tables come from the same rows
+        batch = batch.persist()
+        try:
+            p = TableProfile(batch)
+            segments(self.spark, self.state).add(batch_id, {"cells": p.cell_counts(), "rows": p.row_counts()})
+        finally:
+            batch.unpersist()
 
     def profile(self) -> TableProfile:
         return MergedProfile(self.spark, self.schema, self.state)
 
 
+def segments(spark: SparkSession, state: str) -> SegmentedState:
+    added = F.sum("k").cast("long").alias("k")
+    return SegmentedState(spark, f"{state}/segments", {
+        "cells": lambda df: df.groupBy("position", "value", "v").agg(added),
+        "rows": lambda df: df.groupBy("d1", "d2").agg(added)})
+
+
 class MergedProfile(TableProfile):
-    """A profile whose cell frequencies are the sums over all stored
-    micro-batches; every measure is then derived exactly as for a batch."""
+    """A profile of the state's counts; every measure is derived exactly as for a
+    batch."""
 
     def __init__(self, spark: SparkSession, schema: T.StructType, state: str):
         super().__init__(spark.createDataFrame([], schema))
@@ -57,15 +70,9 @@ class MergedProfile(TableProfile):
 
     @cached_property
     def cell_freq(self) -> DataFrame:
-        """The batches' counts, added up and written once for the plans that
-        read them. Only a state folder that isn't there yet means no rows; any
-        error in reading it is an error."""
-        path = f"{self.state}/freq"
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], "position INT, value STRING, v DOUBLE, k BIGINT")
-        stored = self.spark.read.schema("position INT, value STRING, v DOUBLE, k BIGINT, batch_id BIGINT").parquet(path)
-        return _written(stored.groupBy("position", "value", "v").agg(F.sum("k").cast("long").alias("k")), "stream-freq")
+        """The counts of all batches, written once for the plans that read them. A
+        state that isn't there yet has no rows; any error in reading it is an error."""
+        return _written(segments(self.spark, self.state).read("cells", CELLS), "stream-cells")
 
     def stats_frame(self) -> DataFrame:
         """Counts and moments from the cell frequencies. The variance is taken
@@ -142,5 +149,5 @@ class MergedProfile(TableProfile):
                 .agg(F.sum(F.when((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")), F.col("k"))
                            .otherwise(F.lit(0))).cast("long").alias("outliers")))
 
-    def duplicate_count(self) -> DataFrame:
-        raise NotImplementedError("duplicate rows are not kept in the streaming state")
+    def row_counts(self) -> DataFrame:
+        return segments(self.spark, self.state).read("rows", "d1 BIGINT, d2 BIGINT, k BIGINT")

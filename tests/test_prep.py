@@ -72,3 +72,12 @@ def test_patterns_and_correlations(df, spark):
 def test_duplicates(spark):
     d = spark.createDataFrame([("a ", 1), ("a", 1), ("b", 1)], "t STRING, n INT")
     assert prep.drop_duplicates(d).count() == 2
+
+
+def test_histogram_of_infinite_cells(spark):
+    df = spark.createDataFrame([(x,) for x in ("1", "2", "5", "Infinity", "-Infinity", "Infinity", "x")], "x STRING")
+    got = {r["bucket"]: (r["rows"], r["low"], r["high"]) for r in prep.histogram(df, "x", 4).collect()}
+    inf = float("inf")
+    assert got == {0: (1, -inf, -inf), 1: (1, 1.0, 2.0), 2: (1, 2.0, 3.0), 4: (1, 4.0, 5.0), 5: (2, inf, inf)}
+    only = prep.histogram(df.where("x = 'Infinity'"), "x", 4).collect()
+    assert [(r["bucket"], r["rows"]) for r in only] == [(5, 2)]
