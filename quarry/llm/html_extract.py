@@ -9,8 +9,10 @@ article aren't taken for a template. Template is what stands on at least
 section there, and a container on at least ``MANY_PAGES`` different pages of
 its host, however large the host is. These subtrees are deleted, together with
 the parts that HTML itself names as outside of the article (navigation, forms,
-scripts and so on, by tag, role and class or id words), and the blocks left are
-joined. If a page has article elements, or else a main element, only text in them
+scripts and so on, by tag or role, or by a class or id that names such a part and
+nothing else), and the blocks left are joined. A marked part or a form that has the
+page's article and most of its text is a wrapper, and stays. If a page has article
+elements, or else a main element, that aren't mere teasers, only text in them
 counts, and there only containers are deleted as template, never a paragraph or
 heading by itself, since pages may quote the same passage.
 
@@ -29,13 +31,14 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import pick, written
 from quarry.llm.url_filter import host_of
 
 MIN_PAGES = 10
@@ -67,6 +70,21 @@ WORDS = frozenset(
     "side aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead comment "
     "comments commentlist discussion disqus replies respond share sharing social related recommended recommendations "
     "widget widgets toolbar search form hidden skip".split())
+#: words that such a mark may stand with: ``cookie-banner-box``, ``site-footer`` and
+#: ``related-posts`` are parts, ``has-sidebar``, ``comments-open`` and ``search-term`` aren't
+WITH = frozenset(
+    "area articles bar block bottom box button buttons card cards col column container content div element footer global "
+    "header home icon icons image img inline inner item items js left link links list lists main message messages "
+    "mobile module outer page panel post posts primary right row secondary section site slot small sticky story "
+    "stories text thread title top unit user view wrap wrapper".split())
+#: what may stand in a head; any other start tag ends it
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: a marked part that has an article, main or h1 element and this share of the text is the page's wrapper
+WRAPPER = 0.5
+#: the same for a form without
+FORM_WRAPPER = 0.8
+#: articles that have no h1 and less than this share of the text are teasers
+ARTICLES = 0.4
 #: words that mark a header as the article's own
 OWN = frozenset("article post entry story content".split())
 #: a start tag of the first kind closes an open element of the second
@@ -92,49 +110,73 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def outside(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is marked as not belonging to the article."""
+def marked(name: str, in_article: bool) -> bool:
+    """Whether a class or id names a part outside of the article."""
+    words = [w for w in (x.rstrip("0123456789") for x in WORD.findall(HUMP.sub(" ", name).lower())) if w]
+    if not all(w in WORDS or w in WITH for w in words):
+        return False
+    return any(w in WORDS for w in words) or "header" in words and not in_article and not OWN & set(words)
+
+
+def outside(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """Whether an element does not belong to the article: 2 by its tag, role or
+    hiding, 1 by its class or id, or as a form, unless it is the page's wrapper."""
+    if tag == "form":
+        return 1
     if tag in OUTSIDE:
-        return True
+        return 2
     if tag == "header" and not in_article:
-        return True
+        return 2
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+        return 2
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
-        words = set(WORD.findall(HUMP.sub(" ", name).lower()))
-        if words & WORDS or "header" in words and not (in_article or words & OWN):
-            return True
-    return False
+        return 2
+    if tag in ("article", "main") or in_article and tag not in BLOCK:
+        return 0
+    names = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
+    return 1 if any(marked(n, in_article) for n in names) else 0
 
 
 class Element:
-    __slots__ = ("tag", "off", "article", "main", "start", "parts", "key", "plain")
+    __slots__ = ("tag", "off", "soft", "article", "main", "start", "parts", "key", "plain")
 
-    def __init__(self, tag, off, article, main, start, key, plain):
+    def __init__(self, tag, off, soft, article, main, start, key, plain):
         self.tag, self.off, self.article, self.main = tag, off, article, main
+        self.soft = soft  # the marked elements that it stands in
         self.start, self.key, self.plain = start, key, plain
         self.parts: list = []
 
 
+class Marked:
+    """A part that is marked as outside, unless it turns out to be the wrapper."""
+
+    __slots__ = ("form", "heads", "size")
+
+    def __init__(self, form):
+        self.form, self.heads, self.size = form, False, 0
+
+    def stays(self, total: int) -> bool:
+        return self.heads and self.size > WRAPPER * total or self.form and self.size > FORM_WRAPPER * total
+
+
 def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The blocks of the page's article, and (hash, first block, end) of every
     block element that may be deleted; odd hashes are containers'."""
     found: list[tuple[int, int, int]] = []
-    blocks: list[tuple[str, bool, bool]] = []
+    blocks: list[tuple[str, bool, bool, tuple]] = []
     line: list[str] = []
-    stack = [Element("", False, False, False, 0, "", False)]
-    seen = {"article": False, "main": False}
+    stack = [Element("", False, (), False, False, 0, "", False)]
+    opened: Counter[str] = Counter()  # elements on the stack, by tag
+    headed = False  # an article has an h1
 
     def flush():
         if line:
             text = " ".join("".join(line).split())
             if text:
                 top = stack[-1]
-                blocks.append((text, top.article, top.main))
+                blocks.append((text, top.article, top.main, top.soft))
             line.clear()
 
     def close():
@@ -142,6 +184,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
         if e.tag in BLOCK:
             flush()
         stack.pop()
+        opened[e.tag] -= 1
         if e.tag in BLOCK and not e.off:
             told = hashlib.blake2b("\x1f".join([e.key, *e.parts]).encode("utf-8", "replace"), digest_size=8)
             h = int.from_bytes(told.digest(), "little", signed=True) & ~1 | (e.tag in CONTAINER)
@@ -170,7 +213,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:  # an end tag
-            if any(e.tag == tag for e in stack):
+            if opened[tag]:
                 if tag not in BLOCK and any(e.tag in BLOCK for e in stack[next(
                         i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag) + 1:]):
                     continue  # an inline end tag doesn't end blocks
@@ -180,16 +223,19 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
             elif tag in ("p", "br"):
                 flush()
             continue
+        if opened["head"] and tag not in HEAD:
+            while opened["head"]:
+                close()
         if tag in BLOCK:
             flush()
             i = len(stack) - 1
-            while i and stack[i].tag not in FENCE:
+            while i and opened["p"] and stack[i].tag not in FENCE:
                 if stack[i].tag == "p":
                     while len(stack) > i:
                         close()
                     break
                 i -= 1
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
             i = len(stack) - 1
             while i and stack[i].tag not in ("ul", "ol", "dl", "table", "menu"):
                 if stack[i].tag in CLOSES[tag]:
@@ -203,25 +249,35 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
         raw = m[3] if m[2] else m[6]
         attrs = attributes(raw) if raw and "=" in raw or raw and "hidden" in raw else {}
         top = stack[-1]
-        off = top.off or outside(tag, attrs, top.article)
+        how = 0 if top.off else outside(tag, attrs, top.article)
+        off, soft = top.off or how == 2, (*top.soft, Marked(tag == "form")) if how == 1 else top.soft
         inner = top.article or tag == "article" or "articlebody" in attrs.get("itemprop", "").lower()
         main = top.main or tag == "main" or attrs.get("role") == "main"
         if not off:
-            seen["article"] |= inner
-            seen["main"] |= main
+            if tag in ("article", "main", "h1"):
+                for part in soft:
+                    part.heads = True
+            headed |= inner and tag == "h1" and not soft
         key = f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}"
         plain = (inner or main) and tag not in CONTAINER or tag in ("html", "body", "article", "main")
-        stack.append(Element(tag, off, inner, main, len(blocks), key, plain))
+        opened[tag] += 1
+        stack.append(Element(tag, off, soft, inner, main, len(blocks), key, plain))
         if tag in RAW and not raw.endswith("/"):
             end = RAW_END[tag].search(page, at)
             at = end.start() if end else size
     while len(stack) > 1:
         close()
     flush()
-    inside = 1 if seen["article"] else 2 if seen["main"] else 0
-    place, kept = [0], []
+    total = sum(len(b[0]) for b in blocks)
     for b in blocks:
-        if not inside or b[inside]:
+        for part in b[3]:
+            part.size += len(b[0])
+    stays = [all(part.stays(total) for part in b[3]) for b in blocks]
+    share = [sum(len(b[0]) for b, ok in zip(blocks, stays) if ok and (not i or b[i])) for i in (0, 1, 2)]
+    inside = 1 if share[1] and (headed or share[1] >= ARTICLES * share[0]) else 2 if share[2] >= ARTICLES * share[0] and share[2] else 0
+    place, kept = [0], []
+    for b, ok in zip(blocks, stays):
+        if ok and (not inside or b[inside]):
             kept.append(b[0])
         place.append(len(kept))
     return kept, [(h, place[i], place[j]) for h, i, j in found]
@@ -285,8 +341,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row."""
     url = F.col(url_col).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
-                     F.col(html_col).cast("string").alias("html"))
+    rows = pick(df, id_col, url_col, html_col).select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"),
+                                                      F.col(html_col).cast("string").alias("html"))
     rows = (rows.withColumn("row", F.xxhash64("page_id", "url", "html")).withColumn("host", host_of(F.col("url")))
             .withColumn("section", F.regexp_extract(F.coalesce("url", F.lit("")), SECTION, 1)))
     found = written(parsed_pages(rows), "parsed-pages")

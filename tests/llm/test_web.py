@@ -101,6 +101,49 @@ def test_article_text(spark):
     assert html_extract.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+WRAPPED = [
+    # (a) words in the names of wrappers and articles that mark something else
+    *((f'<body><div class="{c}"><h1>Title</h1><p>The story of the day.</p></div><div class="sidebar">x</div></body>', "Title\nThe story of the day.")
+      for c in ("post has-sidebar", "no-sidebar", "comments-open", "layout-side-by-side", "social-science", "sidebar main")),
+    *((f'<article class="{c}"><p>The story.</p></article>', "The story.") for c in ("post has-sidebar", "comments", "related")),
+    # (b) optional tags
+    ("<html><head><meta charset=utf-8><title>t</title><body><article><p>The story.</p></article>", "The story."),
+    ("<head><title>t</title><p>The story.</p>", "The story."),
+    # (c) a page in one form, with another form in it
+    ("<body><form action=x><nav>n</nav><article><p>The story of the day.</p></article><form><p>Search</p></form></form></body>", "The story of the day."),
+    ("<body><form><p>The story of the day.</p></form><div class=cookie-banner>ok</div></body>", "The story of the day."),
+    # (d) inline elements and paragraphs with words of parts in their names
+    ('<article><p>The <span class="search-term">key</span> of <b id="comment-1-link">it</b>.</p><p class="form-group">More.</p></article>', "The key of it.\nMore."),
+    # (e) a teaser article beside the text
+    ("<body><div><p>" + "The story of the day. " * 9 + "</p></div><article><h3>Read on</h3></article></body>", ("The story of the day. " * 9).strip() + "\nRead on"),
+    # parts that are marked still go, whatever their size
+    ('<body><article><h1>T</h1><p>Short.</p></article><div class="comments"><p>' + "I say. " * 50 + "</p></div></body>", "T\nShort."),
+    ('<body><article><h1>T</h1><p>Short.</p><div id="comment-list"><p>' + "I say. " * 50 + "</p></div></article></body>", "T\nShort."),
+    ('<body><h1>T</h1><p>Short.</p><div class="related-posts"><p>Other</p></div><div class="newsletter_box2">Join</div></body>', "T\nShort."),
+]
+
+
+@pytest.mark.parametrize("html,text", WRAPPED)
+def test_no_article_is_lost(html, text):
+    assert "\n".join(html_extract.parse(html)[0]) == text
+
+
+def test_parsing_is_linear_in_unclosed_tags():
+    import time
+
+    def seconds(n):
+        page = "<body>" + "<font>" * n + "<h2>a" * n
+        best = 1e9
+        for _ in range(3):
+            t0 = time.perf_counter()
+            html_extract.parse(page)
+            best = min(best, time.perf_counter() - t0)
+        return best
+
+    seconds(500)
+    assert seconds(8000) < 8 * seconds(2000) + 0.05
+
+
 def test_templates_of_a_host_go_but_articles_stay(spark):
     def page(i, body):
         return f"<body><div><b>Site</b> motto of ours</div>{body}<div><p>Call us now</p></div></body>"
