@@ -22,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_text, written
+from quarry.llm.common import as_text, pick, written
 
 #: runs merged into one per round, as a power of two
 FAN_BITS = 3
+#: groups with over one part in so many of all rows
+HOT_GROUPS = 1000
 #: fixed value: the characters that don't count, tab to carriage return and blank
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -34,7 +36,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The slim row of every document, with the number of its run."""
     text = as_text(F.col(text_col))
     bare = F.regexp_replace(text, WHITE, "")
-    return (df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), bare.alias("b"))
+    return (pick(df, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), bare.alias("b"))
             .select("doc_id", F.unhex(F.sha2("b", 256)).alias("digest"),
                     F.xxhash64(F.length("b"), "b").alias("proof"), F.length("t").cast("long").alias("n"),
                     F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run")))
@@ -62,8 +64,16 @@ def merge_runs(slim: DataFrame, runs: int) -> DataFrame:
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row."""
     slim = written(digests(df, id_col, text_col), "digests")
-    runs = (slim.agg(F.max("run")).first()[0] or 0) + 1
-    groups = merge_runs(slim, runs)
-    return slim.join(groups, ["digest", "proof"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"),
-        (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    last, total = slim.agg(F.max("run"), F.count(F.lit(1))).first()
+    groups = written(merge_runs(slim, (last or 0) + 1), "distinct-texts")
+    # groups of so many rows are HOT_GROUPS at most: their rows are looked up where they
+    # are, and get a key of their own in the join that finds the others
+    hot = groups.where(F.col("size") > total / HOT_GROUPS).select("digest", "proof", F.struct("best", "size").alias("hot"))
+    rows = slim.join(F.broadcast(hot), ["digest", "proof"], "left")
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.unhex(F.md5(F.col("row").cast("string"))))
+    found = groups.select(F.col("digest").alias("found_key"), F.col("proof").alias("check"), F.struct("best", "size").alias("cold"))
+    group = F.coalesce("hot", "cold")
+    return rows.withColumn("key", key).join(
+        found, (F.col("key") == F.col("found_key")) & (F.col("proof") == F.col("check")), "left").select(
+        "doc_id", group["best"]["doc_id"].alias("keep_id"), group["size"].alias("group_size"),
+        (F.col("row") == group["best"]["row"]).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

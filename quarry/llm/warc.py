@@ -36,9 +36,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_text, written
+from quarry.llm.common import as_text, pick, written
 
 REVISIT_BYTES = 1000
+#: payloads with over one part in so many of all copies
+HOT_PAYLOADS = 1000
 ARCHIVE_BYTES = 4 << 20
 DICT_BYTES = 32 << 10
 SAMPLE_BYTES = 512 << 10
@@ -155,7 +157,8 @@ def frames(content: bytes):
 
 def fields(head: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
-    for line in head.split(b"\r\n"):
+    # a line that begins with white space goes on with the one before
+    for line in regex.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n"):
         m = FIELD.fullmatch(line)
         if not m:
             raise WarcError(f"header line {line[:40]!r}")
@@ -190,7 +193,10 @@ def parse(raw: bytes) -> dict:
            "payload_digest": None}
     told = h.get("warc-payload-digest", "")
     if told.startswith("sha1:"):
-        out["payload_digest"] = base64.b32decode(told[5:]).hex()
+        try:
+            out["payload_digest"] = base64.b32decode(told[5:]).hex()
+        except ValueError as e:  # also what base64 raises of other letters
+            raise WarcError("WARC-Payload-Digest isn't base32") from e
     if h["warc-type"] in ("response", "revisit"):
         status, sep, payload = rest[:size].partition(b"\r\n\r\n")
         if not sep or not status.startswith(b"HTTP/"):
@@ -211,19 +217,23 @@ def with_roles(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``page_id, url, html, size, sha1, revisit, refers_to``. Only digests are
     grouped, merged in each task first; short payloads get keys that match none."""
     html = as_text(F.col(html_col))
-    rows = (df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                      html.alias("html"))
+    rows = (pick(df, id_col, url_col, html_col)
+            .select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
             .withColumn("size", F.octet_length("html").cast("long"))
             .withColumn("sha1", F.sha1(F.col("html").cast("binary"))))
-    heads = (rows.where(F.col("size") >= REVISIT_BYTES).groupBy("sha1")
-             .agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-             .where("copies > 1").select(F.col("sha1").alias("key"), "head"))
-    key = F.when(F.col("size") >= REVISIT_BYTES, F.col("sha1")).otherwise(
-        F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
-    revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
-    return (rows.withColumn("key", key).join(heads, "key", "left")
-            .select("page_id", "url", "html", "size", "sha1", revisit.alias("revisit"),
-                    F.when(revisit, F.col("head")).alias("refers_to")))
+    heads = written(rows.where(F.col("size") >= REVISIT_BYTES).groupBy("sha1")
+                    .agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "warc-heads")
+    # payloads with so many copies are HOT_PAYLOADS at most: their rows are looked up where
+    # they are, and get a key of their own in the join that finds the others
+    total = heads.agg(F.sum("copies")).first()[0] or 0
+    hot = heads.where(F.col("copies") > total / HOT_PAYLOADS).select("sha1", F.col("head").alias("hot"))
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    key = F.when((F.col("size") >= REVISIT_BYTES) & F.col("hot").isNull(), F.col("sha1")).otherwise(alone)
+    found = rows.join(F.broadcast(hot), "sha1", "left").withColumn("key", key).join(
+        heads.select(F.col("sha1").alias("key"), F.col("head").alias("cold")), "key", "left")
+    head = F.when(F.col("size") >= REVISIT_BYTES, F.coalesce("hot", "cold"))
+    revisit = head.isNotNull() & ~F.col("page_id").eqNullSafe(head)
+    return found.select("page_id", "url", "html", "size", "sha1", revisit.alias("revisit"), F.when(revisit, head).alias("refers_to"))
 
 
 def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",

@@ -56,6 +56,17 @@ def test_exact_duplicates(spark):
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 3, 0.5])
+def test_hot_groups_are_looked_up_in_place(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", hot)
+    rows = [(i, "the same " * (1 + i % 2)) for i in range(40)] + [(50 + i, f"t {i % 5}") for i in range(10)] + [(70, None), (71, " ")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, Text int, `d.e` int").repartition(5)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(df).collect()}
+    want = {i: (i % 2, 20, i < 2) for i in range(40)}
+    want |= {50 + i: (50 + i % 5, 2, i < 5) for i in range(10)} | {70: (71, 2, False), 71: (71, 2, True)}
+    assert got == want
+
+
 def test_merge_rounds_give_the_groups_of_one_pass(spark):
     df = spark.range(3000).selectExpr("id doc_id", "concat('t', id % 70) text").repartition(20)
     slim = exact_dedup.digests(df)

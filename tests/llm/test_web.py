@@ -5,6 +5,7 @@ import math
 import re
 
 import pytest
+import regex
 
 from quarry.llm import html_extract, url_filter, warc
 
@@ -68,6 +69,30 @@ def test_broken_records_are_found(change):
         warc.parse(change(good))
 
 
+@pytest.mark.parametrize("told", [b"sha1:x1", b"sha1:", b"sha1:\xc3\xa9"])
+def test_foreign_digests_are_errors_of_the_record(told):
+    good = records(1)[0]
+    bad = regex.sub(rb"(?<=WARC-Payload-Digest: )\S+", lambda m: told, good)
+    assert bad != good
+    with pytest.raises(warc.WarcError):
+        warc.parse(bad)
+
+
+def test_folded_header_lines_go_on():
+    good = records(1)[0]
+    folded = good.replace(b"WARC-Date: ", b"WARC-Date:\r\n \t", 1)
+    assert folded != good and warc.parse(folded) == warc.parse(good)
+
+
+@pytest.mark.parametrize("share", [1000, 2, 0.5])
+def test_hot_payloads_are_looked_up_in_place(spark, monkeypatch, share):
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", share)
+    rows = [(i, "u", LONG) for i in range(30)] + [(100 + i, "u", LONG + str(i % 4)) for i in range(12)] + [(None, None, "x"), (None, None, None)]
+    got = {(r["page_id"], r["revisit"], r["refers_to"]) for r in warc.with_roles(pages(spark, rows)).collect()}
+    assert got == ({(i, i != 29, 29 if i != 29 else None) for i in range(30)} | {(None, False, None)}
+                   | {(100 + i, i < 8, 108 + i % 4 if i < 8 else None) for i in range(12)})
+
+
 def test_broken_frames_are_rows_if_not_strict(spark):
     content = warc.archive(records(30))
     bad = bytearray(content)
