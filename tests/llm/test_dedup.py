@@ -252,7 +252,8 @@ def test_window_pairs_are_all_that_sizes_allow(spark, monkeypatch, block):
     rows = [(k, p, rng.choice([5, 8, 9, 10, 12, 40, 50, 51, 64]), p % 3) for k in range(3) for p in rng.sample(range(300), 90)]
     size = {}
     rows = [(k, p, size.setdefault(p, n), part) for k, p, n, part in rows]
-    got = [tuple(r) for r in ngram_join.window_pairs(spark.createDataFrame(rows, "key long, point long, n int, part long")).collect()]
+    got = [tuple(r) for r in ngram_join.window_pairs(spark.createDataFrame(
+        [(*r, bytes(ngram_join.CELLS)) for r in rows], "key long, point long, n int, part long, cells binary")).collect()]
     want = {(p, q) for k, p, n, part in rows for l, q, m, other in rows
             if k == l and p < q and part != other and 100 * min(n, m) >= 80 * max(n, m)}
     assert len(got) == len(set(got)) and set(got) == want
