@@ -136,11 +136,10 @@ def older_than_newest(df: DataFrame, key: str, order: list[str], keep: int = KEE
     place = F.struct(*[F.col(c) for c in ranked])
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in ranked])
     kept = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= keep)
-    last = kept.groupBy(F.col(key).alias("__key")).agg(F.min(place).alias("__last"))
-    same = (kept.select(F.col(key).alias("__key"), place.alias("__place"))
-            .join(last.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k")))
-            .where(F.col("__place").eqNullSafe(F.col("__last"))).groupBy("__key").agg(F.count(F.lit(1)).alias("__kept")))
-    cut = (last.join(same.withColumnRenamed("__key", "__k"), F.col("__key").eqNullSafe(F.col("__k"))).drop("__k"))
+    # all in the partitions of the row numbers: the cut-off, and how many kept rows equal it
+    cut = (kept.withColumn("__last", F.min(place).over(Window.partitionBy(key)))
+           .groupBy(F.col(key).alias("__key"))
+           .agg(F.first("__last").alias("__last"), F.count_if(place.eqNullSafe(F.col("__last"))).alias("__kept")))
     joined = df.join(cut, F.col(key).eqNullSafe(F.col("__key")))
     below = joined.where(place < F.col("__last")).select(*df.columns)
     equal = (joined.where(place.eqNullSafe(F.col("__last"))).groupBy(*df.columns, "__kept")
