@@ -3,6 +3,16 @@ of each near-duplicate group stays, and the rest is packed into sequences.
 
 Every stage takes the rows that its predecessor kept and is written to the
 shared folder, so that a lost executor costs a re-read of that stage only.
+
+Cases. All but the last stage return the columns of their input, whatever their
+names: names that differ in case only, hold dots or quotes, or are those of a
+stage's own columns don't clash. A null text has no words, lines or shingles: it is
+never toxic by its words, stays null in the line stage, links with nothing, and is
+packed as the end token alone, as an empty text is. Texts are worked on whole,
+however long. Rows with a null ``doc_id`` take part in every stage; of equal
+documents the smallest id stays, null last. Rows that repeat id and text get one
+result in the line stage, and one of them stays in the next. Ties go to the earlier
+line and the smaller id. An empty table gives empty tables.
 """
 
 from __future__ import annotations
