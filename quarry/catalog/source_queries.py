@@ -91,16 +91,23 @@ def grid_table(spark, d):
     return grid_to_table(nation_grid(spark, d)).drop("file")
 
 
+def _with_rows(files, spark, d):
+    return files.join(FS.file_rows(spark, d), "name", "left")
+
+
 def file_inventory(spark, d):
-    return FS.file_inventory(spark, d).select("name", "bytes", "size_kb", "type", "format")
+    """Every file of the folder with the number of its rows."""
+    return _with_rows(FS.file_inventory(spark, d).select("name", "bytes", "size_kb", "type", "format"), spark, d)
 
 
 def file_check(spark, d):
-    return FS.file_check(spark, d, CHECK_NAMES).withColumnRenamed("exists", "file_exists")
+    return _with_rows(FS.file_check(spark, d, CHECK_NAMES).withColumnRenamed("exists", "file_exists"), spark, d)
 
 
 def file_formats(spark, d):
-    return FS.file_inventory(spark, d).select("name", "format")
+    """Files, bytes and rows by the format that a file is read as."""
+    files = _with_rows(FS.file_inventory(spark, d).select("name", "format", "bytes"), spark, d)
+    return files.groupBy("format").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
 
 
 def load_summary(spark, d):
@@ -153,6 +160,8 @@ _DAY = "strftime(ts, '%Y-%m-%d')"
 _EXT = "lower(regexp_extract(parse_filename(filename), '\\.([^.]*)$', 1))"
 _FMT = (f"CASE {_EXT} WHEN 'csv' THEN 'csv' WHEN 'xlsx' THEN 'excel' WHEN 'xls' THEN 'excel' "
         f"WHEN 'pdf' THEN 'pdf' ELSE 'unsupported' END")
+_ROWS = " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS rows FROM {t}" for t in (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split())
 
 
 def sql():
@@ -173,13 +182,14 @@ UNION ALL SELECT 'customer-' || CAST(c_nationkey AS VARCHAR), c_custkey + 1, CAS
   n_name, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey
 FROM nation""",
         "file_inventory": f"""SELECT parse_filename(filename) AS name, size AS bytes,
-  round(CAST(size AS DOUBLE) / 1024, 2) AS size_kb, upper({_EXT}) AS type, {_FMT} AS format
-FROM {blobs}""",
+  round(CAST(size AS DOUBLE) / 1024, 2) AS size_kb, upper({_EXT}) AS type, {_FMT} AS format, rows
+FROM {blobs} LEFT JOIN ({_ROWS}) r ON r.name = parse_filename(filename)""",
         "file_check": f"""SELECT w.name, b.size IS NOT NULL AS file_exists, b.size AS bytes,
-  upper(regexp_extract(w.name, '\\.([^.]*)$', 1)) AS type
+  upper(regexp_extract(w.name, '\\.([^.]*)$', 1)) AS type, rows
 FROM (VALUES {names}) w(name)
-LEFT JOIN (SELECT parse_filename(filename) AS name, size FROM {blobs}) b ON b.name = w.name""",
-        "file_formats": f"SELECT parse_filename(filename) AS name, {_FMT} AS format FROM {blobs}",
+LEFT JOIN (SELECT parse_filename(filename) AS name, size FROM {blobs}) b ON b.name = w.name LEFT JOIN ({_ROWS}) r ON r.name = w.name""",
+        "file_formats": f"""SELECT {_FMT} AS format, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(rows) AS BIGINT) AS rows
+FROM {blobs} LEFT JOIN ({_ROWS}) r ON r.name = parse_filename(filename) GROUP BY 1""",
         "load_summary": """SELECT 'c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment' AS headers,
   (SELECT count(*) FROM customer) AS row_count, CAST(5 AS BIGINT) AS column_count,
   CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,

@@ -44,6 +44,14 @@ def file_inventory(spark: SparkSession, folder: str, recursive: bool = False) ->
         F.col("modificationTime").alias("modified"))
 
 
+def file_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``(name, rows)`` of the Parquet files of a folder, whatever their schemas: no
+    column is read, and files are grouped by name in each task first."""
+    files = (spark.read.schema("none INT").option("pathGlobFilter", "*.parquet").parquet(folder)
+             .select(_name(F.col("_metadata.file_path")).alias("name")))
+    return files.groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def file_check(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """``(name, exists, bytes, type)`` for requested file names in a folder:
     the requests left-joined to the inventory, so a missing file gives
