@@ -125,9 +125,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     total = lab.count()
     share = min(1.0, sample_rows / max(1, total))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
     # about sample_rows rows, by the parameter
-    few = F.broadcast(lab.where(pick) if share < 1 else lab)
+    few = F.broadcast(lab.where(some) if share < 1 else lab)
     rows = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     return written(rows.join(few, "doc_id").select("text", "toxic"), "toxicity-sample")
 
