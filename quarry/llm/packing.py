@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.byte_bpe import loaded, vocabulary
-from quarry.llm.common import written
+from quarry.llm.common import pick, written
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -112,7 +112,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             cols = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = pick(df, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(work, PIECE + ", ids binary" * keep_ids)
 
 
