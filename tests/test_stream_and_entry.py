@@ -62,6 +62,24 @@ def test_stream_keeps_duplicates_and_the_report(spark):
     assert report.render(stream) == report.render(batch)
 
 
+def test_landing_files_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from quarry.catalog import stream_queries
+    from quarry.streaming.state import SegmentedState
+
+    root = tempfile.mkdtemp(dir="/tmp")
+    src = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    src.unionByName(src).write.parquet(f"{root}/in/lineitem.parquet")
+    rows = 2 * src.count()
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 500, raising=False)
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda spark, name: f"{root}/{name}")
+    got = stream_queries.stream_profile(spark, f"{root}/in").collect()
+    files = spark.read.parquet(f"{root}/landing").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == rows == got[0]["populated"]
+    assert max(r["count"] for r in files) <= 500 + 16  # dealt in turn, from every split
+    state = SegmentedState(spark, f"{root}/stream-state/segments", {}).manifest()
+    assert state["last"] == 3  # a larger table makes larger batches, not more
+
+
 def test_row_digests_tell_cells_apart(spark):
     rows = [("a", None), (None, "a"), ("a1:", "b"), ("a", "1:b"), ("", "aa"), ("aa", "")]
     d = TableProfile(spark.createDataFrame(rows, "x STRING, y STRING")).duplicate_count().first()
