@@ -14,7 +14,8 @@ of pairs over a linked list, with the same ids.
 
 Distinct matches are told apart by a 64-bit multilinear hash of their bytes.
 A worker keeps the ids of the matches that it has met, up to ``CACHE_ENTRIES``
-of them, and starts afresh beyond that: this bounds memory, not the result.
+of them, and starts afresh beyond that (a piece of text with more has a larger
+store): this bounds memory, not the result.
 
 Cases: a null or empty text has no ids (``n_tokens`` 0, digests of no bytes).
 A text of any length is worked through in pieces of about ``CHUNK_BYTES``, cut
@@ -36,9 +37,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
-CACHE_ENTRIES = 1_200_000
-CACHE_BITS = 22
+CHUNK_BYTES = 1 << 19
+CACHE_ENTRIES = 600_000
+CACHE_BITS = 20
+CELLS = 500_000
 LONG_MATCH = 384
 BUCKETS = (4, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 256, LONG_MATCH)
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -240,10 +242,12 @@ class ByteBPE:
                     heapq.heappush(heap, (q, k, ids[k], ids[nxt[k]]))
         return [x for x, ok in zip(ids, alive) if ok]
 
-    def _reset(self) -> None:
+    def _reset(self, least: int = 0) -> None:
+        """An empty store, with room for ``least`` matches at least."""
         self.known = 0
-        self.seen_key = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.seen_slot = np.zeros(1 << CACHE_BITS, np.int32)
+        self.bits = max(CACHE_BITS, (2 * least).bit_length())
+        self.seen_key = np.zeros(1 << self.bits, np.uint64)
+        self.seen_slot = np.zeros(1 << self.bits, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.at = np.zeros(1 << 14, np.int64)
@@ -253,17 +257,17 @@ class ByteBPE:
         """Number of each match in the worker's store, -1 if it isn't there."""
         out = np.full(len(hashes), -1, np.int32)
         todo, keys = np.arange(len(hashes)), hashes
-        slots = (hashes >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(todo):
             seen = self.seen_key[slots]
             hit = seen == keys
             out[todo[hit]] = self.seen_slot[slots[hit]]
             go = ~hit & (seen != 0)
-            todo, keys, slots = todo[go], keys[go], (slots[go] + 1) & ((1 << CACHE_BITS) - 1)
+            todo, keys, slots = todo[go], keys[go], (slots[go] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _store(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
-        slots = (hashes >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(hashes):
             free = np.flatnonzero(self.seen_key[slots] == 0)
             chosen, first = np.unique(slots[free], return_index=True)
@@ -271,7 +275,7 @@ class ByteBPE:
             self.seen_key[chosen], self.seen_slot[chosen] = hashes[put], numbers[put]
             rest = np.ones(len(hashes), bool)
             rest[put] = False
-            hashes, numbers, slots = hashes[rest], numbers[rest], (slots[rest] + 1) & ((1 << CACHE_BITS) - 1)
+            hashes, numbers, slots = hashes[rest], numbers[rest], (slots[rest] + 1) & ((1 << self.bits) - 1)
 
     def _keep(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         k, m = self.known, len(hashes)
@@ -293,7 +297,7 @@ class ByteBPE:
         for high in BUCKETS:
             pick = np.flatnonzero((size > low) & (size <= high))
             low = high
-            for part in np.array_split(pick, max(1, len(pick) * high // 2_000_000)):
+            for part in np.array_split(pick, max(1, len(pick) * high // CELLS)):
                 if not len(part):
                     continue
                 cols = np.arange(high)
@@ -329,8 +333,8 @@ class ByteBPE:
             uniq, where = np.unique(sums[slot < 0], return_index=True)
             where = np.flatnonzero(slot < 0)[where]
             if self.known + len(uniq) > CACHE_ENTRIES:
-                self._reset()
                 uniq, where = np.unique(sums, return_index=True)
+                self._reset(len(uniq))
             self._learn(data, start[where], size[where], uniq)
             for i, h in zip(where[size[where] > LONG_MATCH], uniq[size[where] > LONG_MATCH]):
                 ids = self.merge_long(self.byte_id[data[start[i]:start[i] + size[i]]].tolist())

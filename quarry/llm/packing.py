@@ -34,6 +34,7 @@ from quarry.llm.common import pick, written
 WINDOW = 2048
 CLOSING_ID = 1
 SHARD_PIECES = 20_000
+ROWS = 1000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -98,7 +99,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def work(batches):
         bpe = loaded(vocab.value, special=True)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             keys = batch.column(0).to_pylist()
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows = []

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -54,6 +55,27 @@ def test_decode_documents_round_trip(spark, texts):
     assert all(back[i] == (t or "").encode() for i, t in enumerate(texts))
 
 
+def test_memory_of_a_worker_is_bounded_by_small_chunks(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghij", k=1000)).replace(" ", "", 500).encode() for _ in range(1000)]
+    with open(MODEL, "rb") as f:
+        bpe = byte_bpe.ByteBPE(f.read(), special=True)
+    want = [np.concatenate(p).tolist() for _, p in sorted(bpe.encode_many(texts[:20]))]
+    tracemalloc.start()
+    try:
+        bpe._reset()
+        n = sum(1 for _ in bpe.encode_many(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts) and peak < 80_000_000
+    # a piece with more matches than the store has places for
+    monkeypatch.setattr(byte_bpe, "CACHE_BITS", 4)
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 4)
+    bpe._reset()
+    assert [np.concatenate(p).tolist() for _, p in sorted(bpe.encode_many(texts[:20]))] == want
+
+
 def test_a_text_longer_than_a_chunk_and_a_small_store(encoding, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", 200)
     monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 20)
