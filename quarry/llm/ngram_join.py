@@ -11,9 +11,9 @@ leaves nothing out; so regions are opened where distances below 1 can be:
 * A point belongs to the region of each of its first floor(0.2 n) + 1 shingles
   in a fixed order. Linked points share a region: if none of these were common,
   the points would be more than 0.2 apart. The order puts rare shingles first, by
-  a table of bucket counts from one in ``SAMPLE`` sets, so that passages shared by
-  unlike documents open hardly any region. The table is of a fixed size; any
-  order gives the same links.
+  a table of bucket counts from all sets, so that passages shared by unlike
+  documents open hardly any region. The table is of a fixed size; any order gives
+  the same links.
 * The smallest point of a region is its pivot. All members' distances to the
   pivot are found exactly. A member within 0.2 of its pivot links to it; the
   members of that ball are in one component and need no comparison.
@@ -55,9 +55,10 @@ SHINGLE = 5
 PERCENT = 80
 CELLS = 256
 ORDER_BITS = 22
-SAMPLE = 16
+SAMPLE = 1  # the rarity of shingles is counted in every set
 OFTEN = 3
-HOT_LEVEL = 9
+HOT_LEVEL = 13
+RARITY_BLOCK = 1 << 12
 MARK_BITS = 26
 BLOCK = 256
 PAIR_CELLS = 1 << 14
@@ -134,25 +135,56 @@ def points(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """A class of frequency for each of ``2 ** ORDER_BITS`` buckets of shingles, from
-    all shingles of one in ``SAMPLE`` sets: 0 for what is rare there. It only puts
-    the shingles in an order, and any order gives all links."""
-
-    def work(batches):
+    all shingles of all sets: 0 for what is rare. It only puts the shingles in an
+    order, and any order gives all links. A task adds its sets up in one table, whose
+    blocks that aren't empty are exchanged."""
+    size = 1 << ORDER_BITS
+    block = min(size, RARITY_BLOCK)
+
+    def count(batches):
+        table = np.zeros(size, np.uint32)
         for batch in batches:
             for _, owner, h, ends in sets_of(batch.column(0).cast(pa.binary()).to_pylist()):
-                point = identity(h, ends)
                 # copies in one run of texts count once
-                some = (mix(point) % np.uint64(SAMPLE) == 0) & (np.diff(ends) > 0)
-                first = np.zeros(len(point), bool)
-                first[np.unique(point, return_index=True)[1]] = True
-                h = h[(some & first)[owner]]
-                bucket, k = np.unique(h >> np.uint64(64 - ORDER_BITS), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(k.astype(np.int64))], names=["bucket", "k"])
-
-    counts = pick(docs, "text").select(as_text(F.col("text")).alias("text")).mapInArrow(work, "bucket int, k long")
-    often = counts.groupBy("bucket").agg(F.sum("k").alias("k")).where(F.col("k") >= OFTEN)
-    table = np.zeros(1 << ORDER_BITS, np.uint8)
-    found = written(often.select("bucket", F.length(F.bin("k")).cast("byte").alias("level")), "rarity").toArrow()
+                first = np.zeros(len(ends) - 1, bool)
+                first[np.unique(identity(h, ends), return_index=True)[1]] = True
+                np.add.at(table, h[first[owner]] >> np.uint64(64 - ORDER_BITS), np.uint32(1))
+        blocks = table.reshape(-1, block)
+        some = np.flatnonzero(blocks.any(1))
+        for at in np.array_split(some, -(-len(some) // 64)) if len(some) else []:
+            rows = [packed(blocks[i]) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(x, pa.binary()) for x in zip(*rows)]],
+                                             names=["block", "places", "counts"])
+
+    def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+        """Places, none if there are many, and counts, in a byte each if they fit."""
+        places = np.flatnonzero(counts).astype(np.uint16)
+        small = counts.astype(np.uint8) if counts.max() < 256 else counts
+        return (places.tobytes(), small[places].tobytes()) if 3 * len(places) < block else (b"", small.tobytes())
+
+    def often(at: int, total: np.ndarray) -> pa.RecordBatch:
+        found = np.flatnonzero(total >= OFTEN)
+        levels = np.frexp(total[found].astype(np.float64))[1]  # the binary digits of the counts
+        return pa.RecordBatch.from_arrays([pa.array((at * block + found).astype(np.int32)), pa.array(levels.astype(np.int8))],
+                                          names=["bucket", "level"])
+
+    def add(batches):
+        now, total = None, None
+        for batch in batches:
+            for at, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != now:
+                    if now is not None:
+                        yield often(now, total)
+                    now, total = at, np.zeros(block, np.int64)
+                places = np.frombuffer(places, np.uint16) if places else np.arange(block)
+                total[places] += np.frombuffer(counts, np.uint8 if len(counts) == len(places) else np.uint32)
+        if now is not None:
+            yield often(now, total)
+
+    counts = pick(docs, "text").select(as_text(F.col("text")).alias("text")).mapInArrow(count, "block int, places binary, counts binary")
+    levels = counts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "bucket int, level byte")
+    table = np.zeros(size, np.uint8)
+    found = written(levels, "rarity").toArrow()
     table[found.column("bucket").to_numpy()] = found.column("level").to_numpy()
     return table
 

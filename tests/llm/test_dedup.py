@@ -221,6 +221,19 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, block, s
         assert kept.count() == empty + len({top[i] for i in range(len(rows)) if sets[i]})
 
 
+def test_rarity_counts_the_shingles_of_all_sets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ORDER_BITS", 8)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abcdefg", k=rng.randint(0, 60))) + f" t{i}" for i in range(150)] + [None, ""]
+    want = collections.Counter()
+    for _, _, h, ends in ngram_join.sets_of([(t or "").encode() for t in texts]):
+        want.update((h >> np.uint64(56)).tolist())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = ngram_join.rarity(df)
+    assert got.tolist() == [want[b].bit_length() if want[b] >= ngram_join.OFTEN else 0 for b in range(256)]
+    assert got.max() > 1
+
+
 def short_copies(seed):
     rng = random.Random(seed)
     word = lambda: f"v{rng.randrange(10**6)}"
