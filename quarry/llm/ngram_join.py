@@ -22,7 +22,9 @@ leaves nothing out; so regions are opened where distances below 1 can be:
   empty set, and the triangle inequality keeps linked sets in one window of sizes
   or in neighbouring ones: members go to the window of their size, and as guests to
   the next one. A window of over ``BLOCK`` members is dealt to parts by hash; every
-  two parts meet in a task's group of their own.
+  two parts meet in a task's group of their own. Near copies share many regions, and
+  a pair becomes a row in the first of them only, as told by each point's
+  ``FIRST_KEYS`` smallest keys.
 * Triangle inequality again: the numbers of a point's shingles in 256 fixed cells
   of the hash space are its distances from 256 fixed pivots up to a constant, so
   the L1 distance of two such vectors bounds |A ^ B| from below, and a pair is
@@ -62,6 +64,7 @@ RARITY_BLOCK = 1 << 12
 MARK_BITS = 26
 BLOCK = 256
 PAIR_CELLS = 1 << 14
+FIRST_KEYS = 8
 
 
 def outer_size(n):
@@ -216,12 +219,10 @@ def members(docs: DataFrame, order: np.ndarray, hot: bool) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``point, n, shingles`` (sorted hashes) of the wanted points (``point,
-    row``), from the texts of their rows. A bitmap of fixed size tells the rows apart
-    where the texts are read, so that no text is moved; what it lets through besides,
-    the join leaves out."""
-    wanted = written(wanted, "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("row"), MARK_BITS))
+    """``row, shingles`` (sorted hashes) of the wanted rows (``row``), from their texts.
+    A bitmap of fixed size tells the rows apart where the texts are read, so that neither
+    texts nor sets are moved here; it may let some rows through besides."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, MARK_BITS))
 
     def work(batches):
         for batch in batches:
@@ -229,11 +230,23 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = batch.column(0).take(pa.array(some))
             for start, _, h, ends in sets_of(batch.column(1).take(pa.array(some)).cast(pa.binary()).to_pylist()):
                 n = np.diff(ends)
-                yield pa.RecordBatch.from_arrays([rows.slice(start, len(n)), pa.array(n), _lists(h, n)], names=["row", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([rows.slice(start, len(n)), _lists(h, n)], names=["row", "shingles"])
 
     # rows that repeat id and text give a set twice; pairs are made distinct after
-    found = keyed(docs).select("row", "text").mapInArrow(work, "row long, n long, shingles array<long>")
-    return written(found.join(wanted, "row").select("point", "n", "shingles"), "shingle-sets")
+    return written(keyed(docs).select("row", "text").mapInArrow(work, "row long, shingles array<long>"), "shingle-sets")
+
+
+def among(known: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``known`` (``point`` and more) whose point may be in the one column of
+    ``some``: all that are, and what a bitmap of fixed size lets through besides. The join
+    that leaves that out moves few rows then."""
+    bits = known.sparkSession.sparkContext.broadcast(bitmap(some, MARK_BITS))
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(bits.value, batch.column(0).to_numpy())))
+
+    return known.mapInArrow(work, known.schema)
 
 
 def cells_of(column: pa.Array) -> np.ndarray:
@@ -263,7 +276,8 @@ def near(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
     # sizes first: they alone rule out most pairs
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    pairs = pairs.distinct().join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits)
+    pairs = written(pairs.distinct().join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits), "sized-pairs")
+    known = among(known.select("point", "cells"), ends_of(pairs))
     return (pairs.join(side("a", "cells"), "a").join(side("b", "cells"), "b")
             .select("a", "b", "n_a", "cells_a", "n_b", "cells_b")
             .mapInArrow(work, "a long, b long"))
@@ -273,10 +287,16 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("point")).unionByName(pairs.select(F.col("b").alias("point"))).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    both = (pairs.join(sets.select(F.col("point").alias("b"), F.col("shingles").alias("y")), "b")
-            .join(sets.select(F.col("point").alias("a"), F.col("shingles").alias("x")), "a"))
+def verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, by their whole sets. ``rows``: the ``point, row`` of their
+    ends, ``sets``: ``row, shingles``."""
+
+    def side(p, of):
+        return rows.select(F.col("point").alias(p), F.col("row").alias(of))
+
+    placed = pairs.join(side("a", "row_a"), "a").join(side("b", "row_b"), "b")
+    both = (placed.join(sets.select(F.col("row").alias("row_b"), F.col("shingles").alias("y")), "row_b")
+            .join(sets.select(F.col("row").alias("row_a"), F.col("shingles").alias("x")), "row_a"))
 
     common = F.size(F.array_intersect("x", "y"))
     ok = 100 * common >= PERCENT * (F.size("x") + F.size("y") - common)
@@ -344,28 +364,36 @@ def window(n) -> F.Column:
 
 def window_pairs(rest: DataFrame) -> DataFrame:
     """``a, b``: the pairs of members of a region (``key, point, n, part, cells``) that
-    are in different components and whose sizes and cells leave a link possible; only
-    these become rows. A member goes to its own window and, as a guest, to the next
-    one; a window of over ``BLOCK`` members is dealt to parts by hash, and each pair of
-    parts meets in a group of its own."""
-    homes = rest.select("key", "point", "n", "part", "cells", window(F.col("n")).alias("w"))
+    are in different components and whose sizes and cells leave a link possible."""
+    return window_meetings(rest).distinct()
+
+
+def window_meetings(rest: DataFrame) -> DataFrame:
+    """The same, before they are made distinct; only pairs that may link become rows, and
+    those of near copies, which meet in many regions, once. A member goes to its own window
+    and, as a guest, to the next one; a window of over ``BLOCK`` members is dealt to parts by
+    hash, and each pair of parts meets in a group of its own."""
+    homes = rest.select("key", "point", "n", "part", window(F.col("n")).alias("w"))
     counted = homes.groupBy("key", "w").agg(F.count(F.lit(1)).alias("k")).select(
         "key", "w", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
     slot = F.pmod(F.xxhash64("point", F.lit(7)), F.col("parts")).cast("int")
     home = homes.join(counted, ["key", "w"]).withColumn("own", slot)
     each = F.sequence(F.lit(0), F.col("parts") - 1)
-    member = ["point", "n", "part", "cells"]
+    member = ["point", "n", "part"]
     # a part meets itself and every later one: it goes to the groups (own, x) and (x, own)
     rows = home.select("key", "w", F.explode(F.transform(each, lambda x: F.struct(
         F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))).alias("g"), F.lit(False).alias("guest"), "own", *member)
     guests = (homes.withColumn("w", F.col("w") + 1).join(counted, ["key", "w"])
               .select("key", "w", F.explode(F.transform(each, lambda x: F.struct(x.alias("i"), x.alias("j")))).alias("g"),
                       F.lit(True).alias("guest"), F.lit(-1).alias("own"), *member))
+    # a point's keys are at most as many as its shingles
+    told = rest.groupBy("point").agg(F.first("cells").alias("cells"), F.slice(
+        F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("first"))
 
     def work(batches):
         held, key = [], None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)] + [cells_of(batch.column(9))]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)] + [cells_of(batch.column(9)), first_keys(batch.column(10))]
             group = np.stack([cols[i].astype(np.int64) for i in range(4)], 1)
             cut = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
             for x, y in zip([0, *cut.tolist()], [*cut.tolist(), len(group)]):
@@ -379,8 +407,21 @@ def window_pairs(rest: DataFrame) -> DataFrame:
         yield from _pairs(held)
 
     both = rows.unionByName(guests).select("key", "w", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "guest", "own", *member)
+    both = both.join(told, "point").select("key", "w", "i", "j", "guest", "own", *member, "cells", "first")
     return (both.repartition("key", "w", "i", "j").sortWithinPartitions("key", "w", "i", "j")
-            .mapInArrow(work, "a long, b long").distinct())
+            .mapInArrow(work, "a long, b long"))
+
+
+def first_keys(column: pa.Array) -> np.ndarray:
+    """Lists of up to ``FIRST_KEYS`` keys as a matrix, filled up with the largest number."""
+    out = np.full((len(column), FIRST_KEYS), np.iinfo(np.int64).max)
+    out[np.arange(FIRST_KEYS) < column.value_lengths().to_numpy()[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def met_before(key: np.ndarray, first: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether pairs meet in a region of a smaller key too, by the smallest keys of both."""
+    return ((first[:, :, None] == others[:, None, :]) & (first < key[:, None])[:, :, None]).any((1, 2))
 
 
 def _pairs(held: list):
@@ -388,7 +429,7 @@ def _pairs(held: list):
     or with a guest."""
     if not held:
         return
-    _, _, i, j, guest, own, point, n, part, cells = (np.concatenate(c) for c in zip(*held))
+    key, _, i, j, guest, own, point, n, part, cells, firsts = (np.concatenate(c) for c in zip(*held))
     first = np.flatnonzero(~guest & (own == i[0]))
     second = np.flatnonzero(~guest & (own == j[0]))
     visitors = np.flatnonzero(guest)
@@ -404,6 +445,8 @@ def _pairs(held: list):
             x, y = np.nonzero(fits)
             x, y = l[x], right[y]
             ok = may_link(n[x], cells[x], n[y], cells[y])
+            x, y = x[ok], y[ok]
+            ok = ~met_before(key[x], firsts[x], firsts[y])
             a, b = point[x[ok]], point[y[ok]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -415,12 +458,14 @@ def jaccard_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     def verify(pairs):
         pairs = written(pairs, "jaccard-pairs")
-        return verified(pairs, shingle_sets(docs, known.select("point", "row").join(ends_of(pairs), "point")))
+        rows = written(known.select("point", "row").join(ends_of(pairs), "point"), "wanted")
+        return verified(pairs, rows, shingle_sets(docs, rows.select("row")))
 
     regions = regions_of(docs, rarity(docs))
     links = verify(near(star(regions), known))
-    rest = open_regions(others(regions), links).join(known.select("point", "cells"), "point")
-    return links.unionByName(verify(window_pairs(rest)))
+    rest = open_regions(others(regions), links)
+    cells = among(known.select("point", "cells"), rest.select("point"))
+    return links.unionByName(verify(window_pairs(written(rest.join(cells, "point"), "open-members"))))
 
 
 def jaccard_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

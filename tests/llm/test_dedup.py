@@ -272,6 +272,31 @@ def test_window_pairs_are_all_that_sizes_allow(spark, monkeypatch, block):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_near_copies_meet_in_one_of_their_regions(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(block)
+    copies = {p: (rng.choice([40, 45, 50, 60]), sorted(rng.sample(range(-20, 20), 30))) for p in range(40)}
+    far = {p: (50, [k]) for p, k in ((90, 19), (91, 19), (92, 5))}  # share one region with each other and with some
+    rows = [(k, p, n, p, bytes(ngram_join.CELLS)) for p, (n, keys) in (copies | far).items() for k in keys]
+    got = [tuple(r) for r in ngram_join.window_meetings(spark.createDataFrame(
+        rows, "key long, point long, n int, part long, cells binary")).collect()]
+    some = copies | far
+    want = {(p, q) for p in some for q in some if p < q and set(some[p][1]) & set(some[q][1])
+            and 100 * min(some[p][0], some[q][0]) >= 80 * max(some[p][0], some[q][0])}
+    assert set(got) == want
+    near = [x for x in got if x[1] < 90]
+    assert len(near) < 1.05 * len(set(near))  # about 22 times as many if every common region made a row
+
+
+def test_among_keeps_every_wanted_point(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MARK_BITS", 16)
+    rows = [(i * 2654435761 - 2**40, bytes([i % 256])) for i in range(3000)]
+    some = spark.createDataFrame([(p,) for p, _ in rows[::50]], "point long")
+    got = {tuple(r) for r in ngram_join.among(spark.createDataFrame(rows, "point long, cells binary"), some).collect()}
+    assert {(p, c) for p, c in rows[::50]} <= got <= set(rows) and len(got) < 200
+
+
 def test_bitmap_holds_every_number(spark):
     rows = [0, 1, -1, 32767, 32768, 65535, 65536, 2**63 - 1, -2**63, 123456789]
     bits = common.bitmap(spark.createDataFrame([(r,) for r in rows], "row long"), 16)
